@@ -24,8 +24,8 @@ SQL: dict[str, str] = {
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
 win AS (SELECT r, i, list_aggregate(w[i:i+34], 'string_agg', ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 33, 1))) AS i FROM d)),
 again AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
-hit AS (SELECT r, list(i) AS at FROM win SEMI JOIN again USING (g) GROUP BY r),
-gone AS (SELECT DISTINCT r, i + unnest(range(0, 35)) AS p FROM (SELECT r, unnest(at) AS i FROM hit)),
+hit AS (SELECT r, list(i) AS starts FROM win SEMI JOIN again USING (g) GROUP BY r),
+gone AS (SELECT DISTINCT r, i + unnest(range(0, 35)) AS p FROM (SELECT r, unnest(starts) AS i FROM hit)),
 n AS (SELECT r, count(*) AS n_removed, list(p) AS ps FROM gone GROUP BY r),
 word AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
 kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
