@@ -27,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,10 +119,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(shingles(batch.column(2)))
-            keys = pa.array([k for k, _ in found], pa.binary())
-            hashes = [None if k is None else minhash_bands(s, bands, rows).view(np.int64) for k, s in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), keys, pa.array(hashes, pa.list_(pa.int64()))], ["id", "text_hash", "key", "bands"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [(k, None if k is None else minhash_bands(s, bands, rows).view(np.int64)) for k, s in shingles(part.column(2))]
+                keys, hashes = pa.array([k for k, _ in found], pa.binary()), pa.array([h for _, h in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), keys, hashes], ["id", "text_hash", "key", "bands"])
 
     signed = written(docs.mapInArrow(sign, f"id {id_type}, text_hash long, key binary, bands array<long>"), "signatures")
     texts = signed.where("key IS NOT NULL").groupBy("key").agg(

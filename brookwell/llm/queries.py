@@ -3,28 +3,124 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookwell.llm import nearjoin, substrings
+from brookwell.llm import chat, decontaminate, html_main, langid, mixing, nearjoin, quality, secret_scan, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.phrase_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    listed = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    model = langid.fit(docs.where(part != 2))
+    held_out = docs.withColumn("held_out", F.coalesce(part == 2, F.lit(False)))
+    return langid.identify(held_out, model, carry=("held_out",))
+
+
+def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op6_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op9_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 QUERIES = {
-    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op1_warc_reassembly": op1_warc_reassembly,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_language_id": op4_language_id,
+    "op5_perspective_rotation": op5_perspective_rotation,
+    "op6_entropy_balancing": op6_entropy_balancing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_site_style_tree": op9_site_style_tree,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 SQL: dict[str, str] = {
+    "op1_warc_reassembly": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS payload_digest FROM p),
+k AS (SELECT payload_digest, max(page_id) AS kept FROM q WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN kept <> page_id THEN kept END AS refers_to, true AS intact
+FROM q LEFT JOIN k USING (payload_digest)
+""",
+    "op2_benchmark_decontamination": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+hit AS (SELECT r, i, n, item_id FROM dw JOIN bw USING (n, g)),
+cover AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, i + unnest(range(0, n)) AS p FROM (SELECT DISTINCT r, i, n FROM hit)) GROUP BY r),
+it AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hit GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cover USING (r) LEFT JOIN it USING (r)
+""",
+    "op3_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t, text AS raw FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+tri AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+twice AS (SELECT r, g FROM tri GROUP BY r, g HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, i + unnest(range(0, 3)) AS p FROM tri SEMI JOIN twice USING (r, g)) GROUP BY r),
+l AS (SELECT r, raw, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, regexp_replace(regexp_replace(lower(trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13))), '\s+', ' ', 'g'), '\d+', '0', 'g') AS norm FROM (SELECT r, raw, source, unnest(string_split(t, chr(10))) AS line FROM d)),
+lw AS (SELECT * FROM l WHERE n > 0),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lw GROUP BY r),
+tot AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
+freq AS (SELECT source, norm, count(DISTINCT raw) AS n FROM lw GROUP BY source, norm),
+common AS (SELECT f.source, norm FROM freq f JOIN tot ON f.source IS NOT DISTINCT FROM tot.source WHERE n > 20 AND n > 0.01 * docs),
+lost AS (SELECT r, sum(lw.n) AS removed FROM lw JOIN common c ON lw.norm = c.norm AND lw.source IS NOT DISTINCT FROM c.source GROUP BY r),
+a AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(removed, 0) AS BIGINT) AS removed_words
+  FROM d JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN lost USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+SELECT *, NOT base_failed AND n_words - removed_words >= 0.5 * n_words AS kept FROM b
+""",
+    "op5_perspective_rotation": """
+WITH s AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN trim(role) <> '' THEN role END AS speaker, coalesce(text, '') AS text FROM conversations),
+v AS (SELECT DISTINCT conv_id, speaker AS perspective FROM s WHERE speaker IS NOT NULL AND speaker <> 'system'),
+j AS (SELECT s.conv_id, turn, speaker, text, perspective, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role FROM s JOIN v ON s.conv_id IS NOT DISTINCT FROM v.conv_id),
+h AS (SELECT *, CASE WHEN role = 'user' THEN coalesce(speaker, 'unknown') END AS name, replace(text, '<|', '< |') || '<|end|>' || chr(10) AS body FROM j),
+g AS (SELECT *, CASE WHEN role = 'user' THEN '<|user name=' || replace(name, '<|', '< |') || '|>' || chr(10) ELSE '<|' || role || '|>' || chr(10) END AS head FROM h),
+o AS (SELECT *, sum(length(head || body)) OVER w AS seg_end, row_number() OVER w - 1 AS position FROM g WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker NULLS LAST, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, perspective, CAST(position AS BIGINT) AS position, turn, role, name, head || body AS segment, CAST(seg_end - length(head || body) AS BIGINT) AS seg_start, CAST(seg_end AS BIGINT) AS seg_end,
+  CAST(CASE WHEN role = 'assistant' THEN seg_end - length(body) END AS BIGINT) AS mask_start, CAST(CASE WHEN role = 'assistant' THEN seg_end - 1 END AS BIGINT) AS mask_end
+FROM o
+""",
     "op7_substring_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 win AS (SELECT r, i, list_aggregate(w[i:i+34], 'string_agg', ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 33, 1))) AS i FROM d)),
