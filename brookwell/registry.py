@@ -1,5 +1,6 @@
 """Every query of the library by name, and its SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from brookwell.plans import graph_queries, retrieval_queries, text_queries  # noqa: F401
+from brookwell.plans.base import QUERIES, SQL  # noqa: F401
+
 FLAGSHIP = "l24_naive"
