@@ -118,3 +118,10 @@ def word_count(c: Column) -> Column:
 
 def estimated_tokens(c: Column) -> Column:
     return F.floor(F.length(c) / 4)
+
+
+def json_text(c: Column) -> Column:
+    """The JSON of a model's answer: the text without thoughts and fence, else its first braces; null if neither parses."""
+    plain = without_fence(without_thoughts(c))
+    braces = F.regexp_extract(plain, r"(?s)\{.*?\}", 0)
+    return F.when(F.try_parse_json(plain).isNotNull(), plain).when(F.try_parse_json(braces).isNotNull(), braces)

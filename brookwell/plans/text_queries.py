@@ -249,3 +249,10 @@ def k13(spark, d):
 @query("k04_from_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def k04(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("k01_parse_json", "SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
+def k01(spark, d):
+    k, p = F.col("event_id") % 4, F.col("props")
+    said = F.when(k == 0, F.concat(F.lit("<think>{</think>```json\n"), p, F.lit("\n```"))).when(k == 1, F.concat(F.lit("Sure: "), p, F.lit(" as asked"))).when(k == 2, p).otherwise(F.lit("none {"))
+    return table(spark, d, "events").select("event_id", F.from_json(text.json_text(said), "k long")["k"].alias("k"))
