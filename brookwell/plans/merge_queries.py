@@ -21,7 +21,11 @@ ents AS (SELECT doc_id, pos, name, {TYPE} AS type, name || ' of ' || source AS d
 rels AS (SELECT doc_id, pos, name AS src, tgt, CASE WHEN length(name) % 4 = 0 THEN '2.5' ELSE 'links' END AS description, CASE WHEN length(name) % 4 = 0 THEN 2.5::DOUBLE ELSE 1.0::DOUBLE END AS weight, 'k' || length(name) || ',both' AS keywords
   FROM (SELECT *, lead(name) OVER (PARTITION BY doc_id ORDER BY pos) AS tgt FROM found) WHERE tgt <> name)"""
 W = f"WITH {FOUND}"
-ORDER = F.col("doc_id") * 1_000_000 + F.col("pos")
+
+
+def place():
+    """A mention's place over all documents."""
+    return F.col("doc_id") * 1_000_000 + F.col("pos")
 
 
 def outputs(spark, d):
@@ -74,12 +78,12 @@ DESCRIBED = "des AS (SELECT name, string_agg(description, '<SEP>' ORDER BY ts, l
 
 @query("d14_mode", f"{W}, {MODE} SELECT name, type FROM mode_type")
 def d14(spark, d):
-    return mentions.majority_type(found_entities(spark, d), ORDER)
+    return mentions.majority_type(found_entities(spark, d), place())
 
 
 @query("d12_entity_merge", f"{W}, {MODE}, {SOURCES}, {DESCRIBED} SELECT name, type, sources, descriptions FROM mode_type JOIN src USING (name) JOIN des USING (name)")
 def d12(spark, d):
-    merged = mentions.merged_entities(found_entities(spark, d), ORDER, most=5)
+    merged = mentions.merged_entities(found_entities(spark, d), place(), most=5)
     return merged.select("name", "type", F.array_join("sources", ",").alias("sources"), F.array_join("descriptions", T.SEP).alias("descriptions"))
 
 
@@ -100,27 +104,27 @@ def d15(spark, d):
 @query("l09_glean_merge", f"{W}, p AS (SELECT name, max_by(description, o) AS d1 FROM ents WHERE doc_id % 2 = 0 GROUP BY name), q AS (SELECT name, max_by(description, o) AS d2 FROM ents WHERE doc_id % 2 = 1 GROUP BY name) SELECT name, CASE WHEN d1 IS NULL OR length(d2) > length(d1) THEN coalesce(d2, d1) ELSE d1 END AS description FROM p FULL JOIN q USING (name)")
 def l09(spark, d):
     e = found_entities(spark, d)
-    last = lambda k: e.where(F.col("doc_id") % 2 == k).groupBy("name").agg(F.max_by("description", ORDER).alias("description"))
+    last = lambda k: e.where(F.col("doc_id") % 2 == k).groupBy("name").agg(F.max_by("description", place()).alias("description"))
     return mentions.gleaned(last(0), last(1))
 
 
 @query("l11_summary_gate", rf"{W}, {DESCRIBED}, t AS (SELECT name, n, len(regexp_extract_all(replace(descriptions, '<SEP>', ' '), '\S+')) AS tokens FROM des) SELECT name, CASE WHEN n = 1 THEN 'single' WHEN (tokens <= 60 OR n <= 2) AND n < 6 AND tokens < 20 THEN 'join' WHEN tokens <= 60 OR n <= 2 THEN 'summarise' ELSE 'map_reduce' END AS action FROM t")
 def l11(spark, d):
-    texts = mentions.distinct_descriptions(found_entities(spark, d), ORDER)
+    texts = mentions.distinct_descriptions(found_entities(spark, d), place())
     tokens = T.word_count(F.array_join("descriptions", " "))
     return texts.select("name", mentions.summary_gate(F.size("descriptions"), tokens, force=6, most=20, context=60).alias("action"))
 
 
 @query("l13_merge_graph", f"{W}, {MODE}, {PAIRS}, few AS (SELECT * FROM mode_type WHERE type <> 'thing') SELECT type, count(*) AS n FROM (SELECT name, type FROM few UNION ALL SELECT e, 'UNKNOWN' FROM (SELECT DISTINCT unnest([src, tgt]) AS e FROM pairs) ANTI JOIN few ON e = name) GROUP BY type")
 def l13(spark, d):
-    few = mentions.majority_type(found_entities(spark, d), ORDER).where("type <> 'thing'").select(F.col("name").alias("entity_id"), F.col("type").alias("entity_type"))
+    few = mentions.majority_type(found_entities(spark, d), place()).where("type <> 'thing'").select(F.col("name").alias("entity_id"), F.col("type").alias("entity_type"))
     nodes = few.unionByName(graph.missing_ends(few, mentions.merged_relations(found_relations(spark, d))).select("entity_id", "entity_type"))
     return nodes.groupBy(F.col("entity_type").alias("type")).agg(F.count("*").alias("n"))
 
 
 @query("l14_vdb_payload", f"{W}, {DESCRIBED}, {PAIRS} SELECT 'ent-' || md5(name) AS id, name || chr(10) || descriptions AS content FROM des UNION ALL SELECT 'rel-' || md5(src || tgt), keywords || chr(9) || src || chr(10) || tgt FROM pairs JOIN kw USING (src, tgt)")
 def l14(spark, d):
-    texts = mentions.distinct_descriptions(found_entities(spark, d), ORDER)
+    texts = mentions.distinct_descriptions(found_entities(spark, d), place())
     one = texts.select(T.hashed_id("ent-", F.col("name")).alias("id"), F.concat("name", F.lit("\n"), F.array_join("descriptions", T.SEP)).alias("content"))
     two = mentions.merged_relations(found_relations(spark, d)).select(T.hashed_id("rel-", F.concat("src", "tgt")).alias("id"), F.concat("keywords", F.lit("\t"), "src", F.lit("\n"), "tgt").alias("content"))
     return one.union(two)
@@ -193,7 +197,7 @@ def l25_mix(spark, d):
     return l25_hybrid(spark, d).union(near)
 
 
-@query("c20_fetch_chunks", rf"WITH {CHUNKS}, p AS (SELECT chunk_id, doc_id, tokens, sum(tokens) OVER (ORDER BY chunk_id) AS upto FROM (SELECT DISTINCT chunk_id, min(doc_id) AS doc_id, max(tokens) AS tokens FROM chunks WHERE file_path = 'src3' AND length(content) > 0 GROUP BY chunk_id ORDER BY chunk_id LIMIT 10)) SELECT chunk_id, doc_id FROM p WHERE upto <= 3000")
+@query("c20_fetch_chunks", rf"WITH {CHUNKS}, p AS (SELECT chunk_id, doc_id, tokens, sum(tokens) OVER (place() BY chunk_id) AS upto FROM (SELECT DISTINCT chunk_id, min(doc_id) AS doc_id, max(tokens) AS tokens FROM chunks WHERE file_path = 'src3' AND length(content) > 0 GROUP BY chunk_id ORDER BY chunk_id LIMIT 10)) SELECT chunk_id, doc_id FROM p WHERE upto <= 3000")
 def c20(spark, d):
     rows = chunks(spark, d).where((F.col("file_path") == "src3") & (F.length("content") > 0)).groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
     some = rows.orderBy("chunk_id").limit(10).withColumn("of", F.lit(0))
