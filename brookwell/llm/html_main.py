@@ -7,9 +7,10 @@ that stands on few of the path's pages is important, one that stands on all is
 not). Branches of low importance are removed from each page.
 
 Elements whose role says that they are no main text (navigation, footers, forms,
-scripts, adverts by class and so on) have importance 0 from the start, and
-``article`` or ``main`` has importance 1: where a page has one, the page's text is
-what stands in it, and repetition across pages doesn't take text out of it.
+scripts, adverts by class and so on) have importance 0 from the start. ``article``
+and ``main`` only raise the importance of the paths in them, to its root: what
+stands there must be repeated more to go, and text elsewhere is judged by the tree
+as on any page.
 
 Defined cases: a null or empty page has empty text; a null or odd url belongs to
 the host ``""``; copies of a page count once in their host's tree; repeated rows
@@ -147,11 +148,9 @@ def blocks(page: str) -> tuple[list[tuple[int, bool, bool, str]], dict[int, list
 
 
 def main_text(page: str | None, low: set[int] = frozenset()) -> str:
-    """The blocks of the main elements, or without any the blocks whose path is not in ``low``, joined by newlines."""
+    """The blocks whose path is not in ``low``, joined by newlines."""
     found, _ = blocks(page or "")
-    kept = [b for b in found if not b[1]]
-    inside = [b[3] for b in kept if b[2]]
-    return "\n".join(inside or [b[3] for b in kept if b[0] not in low])
+    return "\n".join(b[3] for b in found if not b[1] and b[0] not in low)
 
 
 def host_of(url: Column) -> Column:
@@ -159,64 +158,65 @@ def host_of(url: Column) -> Column:
 
 
 def parse_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Written table (id, url, host, h, text, rest, nodes): each page is parsed once, and only what it says is kept.
+    """Written table (id, url, host, h, blocks, nodes): each page is parsed once, and only what it says is kept.
 
-    ``text`` is the text of the main elements, null where a page has none; then
-    ``rest`` has its blocks (path, text). ``nodes`` has a row for each path with text.
+    ``blocks`` has the page's blocks (path, text) in order, and ``nodes`` an item for each path with text.
     """
     page = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.xxhash64(html_col).alias("h"), F.col(html_col).alias("html"))
     blocks_type = pa.list_(pa.struct([("path", pa.int64()), ("text", pa.string())]))
-    nodes_type = pa.list_(pa.struct([("path", pa.int64()), ("style", pa.int64()), ("contents", pa.list_(pa.int64()))]))
+    nodes_type = pa.list_(pa.struct([("path", pa.int64()), ("main", pa.bool_()), ("style", pa.int64()), ("contents", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                texts, rests, nodes = [], [], []
+                said, nodes = [], []
                 for html in part.column(4).to_pylist():
                     found, styles = blocks(html or "")
                     kept = [b for b in found if not b[1]]
-                    inside = [b[3] for b in kept if b[2]]
-                    texts.append("\n".join(inside) if inside else None)
-                    rests.append([] if inside else [{"path": b[0], "text": b[3]} for b in kept])
+                    said.append([{"path": b[0], "text": b[3]} for b in kept])
                     by: dict[int, set[int]] = {}
                     for path, _, _, text in kept:
                         by.setdefault(path, set()).add(hash64(text))
-                    nodes.append([{"path": path, "style": hash64(",".join(styles.get(path, ()))), "contents": list(content)} for path, content in by.items()])
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(texts, pa.string()), pa.array(rests, blocks_type), pa.array(nodes, nodes_type)], ["id", "url", "host", "h", "text", "rest", "nodes"])
+                    inside = {b[0] for b in kept if b[2]}
+                    nodes.append([{"path": path, "main": path in inside, "style": hash64(",".join(styles.get(path, ()))), "contents": list(content)} for path, content in by.items()])
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(said, blocks_type), pa.array(nodes, nodes_type)], ["id", "url", "host", "h", "blocks", "nodes"])
 
     kinds = page.schema
-    fields = f"id {kinds['id'].dataType.simpleString()}, url {kinds['url'].dataType.simpleString()}, host string, h long, text string, rest array<struct<path:long,text:string>>, nodes array<struct<path:long,style:long,contents:array<long>>>"
+    fields = f"id {kinds['id'].dataType.simpleString()}, url {kinds['url'].dataType.simpleString()}, host string, h long, blocks array<struct<path:long,text:string>>, nodes array<struct<path:long,main:boolean,style:long,contents:array<long>>>"
     return written(page.mapInArrow(run, fields), "parsed")
 
 
 def style_nodes(parsed: DataFrame) -> DataFrame:
-    """Written table (host, h, path, style, contents): the merged DOMs of each host, one row for each distinct page and path with text."""
+    """Written table (host, h, path, main, style, contents): the merged DOMs of each host, one row for each distinct page and path with text."""
     distinct = parsed.select("host", "h", "nodes").dropDuplicates(["host", "h"])
-    return written(distinct.select("host", "h", F.explode("nodes").alias("n")).select("host", "h", "n.path", "n.style", "n.contents"), "style-nodes")
+    return written(distinct.select("host", "h", F.explode("nodes").alias("n")).select("host", "h", "n.path", "n.main", "n.style", "n.contents"), "style-nodes")
 
 
 def importance(nodes: DataFrame) -> DataFrame:
-    """(host, path, pages, importance): composite of presentation and content entropy, 0 to 1; both with the number of the path's pages as base of the logarithm."""
+    """(host, path, pages, importance): composite of presentation and content entropy, 0 to 1; both with the number of the path's pages as base of the logarithm.
+
+    Of paths in a main element it is the composite's root.
+    """
     key = ["host", "path"]
-    styles = nodes.groupBy(*key, "style").agg(F.count("*").alias("n"))
-    by_style = styles.groupBy(*key).agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("nlogn"))
+    styles = nodes.groupBy(*key, "style").agg(F.count("*").alias("n"), F.max("main").alias("main"))
+    by_style = styles.groupBy(*key).agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.ln("n")).alias("nlogn"), F.max("main").alias("main"))
     texts = nodes.select(*key, F.explode("contents").alias("text")).groupBy(*key, "text").agg(F.count("*").alias("n"))
     by_text = texts.groupBy(*key).agg(F.sum("n").alias("texts"), F.sum(F.col("n") * F.ln("n")).alias("tlogt"))
     m = F.ln("pages")
     presentation = F.when(F.col("pages") == 1, 1.0).otherwise((m - F.col("nlogn") / F.col("pages")) / m)
     content = F.when(F.col("pages") == 1, 1.0).otherwise(1 - F.least(F.lit(1.0), F.col("tlogt") / F.col("texts") / m))
-    return by_style.join(by_text, key).select(*key, "pages", ((1 - GAMMA) * presentation + GAMMA * content).alias("importance"))
+    composite = F.greatest(F.lit(0.0), (1 - GAMMA) * presentation + GAMMA * content)
+    return by_style.join(by_text, key).select(*key, "pages", F.when(F.col("main"), F.sqrt(composite)).otherwise(composite).alias("importance"))
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: id, url, text. Only pages without a main element are joined with their host's low branches; the markup is never shuffled."""
+    """One row per page: id, url, text. Every page is joined with the low branches that it has; the markup is never shuffled."""
     parsed = parse_pages(pages, id_col, url_col, html_col)
     nodes = style_nodes(parsed)
     low = importance(nodes).where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance)).select("host", "path")
     poor = nodes.select("host", "h", "path").join(low, ["host", "path"]).groupBy(F.col("host").alias("ph"), F.col("h").alias("pp")).agg(F.collect_set("path").alias("low"))
-    plain = parsed.where("text IS NULL").join(poor, (F.col("host") == F.col("ph")) & (F.col("h") == F.col("pp")), "left")
-    kept = F.filter("rest", lambda b: ~F.array_contains(F.coalesce("low", F.array().cast("array<bigint>")), b["path"]))
+    judged = parsed.join(written(poor, "low-branches"), (F.col("host") == F.col("ph")) & (F.col("h") == F.col("pp")), "left")
+    kept = F.filter("blocks", lambda b: ~F.array_contains(F.coalesce("low", F.array().cast("array<bigint>")), b["path"]))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    out = parsed.where("text IS NOT NULL").select("id", "url", "text").union(plain.select("id", "url", text.alias("text")))
-    return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
+    return judged.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"))

@@ -287,6 +287,22 @@ def test_low_importance_branches_go(spark):
     assert got == ordered([(i, f"story {i} tells {i * i}") for i in range(8)] + [(50, "story 0 tells 0"), (60, ""), (None, "plain")])
 
 
+def test_tree_judges_pages_with_a_main_element(spark):
+    rows = [(i, f"http://h.example/{i}", f"<article><h1>Title {i}</h1><p>story {i}</p><div class='bio'>Written by our staff</div></article>") for i in range(8)]
+    rows += [(20 + i, f"http://g.example/{i}", f"<div class='top'>Welcome</div><article class='card'>Teaser {i}</article><div class='body'><p>story {i}</p></div>") for i in range(8)]
+    got = ordered(html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text").collect())
+    assert got == ordered([(i, f"Title {i}\nstory {i}") for i in range(8)] + [(20 + i, f"Teaser {i}\nstory {i}") for i in range(8)])
+
+
+def test_main_raises_importance(spark):
+    """All pages but one say the same: too low outside a main element, enough inside."""
+    page = lambda i, tag: f"<{tag} class='x'><p>{'same' if i < 39 else f'other {i}'}</p></{tag}>"
+    rows = [(i, f"http://{tag}.example/{i}", page(i, tag) + f"<i>{i}</i>") for tag in ("article", "div") for i in range(40)]
+    got = ordered(html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).where("url like '%article%'").select("page_id", "text").collect())
+    plain = ordered(html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).where("url like '%div%'").select("page_id", "text").collect())
+    assert all(t.startswith("same\n") for i, t in got if i < 39) and not any("same" in t for _, t in plain)
+
+
 # Every query
 
 
