@@ -6,11 +6,12 @@ classes from the root). A path's importance joins the entropy of its presentatio
 that stands on few of the path's pages is important, one that stands on all is
 not). Branches of low importance are removed from each page.
 
-Elements whose role says that they are no main text (navigation, footers, forms,
-scripts, adverts by class and so on) have importance 0 from the start. ``article``
+Elements whose role says that they are no main text (navigation, footers, scripts,
+adverts by a whole class and so on) have importance 0 from the start. ``article``
 and ``main`` only raise the importance of the paths in them, to its root: what
 stands there must be repeated more to go, and text elsewhere is judged by the tree
-as on any page.
+as on any page. A main element inside one that is off by its class, or in a form,
+is on again, unless it is a comment.
 
 Defined cases: a null or empty page has empty text; a null or odd url belongs to
 the host ``""``; copies of a page count once in their host's tree; repeated rows
@@ -32,7 +33,6 @@ from brookwell.llm.work import written
 LEAST_PAGES, LEAST_IMPORTANCE, GAMMA = 5, 0.1, 0.9
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp")}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
@@ -40,6 +40,9 @@ NO_TEXT = frozenset("head nav footer aside form script style textarea title nosc
 NO_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 NO_CLASS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promoted cookie cookies consent gdpr notice notices nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget widgets footer comment comments disqus respond share sharing social related recommended recommendations newsletter subscribe subscription popup modal overlay pagination pager toolbar login signup search skip disclaimer".split())
 HEADERS = frozenset("header masthead topbar banner".split())
+COMMENTS = frozenset("comment comments disqus respond".split())
+#: An element is on, off until a main element in it, or off with all that is in it.
+ON, OFF, SHUT = 0, 1, 2
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("article main section div body html table td th ul ol dl li blockquote figure details".split())
 
@@ -51,35 +54,35 @@ def hash64(text: str) -> int:
 class Element:
     __slots__ = ("tag", "path", "off", "main", "children")
 
-    def __init__(self, tag: str, path: int, off: bool, main: bool):
+    def __init__(self, tag: str, path: int, off: int, main: bool):
         self.tag, self.path, self.off, self.main, self.children = tag, path, off, main, []
 
 
 def _element(tag: str, attrs: str, parent: Element) -> Element:
-    off, main, label = parent.off, parent.main, tag
-    if not off and tag in NO_TEXT:
-        off = True
+    own, label, names, role = ON, tag, frozenset(), ""
+    if tag in NO_TEXT:
+        own = OFF if tag == "form" else SHUT
     if attrs.strip("/ "):
         found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
         classes, role = found.get("class", ""), found.get("role", "").lower()
         if classes:
             label += "." + ".".join(sorted(classes.split()))
-        if not off and tag not in ("html", "body"):
-            names = {w.lower() for w in _WORD.findall(f"{classes} {found.get('id', '')}")}
-            off = bool(names & NO_CLASS) and not (tag in ("article", "main") and not names & {"comment", "comments"})
-            off = off or role in NO_ROLE or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-            off = off or (not main and bool(names & HEADERS))
-        main = main or role in ("main", "article")
-    if tag in ("article", "main"):
-        main = True
-    elif tag == "header" and not main:
-        off = True
-    return Element(tag, hash64(f"{parent.path}/{label}") if tag not in INLINE else parent.path, off, main)
+        if tag not in ("html", "body"):
+            names = frozenset(f"{classes} {found.get('id', '')}".lower().split())
+            if role in NO_ROLE or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
+                own = max(own, OFF if role == "form" else SHUT)
+    is_main = tag in ("article", "main") or role in ("main", "article")
+    if names & COMMENTS:
+        own = SHUT
+    elif not is_main and (names & NO_CLASS or (not parent.main and (names & HEADERS or tag == "header"))):
+        own = max(own, OFF)
+    above = ON if is_main and parent.off == OFF else parent.off
+    return Element(tag, hash64(f"{parent.path}/{label}") if tag not in INLINE else parent.path, max(above, own), parent.main or is_main)
 
 
 def blocks(page: str) -> tuple[list[tuple[int, bool, bool, str]], dict[int, list[str]]]:
     """Text blocks in page order as (path, switched off, in a main element, text), and the child tags of each path."""
-    root = Element("", 0, False, False)
+    root = Element("", 0, ON, False)
     stack, out, parts, styles = [root], [], [], {}
 
     def flush() -> None:
@@ -88,7 +91,7 @@ def blocks(page: str) -> tuple[list[tuple[int, bool, bool, str]], dict[int, list
             parts.clear()
             if text:
                 top = stack[-1]
-                out.append((top.path, top.off, top.main, text))
+                out.append((top.path, top.off != ON, top.main, text))
 
     def say(text: str) -> None:
         if text:

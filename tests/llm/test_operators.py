@@ -303,6 +303,16 @@ def test_main_raises_importance(spark):
     assert all(t.startswith("same\n") for i, t in got if i < 39) and not any("same" in t for _, t in plain)
 
 
+@pytest.mark.parametrize("outer", ['class="layout has-sidebar"', 'class="no-comments"', 'class="ad-free"', 'class="search-results"', 'id="modal-root"', 'class="sidebar"', 'class="layout social"'])
+def test_a_class_outside_keeps_the_article(outer):
+    assert html_main.main_text(f'<body><div {outer}><article><h1>T</h1><p>body</p><div class="ad">Buy</div></article></div></body>') == "T\nbody"
+
+
+def test_comments_and_plain_adverts_stay_off():
+    assert html_main.main_text('<section class="comments"><article><p>troll</p></article></section><article class="comment">t</article><div class="ad"><p>Buy</div><p>body') == "body"
+    assert html_main.main_text('<form id="page"><nav>Home</nav><main><p>body</main><p>Search</form><aside><article>other</article></aside>') == "body"
+
+
 # Every query
 
 
