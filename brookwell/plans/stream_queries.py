@@ -97,7 +97,7 @@ known AS (SELECT DISTINCT lower(event_type) AS name FROM events UNION SELECT DIS
 SELECT conv_id, turn, w AS name, min(pos) AS pos FROM m JOIN known ON name = w WHERE w <> '' GROUP BY ALL""")
 def m16(spark, d):
     """Mentioned members by lower-case name, each once; unknown names are dropped."""
-    turns = table(spark, d, "conversations").withColumn("words", F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), 1, 5))
+    turns = table(spark, d, "conversations").withColumn("words", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
     said = turns.select("conv_id", "turn", F.posexplode(T.mentions(F.concat(F.lit("@"), F.array_join("words", " @")))).alias("pos", "name"))
     opened = turns.where("turn = 1").select(F.get("words", F.lit(0)).alias("name"))
     known = table(spark, d, "events").select(F.lower("event_type").alias("name")).union(opened).where("name <> ''").distinct()

@@ -1,5 +1,7 @@
 """Every query over the smallest tables against DuckDB's rows."""
 
+import re
+
 import pytest
 from oracle import connect, differences
 
@@ -30,3 +32,17 @@ def test_bins_hold_what_fits(spark):
         bins.setdefault((r.source, r.bin), []).append(sizes[r.doc_id])
     assert sum(map(len, bins.values())) == len(sizes)
     assert all(sum(b) <= 12_000 or len(b) <= 2 for b in bins.values())
+
+
+def test_mentions_of_the_whole_text(spark):
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").collect()
+    known = {r.event_type.lower() for r in spark.read.parquet(f"{SF}/events.parquet").select("event_type").distinct().collect()}
+    known |= {words(r.text)[0] for r in turns if r.turn == 1 and words(r.text)}
+    want = {}
+    for r in turns:
+        for pos, w in enumerate(words(r.text)):
+            if w in known:
+                want[r.conv_id, r.turn, w] = min(pos, want.get((r.conv_id, r.turn, w), pos))
+    got = {(r.conv_id, r.turn, r.name): r.pos for r in registry.QUERIES["m16_mention_parse"](spark, SF).collect()}
+    assert got == want and max(got.values()) >= 5
