@@ -45,7 +45,7 @@ def b18(spark, d):
 
 @query("a36_chunk_dump", rf"WITH {CHUNKS} SELECT doc_id, chunk_order_index, CAST(len(regexp_extract_all(content, '\S+')) AS BIGINT) AS words, left(content, 120) AS preview FROM chunks WHERE doc_id < 100")
 def a36(spark, d):
-    return chunks(spark, d).where("doc_id < 100").orderBy("doc_id", F.coalesce("chunk_order_index", F.lit(0))).select("doc_id", "chunk_order_index", word_count(F.col("content")).alias("words"), F.substring("content", 1, 120).alias("preview"))
+    return chunks(spark, d).orderBy("doc_id", F.coalesce("chunk_order_index", F.lit(0))).select("doc_id", "chunk_order_index", word_count(F.col("content")).alias("words"), F.substring("content", 1, 120).alias("preview"))
 
 
 @query("j01_similarity", f"WITH {VECTORS}, {ONE}, {scored()} SELECT vec_id, similarity FROM s")

@@ -46,3 +46,9 @@ def test_mentions_of_the_whole_text(spark):
                 want[r.conv_id, r.turn, w] = min(pos, want.get((r.conv_id, r.turn, w), pos))
     got = {(r.conv_id, r.turn, r.name): r.pos for r in registry.QUERIES["m16_mention_parse"](spark, SF).collect()}
     assert got == want and max(got.values()) >= 5
+
+
+def test_dump_has_the_chunks_of_all_documents(spark):
+    dumped = registry.QUERIES["a36_chunk_dump"](spark, SF).select("doc_id", "chunk_order_index").collect()
+    assert len(dumped) == registry.QUERIES["l01_token_chunk"](spark, SF).count()
+    assert dumped == sorted(dumped) and max(r.doc_id for r in dumped) >= 100
