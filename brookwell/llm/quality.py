@@ -2,10 +2,11 @@
 
 Method: each line is normalised and hashed; for each host the distinct documents
 that have the line are counted; lines above the host's limit are removed, and a
-document that loses too many of its words is rejected. Documents are told apart
-by their text, so that exact copies count once: copies are the deduplicator's
-business, and would otherwise make every line of a copied text look like
-boilerplate.
+document that loses too many of its words is rejected. Exact copies count once,
+and so do near copies: texts of a host that agree in a band of a min-hash sketch
+of their lines, weighted by words, are one group, and a line above the limit by
+texts must be above it by groups too. Copies are the deduplicator's business, and
+would otherwise make every line of a copied text look like boilerplate.
 
 Defined cases: a null text has no words, lines or symbols; null hosts form one
 host; a null id is carried through; repeated rows get equal results; other
@@ -33,6 +34,9 @@ _SPACES, _DIGITS = re.compile(r"\s+"), re.compile(r"\d+")
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 #: Limits of the rules. A line goes if more than LINE_DOCS documents of its host, and more than LINE_SHARE of them, have it.
 LINE_DOCS, LINE_SHARE, LEAST_LEFT, LEAST_WORDS, MOST_REPEATED = 20, 0.01, 0.5, 50, 0.5
+#: Sketch of a text's lines: texts with share s of their words in common agree in a band with a chance of 1 - (1 - s ** BAND_ROWS) ** BANDS.
+BANDS, BAND_ROWS = 10, 4
+_SEEDS = wh.mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))[:, None]
 
 
 def line_hash(line: str) -> int:
@@ -76,8 +80,22 @@ def _lines(text: str) -> tuple[int, dict[int, int]]:
     return again, found
 
 
+def sketch(lines: dict[int, int]) -> list[int]:
+    """Hash of each band: the lines drawn by weighted min-hash, so a line is drawn by its share of the words. Texts of one line have none."""
+    if len(lines) < 2:
+        return []
+    hashes = np.fromiter(lines, np.int64, len(lines)).view(U64)
+    drawn = wh.mix(hashes ^ _SEEDS)
+    waits = -np.log(((drawn >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) / np.fromiter(lines.values(), np.float64, len(lines))
+    won = np.take_along_axis(drawn, waits.argmin(1)[:, None], 1).reshape(BANDS, BAND_ROWS)
+    out = np.zeros(BANDS, U64)
+    for i in range(BAND_ROWS):
+        out = wh.mix(out ^ won[:, i])
+    return out.view(np.int64).tolist()
+
+
 def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Written table (id, host, text_hash, statistics, lines): each text is read once."""
+    """Written table (id, host, text_hash, statistics, lines, sketch): each text is read once."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,20 +106,37 @@ def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
             lines = [_lines(t) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], *(pa.array(x, pa.int64()) for x in (n_words, chars, symbols)), pa.array([a for a, _ in lines], pa.int64()), pa.array(repeats, pa.int64()),
-                 pa.array([[{"hash": h, "words": n} for h, n in found.items()] for _, found in lines], pa.list_(pa.struct([("hash", pa.int64()), ("words", pa.int64())])))],
-                ["id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
+                 pa.array([[{"hash": h, "words": n} for h, n in found.items()] for _, found in lines], pa.list_(pa.struct([("hash", pa.int64()), ("words", pa.int64())]))),
+                 pa.array([sketch(found) for _, found in lines], pa.list_(pa.int64()))],
+                ["id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "sketch"],
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return written(docs.mapInArrow(run, f"id {kind}, host string, text_hash long, {STATS}, lines array<struct<hash:long,words:long>>"), "profile")
+    return written(docs.mapInArrow(run, f"id {kind}, host string, text_hash long, {STATS}, lines array<struct<hash:long,words:long>>, sketch array<long>"), "profile")
+
+
+def near_groups(profiled: DataFrame) -> DataFrame:
+    """Written table (doc, group) of the texts that share a band with another text of their host; the group is the least text of their bands."""
+    texts = profiled.select(F.xxhash64("host", "text_hash").alias("doc"), "host", "sketch").dropDuplicates(["doc"])
+    bands = texts.select("doc", "host", F.explode("sketch").alias("band")).select("doc", F.xxhash64("host", "band").alias("band"))
+    shared = bands.groupBy("band").agg(F.min("doc").alias("group"), F.count("*").alias("n")).where("n > 1").select("band", "group")
+    return written(bands.join(written(shared, "bands"), "band").groupBy("doc").agg(F.min("group").alias("group")), "near-groups")
 
 
 def common_lines(profiled: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """(host, hash) of the lines above their host's limit."""
+    """(host, hash) of the lines above their host's limit, by texts and by groups of near copies."""
     texts = profiled.select("host", "text_hash", F.transform("lines", lambda x: x["hash"]).alias("hashes")).dropDuplicates(["host", "text_hash"])
     totals = texts.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("n_docs"))
-    counted = texts.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > line_docs)
-    return counted.join(totals, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > line_share * F.col("n_docs")).select("host", "hash")
+    lines = texts.select("host", F.xxhash64("host", "text_hash").alias("doc"), F.explode("hashes").alias("hash"))
+
+    def above(counted: DataFrame) -> DataFrame:
+        counted = counted.where(F.col("n") > line_docs)
+        return counted.join(totals, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > line_share * F.col("n_docs")).select("host", "hash")
+
+    often = written(above(lines.groupBy("host", "hash").agg(F.count("*").alias("n"))), "often")
+    held = lines.join(often.select(F.col("host").alias("oh"), F.col("hash").alias("line")), F.col("host").eqNullSafe(F.col("oh")) & (F.col("hash") == F.col("line")), "left_semi")
+    grouped = held.join(near_groups(profiled), "doc", "left").select("host", "hash", F.coalesce("group", "doc").alias("group")).distinct()
+    return above(grouped.groupBy("host", "hash").agg(F.count("*").alias("n")))
 
 
 def assess(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -115,7 +150,7 @@ def assess(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE
         .groupBy(F.col("host").alias("lost_host"), F.col("text_hash").alias("lost_text"))
         .agg(F.sum("words").alias("removed_words"), F.collect_set("hash").alias("removed_lines"))
     )
-    out = profiled.drop("lines").join(lost, F.col("host").eqNullSafe(F.col("lost_host")) & (F.col("text_hash") == F.col("lost_text")), "left").drop("lost_host", "lost_text")
+    out = profiled.drop("lines", "sketch").join(lost, F.col("host").eqNullSafe(F.col("lost_host")) & (F.col("text_hash") == F.col("lost_text")), "left").drop("lost_host", "lost_text")
     out = out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= least_left * F.col("n_words"))).withColumnRenamed("id", id_col)

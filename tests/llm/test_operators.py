@@ -124,6 +124,17 @@ def test_common_lines_go_and_depleted_documents_with_them(spark):
     assert quality.assess(docs.limit(0)).collect() == []
 
 
+def test_near_copies_keep_their_lines(spark):
+    """50 copies of one text with one line each edited; a line of 40 other texts still goes."""
+    line = lambda i, k: " ".join(f"{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(12))
+    rows = [(i, "\n".join(line(i, 20) if k == i % 10 else line(0, k) for k in range(10)), "h") for i in range(50)]
+    rows += [(100 + i, "\n".join([line(i, 21 + k % 4) + " " + line(k, 25) for k in range(6)] + ["Subscribe to our letters"]), "h") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality.assess(docs).collect()}
+    assert all(got[i].kept and got[i].removed_words == 0 for i in range(50))
+    assert all(got[100 + i].kept and got[100 + i].removed_words == 4 for i in range(40))
+
+
 # 4: language ID
 
 
