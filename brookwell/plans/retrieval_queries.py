@@ -157,10 +157,7 @@ def p09(spark, d):
 @query("e06_greedy_pack", None)
 def e06(spark, d):
     """Greedy bins of each source's texts by length."""
-    texts = table(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))).alias("t"))
-    bins = packing.greedy_bins(F.transform("t", lambda x: x["n_chars"]), 12_000)
-    zipped = F.arrays_zip(F.transform("t", lambda x: x["doc_id"]).alias("doc_id"), bins.alias("bin"))
-    return texts.select("source", F.explode(zipped).alias("z")).select("source", "z.doc_id", "z.bin")
+    return packing.greedy_bin_rows(table(spark, d, "documents"), "source", "doc_id", "n_chars", 12_000)
 
 
 @query("l38_semsim", "SELECT a.label, round(avg(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))), 6) AS mean_cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 GROUP BY a.label")

@@ -234,8 +234,8 @@ def g07(spark, d):
 
 @query("k12_chat_pack", "SELECT conv_id, string_agg(CASE WHEN i % 2 = 0 THEN 'user:' ELSE 'assistant:' END || length(text), '|' ORDER BY i) AS packed FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations) GROUP BY conv_id")
 def k12(spark, d):
-    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    packed = F.transform(arrays.alternate_roles(F.col("t.text")), lambda m: F.concat(m["role"], F.lit(":"), F.length(m["content"])))
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("size")))).alias("t"))
+    packed = F.transform(arrays.alternate_roles(F.col("t.size")), lambda m: F.concat(m["role"], F.lit(":"), m["content"]))
     return turns.select("conv_id", F.array_join(packed, "|").alias("packed"))
 
 

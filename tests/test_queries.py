@@ -4,8 +4,10 @@ import re
 
 import pytest
 from oracle import connect, differences
+from pyspark.sql import functions as F
 
 from brookwell import registry
+from brookwell.operators import packing
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +54,14 @@ def test_dump_has_the_chunks_of_all_documents(spark):
     dumped = registry.QUERIES["a36_chunk_dump"](spark, SF).select("doc_id", "chunk_order_index").collect()
     assert len(dumped) == registry.QUERIES["l01_token_chunk"](spark, SF).count()
     assert dumped == sorted(dumped) and max(r.doc_id for r in dumped) >= 100
+
+
+@pytest.mark.parametrize("most", [1, 7, 40, 10_000])
+def test_bins_by_rows_are_the_fold(spark, most):
+    rows = [(i * 3 % 997, (i * i * 7 + i) % 11 * (i % 5 > 0), "abc"[i % 7 % 3]) for i in range(400)] + [(2000, 90, "a"), (2001, 80, "a"), (1, 5, None)]
+    items = spark.createDataFrame(rows, "doc_id long, n_chars int, source string")
+    got = packing.greedy_bin_rows(items, "source", "doc_id", "n_chars", most, run=16)
+    lists = items.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))).alias("t"))
+    folded = lists.select("source", F.col("t.doc_id").alias("ids"), packing.greedy_bins(F.col("t.n_chars"), most).alias("bins")).collect()
+    assert {(r.source, r.doc_id): r.bin for r in got.collect()} == {(r.source, i): b for r in folded for i, b in zip(r.ids, r.bins, strict=True)}
+    assert "collect_list" not in got._jdf.queryExecution().toString()
