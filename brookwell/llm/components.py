@@ -3,19 +3,20 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brookwell.llm.work import written
+from brookwell.llm.work import attach, drop, written
 
 
-def _toward_least(edges: DataFrame, larger_only: bool) -> DataFrame:
+def _toward_least(edges: DataFrame, n_edges: int, larger_only: bool) -> DataFrame:
     """Hang neighbours on the least member of each closed neighbourhood.
 
     With ``larger_only`` each node hands its least member to its larger
     neighbours (large star), otherwise to its smaller ones and itself (small star).
+    The edges of a star's centre stay spread: its least member comes to them by broadcast.
     """
     if larger_only:
         edges = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-    met = edges.join(least, edges.a == least.n)
+    least = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+    met = attach(edges, least, ["a"], "n", 2 * n_edges)
     if larger_only:
         return met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
     return met.select("b", "m").union(met.select("a", "m")).toDF("a", "b").where("a > b").distinct()
@@ -30,12 +31,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Raises if ``most_rounds`` (more than any 2**30-node graph needs) don't suffice.
     """
     a, b = edges.columns
-    now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct()
-    now, mark = written(now, "edges"), None
+    now = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    mark = None
     for _ in range(most_rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == mark or not state[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
+            return now.toDF("node", "root").union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         mark = state
-        now = written(_toward_least(_toward_least(now, True), False), "edges")
-    raise RuntimeError(f"no fixed point after {most_rounds} rounds")
+        large = written(_toward_least(now, state[0], True), "edges")
+        new = written(_toward_least(large, state[0], False), "edges")
+        drop(now, large)
+        now = new
+    raise RuntimeError(f"components are not found after {most_rounds} rounds")

@@ -6,20 +6,23 @@
 2. Band and row counts are chosen so that a pair at the threshold meets in some
    band with at least the target recall. Band hashes are shuffled, never texts:
    each member of a bucket is tied to the bucket's least member, which takes one
-   row a member however large the bucket.
-3. Components of those ties are the groups within which links can be. Only their
-   texts are read again; a group larger than ``block`` is dealt into blocks, and
-   each pair of blocks is verified by itself, so no task holds a whole large
-   group. A task intersects the full shingle sets of all its pairs as a matrix
-   product and returns link counts and a spanning forest of the true links, not
-   the pairs.
+   row a member however large the bucket. Components of those ties bound where
+   links can be.
+3. A component is verified as a whole, or bucket by bucket if that moves fewer
+   shingle sets (a pair counts in the first band where it meets), so a chain of
+   texts that are somewhat alike costs what its buckets cost. Either is dealt into
+   blocks of bounded rows and shingles, and each pair of blocks is verified by
+   itself, so no task holds a whole large group. A task intersects the full
+   shingle sets of its pairs as a matrix product and returns link counts and a
+   spanning forest of the true links, not the pairs.
 4. Components of the true links are the near-duplicate classes.
 
 Defined cases: a text without words (null, empty, blank) is linked to nothing and
 is its own class; one to four words count as a single shingle; repeated rows and
 equal texts are one text with a copy count; a null id can belong to a class but
-is never its name (a class of null ids only has a null name); other columns of
-the input are not looked at.
+is never its name (a class of null ids only has a null name); a very long text is
+one set of shingles, alone in its block if it is larger than a block; other
+columns of the input are not looked at, whatever their names.
 """
 
 import hashlib
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from brookwell.llm import wordhash as wh
 from brookwell.llm.components import components
-from brookwell.llm.work import written
+from brookwell.llm.work import attach, written
 
 U64 = np.uint64
 SHINGLE = 5
@@ -111,106 +114,145 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
     return both >= threshold * union - 1e-6
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, most_hashes: int = 128, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, class_id (least id of its class), n_links (other documents at the threshold or above, copies counted), n_copies (documents of the same words, itself included), keeps (true for one row of each class)."""
-    bands, rows = choose_bands(threshold, recall, most_hashes)
-    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    id_type = docs.schema["id"].dataType.simpleString()
+def _signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """Written table (id, text_hash, key, size, bands) of the documents; key is null without words, size counts shingles."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [(k, None if k is None else minhash_bands(s, bands, rows).view(np.int64)) for k, s in shingles(part.column(2))]
-                keys, hashes = pa.array([k for k, _ in found], pa.binary()), pa.array([h for _, h in found], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), keys, hashes], ["id", "text_hash", "key", "bands"])
+                found = [(k, len(s), None if k is None else minhash_bands(s, bands, rows).view(np.int64)) for k, s in shingles(part.column(2))]
+                keys, sizes, hashes = pa.array([k for k, _, _ in found], pa.binary()), pa.array([n for _, n, _ in found], pa.int64()), pa.array([h for _, _, h in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), keys, sizes, hashes], ["id", "text_hash", "key", "size", "bands"])
 
-    signed = written(docs.mapInArrow(sign, f"id {id_type}, text_hash long, key binary, bands array<long>"), "signatures")
-    texts = signed.where("key IS NOT NULL").groupBy("key").agg(
-        F.min(F.struct("id", "text_hash")).alias("any_row"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "text_hash"))).alias("named_row"), F.count("*").alias("n_copies"), F.max("bands").alias("bands")
-    )
-    texts = written(texts.select("key", F.coalesce("named_row", "any_row").alias("r"), "n_copies", "bands").select("key", "r.id", "r.text_hash", "n_copies", "bands"), "texts")
-    placed = texts.select("key", F.posexplode("bands").alias("band", "hash"))
-    buckets = placed.groupBy("band", "hash").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    ties = placed.join(buckets, ["band", "hash"]).where(F.col("key") != F.col("head")).select("key", "head")
+    id_type = docs.schema["id"].dataType.simpleString()
+    return written(docs.mapInArrow(sign, f"id {id_type}, text_hash long, key binary, size long, bands array<long>"), "signatures")
+
+
+def _placements(texts: DataFrame, n_texts: int, bands: int, block: int, block_size: int) -> DataFrame:
+    """The texts that share a bucket with another, with ``at``: the groups (gid, band, n_blocks) in which each is verified. Band is -1 for a whole component."""
+    n_blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") / block_size)).cast("int").alias("n_blocks")
+    placed = texts.select("uid", "size", F.posexplode("bands").alias("band", "hash"))
+    buckets = placed.groupBy("band", "hash").agg(F.min("uid").alias("head"), F.count("*").alias("n"), F.sum("size").alias("size")).where("n > 1")
+    buckets = written(buckets.select("band", "hash", "head", "n", n_blocks), "buckets")
+    ties = attach(placed.drop("size"), buckets, ["band", "hash"], "n", n_texts * bands).where(F.col("uid") != F.col("head")).select("uid", "head")
     groups = written(components(ties), "groups")
 
-    # A group of more than `block` texts is dealt into blocks; a text goes to every pair that has its block.
-    sized = groups.groupBy("root").agg(F.count("*").alias("n")).withColumn("n_blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
-    members = groups.join(sized, "root").select(F.col("node").alias("key"), "root", "n_blocks").join(texts.select("key", "id", "text_hash", "n_copies"), "key")
-    found = members.join(docs, members.id.eqNullSafe(docs.id) & (members.text_hash == docs.text_hash)).select("key", "root", "n_blocks", "n_copies", "text")
+    members = written(groups.withColumnRenamed("node", "uid").join(texts, "uid"), "members")
+    roots = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("size")).select("root", "n", n_blocks)
+    costs = buckets.join(groups.withColumnRenamed("node", "head"), "head").groupBy("root").agg(F.sum(F.col("n") * F.col("n_blocks")).alias("by_bucket"))
+    roots = written(roots.join(costs, "root").withColumn("whole", F.col("n") * F.col("n_blocks") <= F.col("by_bucket")), "roots")
+    n_members = members.count()
+    here = attach(members, roots, ["root"], "n", n_members).drop("n")
+    where = lambda gid, band: F.struct(F.col(gid).alias("gid"), band.cast("int").alias("band"), "n_blocks")
+    whole = here.where("whole").withColumn("at", F.array(where("root", F.lit(-1))))
+    loose = roots.where("NOT whole")
+    if loose.isEmpty():
+        return whole.drop("n_blocks", "whole", "size", "root")
+    loose = written(here.where("NOT whole").drop("n_blocks", "whole", "root"), "loose")
+    met = attach(loose.select("uid", F.posexplode("bands").alias("band", "hash")), buckets, ["band", "hash"], "n", n_texts * bands)
+    met = met.groupBy("uid").agg(F.collect_list(where("hash", F.col("band"))).alias("at"))
+    return whole.drop("n_blocks", "whole", "size", "root").unionByName(loose.join(met, "uid").drop("size"))
+
+
+def _verified(docs: DataFrame, dealt: DataFrame, n_docs: int, threshold: float) -> DataFrame:
+    """Written table (a, b, links): edges of spanning forests of the true links, and counts of a text's links (b is null)."""
+    once = lambda rows: rows.dropDuplicates(["uid"])  # noqa: E731  a row that is repeated very often
+    found = attach(docs, dealt, ["id", "text_hash"], "n_copies", n_docs, once).select("uid", "key", "n_copies", "bands", "at", "text")
 
     def reshingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                got = list(shingles(part.column(4)))
-                same = pa.array([k == key for (k, _), key in zip(got, part.column(0).to_pylist(), strict=True)], pa.bool_())
+                got = list(shingles(part.column(5)))
+                same = pa.array([k == key for (k, _), key in zip(got, part.column(1).to_pylist(), strict=True)], pa.bool_())
                 sets = pa.array([s.tobytes() for _, s in got], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], sets], ["key", "root", "n_blocks", "n_copies", "shingles"]).filter(same)
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:5], sets], ["uid", "n_copies", "bands", "at", "shingles"]).filter(same)
 
-    own = F.pmod(F.xxhash64("key"), F.col("n_blocks")).cast("int")
+    place = found.schema["at"].dataType.simpleString()
+    own = F.pmod(F.xxhash64("uid", "g.gid"), F.col("g.n_blocks")).cast("int")
     spread = (
-        found.mapInArrow(reshingle, "key binary, root binary, n_blocks int, n_copies long, shingles binary")
+        found.mapInArrow(reshingle, f"uid long, n_copies long, bands array<long>, at {place}, shingles binary")
+        .withColumn("g", F.explode("at"))
         .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        .select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "key", "n_copies", "shingles")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g.n_blocks") - 1)))
+        .select("g.gid", "g.band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "uid", "n_copies", F.when(F.col("g.band") >= 0, F.col("bands")).alias("bands"), "shingles")
     )
 
     def verify(group: pa.Table) -> pa.Table:
-        low, high = group["low"][0].as_py(), group["high"][0].as_py()
-        seen: dict[bytes, int] = {}
-        for i, k in enumerate(group["key"].to_pylist()):
+        band, low, high = (group[c][0].as_py() for c in ("band", "low", "high"))
+        seen: dict[int, int] = {}
+        for i, k in enumerate(group["uid"].to_pylist()):
             seen.setdefault(k, i)
         group = group.take(pa.array(seen.values()))
-        keys, copies, own_block = group["key"].to_pylist(), group["n_copies"].to_numpy(), group["own"].to_numpy()
+        uids, copies, own_block = (group[c].to_numpy() for c in ("uid", "n_copies", "own"))
         sets = [np.frombuffer(s, U64) for s in group["shingles"].to_pylist()]
         left = np.flatnonzero(own_block == low)
         right = left if low == high else np.flatnonzero(own_block == high)
-        links = np.zeros(len(keys), np.int64)
-        label = np.arange(len(keys))
+        links = np.zeros(len(uids), np.int64)
+        label = np.arange(len(uids))
         if len(left) and len(right):
             hit = linked(sets, left, right, threshold)
             if low == high:
                 np.fill_diagonal(hit, False)
+            if band > 0:  # a pair that meets in an earlier band is another group's
+                hashes = np.array(group["bands"].to_pylist(), np.int64)
+                for k in range(band):
+                    hit &= hashes[left, k][:, None] != hashes[right, k][None, :]
             links[left] += hit @ copies[right]
             if low != high:
                 links[right] += hit.T @ copies[left]
             while True:  # each takes the least label it touches, until nothing changes
                 new = label.copy()
-                new[left] = np.minimum(new[left], np.where(hit, label[right][None, :], len(keys)).min(axis=1))
-                new[right] = np.minimum(new[right], np.where(hit, new[left][:, None], len(keys)).min(axis=0))
+                new[left] = np.minimum(new[left], np.where(hit, label[right][None, :], len(uids)).min(axis=1))
+                new[right] = np.minimum(new[right], np.where(hit, new[left][:, None], len(uids)).min(axis=0))
                 new = new[new]
                 if (new == label).all():
                     break
                 label = new
-        at = np.flatnonzero(label != np.arange(len(keys)))
+        at = np.flatnonzero(label != np.arange(len(uids)))
         counted = np.flatnonzero(links)
         return pa.table({
-            "a": pa.array([keys[i] for i in at] + [keys[i] for i in counted], pa.binary()),
-            "b": pa.array([keys[label[i]] for i in at] + [None] * len(counted), pa.binary()),
-            "links": pa.array([0] * len(at) + [int(links[i]) for i in counted], pa.int64()),
+            "a": pa.array(np.concatenate([uids[at], uids[counted]])),
+            "b": pa.array([*uids[label[at]].tolist(), *[None] * len(counted)], pa.int64()),
+            "links": pa.array(np.concatenate([np.zeros(len(at), np.int64), links[counted]])),
         })
 
-    verified = written(spread.groupBy("root", "low", "high").applyInArrow(verify, "a binary, b binary, links long"), "verified")
-    classes = components(verified.where("b IS NOT NULL").select("a", "b"))
-    links = verified.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
-    named = (
-        texts.select("key", "id", "text_hash", "n_copies")
-        .join(classes.withColumnRenamed("node", "key"), "key", "left")
-        .join(links, "key", "left")
-        .withColumn("root", F.coalesce("root", "key"))
-    )
-    heads = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "text_hash")).alias("h")).select("root", F.col("h.id").alias("class_id"), F.col("h.key").alias("head_key"), F.col("h.text_hash").alias("head_text"))
-    known = named.join(heads, "root").select("key", "class_id", "n_copies", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), F.when(F.col("key") == F.col("head_key"), F.struct(F.col("class_id").alias("id"), F.col("head_text").alias("text_hash"))).alias("head"))
-    return signed.drop("bands").join(known, "key", "left").select(
-        F.col("id").alias(id_col),
-        F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
-        "text_hash",
-        (F.col("key").isNull() | F.coalesce(F.col("head").eqNullSafe(F.struct("id", "text_hash")), F.lit(False))).alias("keeps"),
+    return written(spread.groupBy("gid", "band", "low", "high").applyInArrow(verify, "a long, b long, links long"), "verified")
+
+
+def near_duplicates(
+    docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, most_hashes: int = 128, block: int = 512, block_size: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per document: id, class_id (least id of its class), n_links (other documents at the threshold or above, copies counted), n_copies (documents of the same words, itself included), text_hash, keeps (true for one row of each class, and for rows equal to it).
+
+    ``block`` and ``block_size`` bound the rows and shingles of a block of the verification; results don't depend on them.
+    """
+    bands, rows = choose_bands(threshold, recall, most_hashes)
+    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    signed = _signatures(docs, bands, rows)
+    texts = signed.where("key IS NOT NULL").groupBy("key").agg(
+        F.min(F.struct("id", "text_hash")).alias("any_row"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "text_hash"))).alias("named_row"), F.count("*").alias("n_copies"), F.max("size").alias("size"), F.max("bands").alias("bands")
     )
+    texts = texts.select("key", F.coalesce("named_row", "any_row").alias("r"), "n_copies", "size", "bands").select(F.monotonically_increasing_id().alias("uid"), "key", "r.id", "r.text_hash", "n_copies", "size", "bands")
+    texts = written(texts, "texts")
+    n_docs, n_texts = signed.count(), texts.count()
+    dealt = written(_placements(texts, n_texts, bands, block, block_size), "dealt")
+    verified = _verified(docs, dealt, n_docs, threshold)
+
+    names = texts.drop("bands", "size")
+    in_class = written(components(verified.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "uid").join(names, "uid"), "in-class")
+    heads = in_class.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "text_hash")).alias("h"), F.count("*").alias("n"))
+    classes = attach(in_class.select("uid", "root"), heads, ["root"], "n", n_texts).select("uid", "h")
+    links = verified.where("b IS NULL").groupBy(F.col("a").alias("uid")).agg(F.sum("links").alias("links"))
+    own = F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "text_hash")
+    known = names.join(classes, "uid", "left").join(links, "uid", "left").withColumn("h", F.coalesce("h", own))
+    known = known.select("key", F.col("h.id").alias("class_id"), "n_copies", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), F.when(F.col("key") == F.col("h.key"), F.struct("h.id", "h.text_hash")).alias("head"))
+    keeps = F.coalesce(F.col("head").eqNullSafe(F.struct("id", "text_hash")), F.lit(False))
+    signed = signed.drop("bands", "size")
+    with_words = attach(signed.where("key IS NOT NULL"), written(known, "known"), ["key"], "n_copies", n_docs).select("id", "class_id", "n_links", "n_copies", "text_hash", keeps.alias("keeps"))
+    without = signed.where("key IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), "text_hash", F.lit(True).alias("keeps"))
+    return with_words.unionByName(without).withColumnRenamed("id", id_col)
 
 
 def brute_force(rows: list[tuple], threshold: float = 0.8) -> list[tuple]:

@@ -3,10 +3,15 @@
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: A key is hot beyond this many rows, or beyond a share of the rows that at most MOST_HOT keys can have.
+LEAST_HOT, MOST_HOT = 100, 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,4 +61,32 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove written tables whose last reader has been written itself."""
+    for table in tables:
+        delete(table.sparkSession, table.written_to)
+
+
+def attach(rows: DataFrame, unique: DataFrame, on: list[str], n: str, total: int, reduce_hot: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Inner join of ``rows`` with the one row of ``unique`` for each key (nulls match), however many rows a key has.
+
+    Column ``n`` of ``unique`` is at least the number of ``rows`` with the key, and
+    its sum at most about ``total``. Keys of more than ``total / MOST_HOT`` rows
+    (``LEAST_HOT`` at least) are hot; there are fewer than ``MOST_HOT`` of them, so
+    they are broadcast and their rows stay where they are (``reduce_hot`` may shrink
+    them). The other keys are joined by a shuffle. Both inputs are read twice, so
+    they should be written tables or cheap.
+    """
+    keys = {c: f"__on_{c}" for c in on}
+    right = unique.withColumnsRenamed(keys)
+    same = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(F.col(k)) for c, k in keys.items()])
+    limit = max(LEAST_HOT, total // MOST_HOT)
+    hot, rest = right.where(F.col(n) > limit), right.where(F.col(n) <= limit)
+    hot_rows = rows.join(F.broadcast(hot), same).drop(*keys.values())
+    cold = rows.join(F.broadcast(hot.select(*keys.values())), same, "left_anti").join(rest.hint("merge"), same).drop(*keys.values())
+    return cold.unionByName(reduce_hot(hot_rows) if reduce_hot else hot_rows)

@@ -62,6 +62,24 @@ def test_classes_over_all_documents(spark):
     assert ordered(got) == ordered(nearjoin.brute_force(rows))
 
 
+def test_chains_are_verified_by_bucket(spark):
+    """Texts of which only neighbours are somewhat alike, a few true links, repeated rows; small blocks, by rows and by shingles."""
+    word = [f"c{i}" for i in range(2000)]
+    rows = [(i, " ".join(word[8 * i : 8 * i + 60])) for i in range(120)] + [(500 + i, " ".join(word[8 * i : 8 * i + 59])) for i in range(0, 120, 7)]
+    rows += [(3, rows[3][1])] * 150 + [(None, rows[4][1]), (None, rows[4][1])]
+    want = ordered(nearjoin.brute_force(rows))
+    for how in ({"block": 4}, {"block_size": 300}, {"block": 1000}):
+        got = nearjoin.near_duplicates(docs_of(spark, rows), **how).select("doc_id", "class_id", "n_links").collect()
+        assert ordered(got) == want
+
+
+def test_one_large_group_of_near_copies(spark):
+    base = " ".join(f"b{i}" for i in range(90))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit(base + " x"), F.col("id").cast("string")).alias("text"))
+    got = nearjoin.near_duplicates(docs).agg(F.count("*"), F.min("n_links"), F.max("n_links"), F.max("class_id"), F.count_if("keeps")).first()
+    assert tuple(got) == (3000, 2999, 2999, 0, 1)
+
+
 def test_band_choice_reaches_recall():
     for recall in (0.9, 0.99, 0.9999):
         bands, rows = nearjoin.choose_bands(0.8, recall, 128)
@@ -72,6 +90,8 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 120)] + [(7, 7), (None, 3), (1, 0)]
     got = dict(tuple(r) for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 120)}
+    star = spark.range(2000).selectExpr("id + 1 AS a", "0 AS b").union(spark.range(500).selectExpr("id * 3 + 2 AS a", "id + 5000 AS b"))
+    assert components.components(star).agg(F.count("*"), F.max("root")).first() == (2501, 0)
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
