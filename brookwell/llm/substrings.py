@@ -4,17 +4,23 @@ Method: Rabin-Karp hashes of every window, counted over all documents; windows
 that occur more than once merge into maximal removal intervals.
 
 Two shuffles carry the count. Documents are dealt into blocks by a hash of their
-content; a block sends each of its distinct window hashes once (8 bytes, packed
-by hash range), so copies are pre-aggregated and no range of hashes gets more
-than one entry of a hash from one block. The ranges are counted, and one bit for
-each hash goes back to the block that sent it. The texts are shuffled once; both
-uses of the blocks share that exchange.
+content; a block sends each of its distinct window hashes once, packed by bucket,
+so copies are pre-aggregated and no bucket gets more than one entry of a window
+from one block. The buckets are counted, and one bit for each hash goes back to
+the block that sent it. The texts are shuffled once; both uses of the blocks
+share that exchange. Blocks, buckets and the partitions that they are dealt to
+are numbered by the amount of text, so a task's share stays the same as it grows;
+beyond 20,000 blocks of 4 million characters the blocks grow, up to 64 million.
+
+Two independent rolling hashes tell windows apart: one chooses the bucket, the
+other 64 bits stand in it. Over n distinct windows in b buckets the chance of any
+false repeat is about n**2 / (b * 2**65): 1e-4 at 30 GB of text.
 
 Defined cases: null and empty texts have no words and keep nothing; a text of
 fewer words than the window is kept whole; a repeated row is a repeat of each of
-its windows, so both rows lose them; null ids are carried through; other columns
-of the input are not looked at. Hashes have 64 bits: over n distinct windows the
-chance of any false repeat is about n**2 / 2**65.
+its windows, so both rows lose them (rows repeated very often are dealt out once,
+with their count); null ids are carried through; a very long text lies in one
+block; other columns of the input are not looked at, whatever their names.
 """
 
 from collections.abc import Iterator
@@ -26,57 +32,107 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brookwell.llm import wordhash as wh
+from brookwell.llm.work import LEAST_HOT, MOST_HOT, written
 
 U64 = np.uint64
 BLOCK_CHARS = 4_000_000
-MOST_BLOCK_CHARS = 32_000_000
+MOST_BLOCK_CHARS = 64_000_000
 BUCKET_CHARS = 8_000_000
+MOST_PARTITIONS = 100_000
+
+
+class Windows:
+    """The distinct windows of a block of texts, ordered by bucket and hash, and where they occur."""
+
+    def __init__(self, texts: pa.ChunkedArray, width: int, buckets: int):
+        self.width, self.slices = width, list(wh.slices(texts))
+        self.first, hashes, places, self.whole = [], [], [], []
+        for _, data, offsets in self.slices:
+            starts, ends, first = wh.words(data, offsets)
+            words = wh.word_hashes(data, starts, ends)
+            h = wh.window_hashes(words, width)
+            other = wh.window_hashes(wh.mix(words ^ U64(0xA0761D6478BD642F)), width)
+            whole = np.zeros(len(h), bool)
+            if len(h):
+                row = np.searchsorted(first, np.arange(len(h)), "right") - 1
+                whole = np.arange(len(h)) + width <= first[row + 1]
+            self.first.append(first)
+            self.whole.append(whole)
+            hashes.append(h[whole])
+            places.append(((other[whole] >> U64(32)) * U64(buckets)) >> U64(32))
+        hashes = np.concatenate(hashes) if hashes else np.zeros(0, U64)
+        places = np.concatenate(places).astype(np.int64) if places else np.zeros(0, np.int64)
+        order = np.lexsort((hashes, places))
+        hashes, places = hashes[order], places[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (places[1:] != places[:-1])
+        self.hashes, self.buckets = hashes[new], places[new]
+        code = np.cumsum(new) - 1
+        self.counts = np.bincount(code, minlength=len(self.hashes))
+        self.code = np.empty(len(order), np.int64)
+        self.code[order] = code
+
+    def marks(self, repeated: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each slice: bytes, offsets, each row's first word, and which words a repeated window covers."""
+        at = 0
+        for (_, data, offsets), first, whole, in zip(self.slices, self.first, self.whole, strict=True):
+            begins = np.flatnonzero(whole)
+            begins, at = begins[repeated[self.code[at : at + len(begins)]]], at + len(begins)
+            hit = np.zeros(first[-1] + 1, np.int64)
+            if len(begins):
+                hit[begins] += 1
+                np.subtract.at(hit, begins + self.width, 1)
+            yield data, offsets, first, np.cumsum(hit[:-1]) > 0
 
 
-def _rows(table: pa.Table, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each slice of rows: first row, each row's first word, window hashes, which windows lie in one row, bytes, offsets."""
-    for at, data, offsets in wh.slices(table["text"]):
-        starts, ends, first = wh.words(data, offsets)
-        hashes = wh.window_hashes(wh.word_hashes(data, starts, ends), width)
-        whole = np.zeros(len(hashes), bool)
-        if len(hashes):
-            row = np.searchsorted(first, np.arange(len(hashes)), "right") - 1
-            whole = np.arange(len(hashes)) + width <= first[row + 1]
-        yield at, first, hashes, whole, data, offsets
-
-
-def _distinct(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The block's window hashes that occur once in it, and those that occur more often; both sorted."""
-    found = [h[whole] for _, _, h, whole, _, _ in _rows(table, width)]
-    values, counts = np.unique(np.concatenate(found) if found else np.zeros(0, U64), return_counts=True)
-    return values[counts == 1], values[counts > 1]
-
-
-def _edges(values: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each hash range begins in sorted ``values``."""
-    lows = np.array([(b << 64) // buckets for b in range(buckets)], U64)
-    return np.append(np.searchsorted(values, lows), len(values))
+def _repeated_rows(docs: DataFrame) -> DataFrame:
+    """(id, text, rows): rows that are equal in id and text very often become one with a count; the others stay as they are, with a count of 1."""
+    total = docs.count()
+    hashed = docs.withColumn("h", F.xxhash64("text"))
+    often = hashed.groupBy("id", "h").agg(F.count("*").alias("n")).where(F.col("n") > max(LEAST_HOT, total // MOST_HOT)).select(F.col("id").alias("i"), F.col("h").alias("k"))
+    often = written(often, "often")
+    if often.isEmpty():
+        return docs.withColumn("rows", F.lit(1).cast("long"))
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k"))
+    once = hashed.join(F.broadcast(often), same).groupBy("id", "text").agg(F.count("*").alias("rows"))
+    return hashed.join(F.broadcast(often), same, "left_anti").select("id", "text", F.lit(1).cast("long").alias("rows")).union(once)
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_words, n_removed, kept_text (kept words joined by one space)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = _repeated_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     block_chars = min(MOST_BLOCK_CHARS, max(BLOCK_CHARS, chars // 20_000))
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // block_chars))
     n_buckets = max(1, -(-chars // max(BUCKET_CHARS, 2 * block_chars)))
-    blocks = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).alias("block"), "id", "text")
+    block_tasks, bucket_tasks = min(n_blocks, MOST_PARTITIONS), min(n_buckets, MOST_PARTITIONS)
+    blocks = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).alias("block"), "id", "text", "rows").repartition(block_tasks, "block")
+
+    def found(table: pa.Table) -> tuple[Windows, np.ndarray]:
+        """The block's windows, and which of them occur more than once in it."""
+        windows = Windows(table["text"], window, n_buckets)
+        more = windows.counts > 1
+        rows = table["rows"].to_numpy()
+        if (rows > 1).any():  # every window of such a row is repeated
+            at = 0
+            for (row, _, offsets), first, whole in zip(windows.slices, windows.first, windows.whole, strict=True):
+                begins = np.flatnonzero(whole)
+                of = row + np.searchsorted(first, begins, "right") - 1
+                more[windows.code[at : at + len(begins)][rows[of] > 1]] = True
+                at += len(begins)
+        return windows, more
 
     def send(table: pa.Table) -> pa.Table:
-        once, more = _distinct(table, window)
-        a, b = _edges(once, n_buckets), _edges(more, n_buckets)
-        used = [i for i in range(n_buckets) if a[i] < a[i + 1] or b[i] < b[i + 1]]
+        windows, more = found(table)
+        edges = np.searchsorted(windows.buckets, np.arange(n_buckets + 1))
+        used = np.flatnonzero(edges[1:] > edges[:-1])
+        cut = lambda keep: [windows.hashes[edges[i] : edges[i + 1]][keep[edges[i] : edges[i + 1]]].tobytes() for i in used]
         return pa.table({
             "bucket": pa.array(used, pa.int64()),
             "block": pa.array([table["block"][0].as_py()] * len(used), pa.int64()),
-            "once": pa.array([once[a[i] : a[i + 1]].tobytes() for i in used], pa.binary()),
-            "more": pa.array([more[b[i] : b[i + 1]].tobytes() for i in used], pa.binary()),
+            "once": pa.array(cut(~more), pa.binary()),
+            "more": pa.array(cut(more), pa.binary()),
         })
 
     def count(table: pa.Table) -> pa.Table:
@@ -88,40 +144,29 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         return pa.table({"block": table["block"], "bucket": table["bucket"], "bits": pa.array(bits, pa.binary())})
 
     def cut(marks: pa.Table, table: pa.Table) -> pa.Table:
-        once, more = _distinct(table, window) if table.num_rows else (np.zeros(0, U64),) * 2
-        edges = _edges(once, n_buckets)
-        again = np.zeros(len(once), bool)
-        for b, bits in zip(marks["bucket"].to_pylist(), marks["bits"].to_pylist(), strict=True):
-            n = edges[b + 1] - edges[b]
-            again[edges[b] : edges[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-        repeated = np.sort(np.concatenate([once[again], more]))
         n_words, n_removed, kept = [], [], []
-        for _, first, hashes, whole, data, offsets in _rows(table, window):
-            hit = np.zeros(first[-1] + 1, np.int64)
-            if len(repeated) and len(hashes):
-                at = np.minimum(np.searchsorted(repeated, hashes), len(repeated) - 1)
-                begins = np.flatnonzero(whole & (repeated[at] == hashes))
-                hit[begins] += 1
-                np.subtract.at(hit, begins + window, 1)
-            covered = np.cumsum(hit[:-1]) > 0
-            raw = data.tobytes()
-            for i in range(len(first) - 1):
-                mask = covered[first[i] : first[i + 1]]
-                tokens = raw[offsets[i] : offsets[i + 1]].split()
-                n_words.append(len(tokens))
-                n_removed.append(int(mask.sum()))
-                kept.append(b" ".join(compress(tokens, ~mask) if mask.any() else tokens).decode())
-        return pa.table({"id": table["id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string())})
-
-    sent = blocks.groupBy("block").applyInArrow(send, "bucket long, block long, once binary, more binary")
-    marks = sent.groupBy("bucket").applyInArrow(count, "block long, bucket long, bits binary")
+        if table.num_rows:
+            windows, repeated = found(table)
+            edges = np.searchsorted(windows.buckets, np.arange(n_buckets + 1))
+            for b, bits in zip(marks["bucket"].to_pylist(), marks["bits"].to_pylist(), strict=True):
+                once = np.flatnonzero(~repeated[edges[b] : edges[b + 1]]) + edges[b]
+                repeated[once[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(once)).astype(bool)]] = True
+            for data, offsets, first, covered in windows.marks(repeated):
+                raw = data.tobytes()
+                for i in range(len(first) - 1):
+                    mask = covered[first[i] : first[i + 1]]
+                    tokens = raw[offsets[i] : offsets[i + 1]].split()
+                    n_words.append(len(tokens))
+                    n_removed.append(int(mask.sum()))
+                    kept.append(b" ".join(compress(tokens, ~mask) if mask.any() else tokens).decode())
+        return pa.table({"id": table["id"], "rows": table["rows"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string())})
+
+    sent = blocks.groupBy("block").applyInArrow(send, "bucket long, block long, once binary, more binary").repartition(bucket_tasks, "bucket")
+    marks = sent.groupBy("bucket").applyInArrow(count, "block long, bucket long, bits binary").repartition(block_tasks, "block")
     id_type = docs.schema["id"].dataType.simpleString()
-    return (
-        marks.groupBy("block")
-        .cogroup(blocks.groupBy("block"))
-        .applyInArrow(cut, f"id {id_type}, n_words long, n_removed long, kept_text string")
-        .withColumnRenamed("id", id_col)
-    )
+    out = marks.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(cut, f"id {id_type}, rows long, n_words long, n_removed long, kept_text string")
+    each = F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))
+    return out.withColumn("row", each).drop("row", "rows").withColumnRenamed("id", id_col)
 
 
 def brute_force(rows: list[tuple], window: int = 35) -> list[tuple]:
@@ -138,5 +183,3 @@ def brute_force(rows: list[tuple], window: int = 35) -> list[tuple]:
                 gone.update(range(k, k + window))
         out.append((i, len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode()))
     return out
-
-

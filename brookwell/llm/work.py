@@ -66,21 +66,30 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove written tables whose last reader has been written itself."""
     for table in tables:
         delete(table.sparkSession, table.written_to)
 
 
-def attach(rows: DataFrame, unique: DataFrame, on: list[str], n: str, total: int, reduce_hot: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def attach(rows: DataFrame, unique: DataFrame, on: list[str], n: str, total: int, reduce_hot: Callable[[DataFrame], DataFrame] | None = None, merge: bool = True) -> DataFrame:
     """Inner join of ``rows`` with the one row of ``unique`` for each key (nulls match), however many rows a key has.
 
     Column ``n`` of ``unique`` is at least the number of ``rows`` with the key, and
     its sum at most about ``total``. Keys of more than ``total / MOST_HOT`` rows
     (``LEAST_HOT`` at least) are hot; there are fewer than ``MOST_HOT`` of them, so
     they are broadcast and their rows stay where they are (``reduce_hot`` may shrink
-    them). The other keys are joined by a shuffle. Both inputs are read twice, so
-    they should be written tables or cheap.
+    them). The other keys are joined by a shuffle, or with ``merge`` off as Spark
+    decides by size. Both inputs are read twice, so they should be written tables or
+    cheap.
     """
     keys = {c: f"__on_{c}" for c in on}
     right = unique.withColumnsRenamed(keys)
@@ -88,5 +97,5 @@ def attach(rows: DataFrame, unique: DataFrame, on: list[str], n: str, total: int
     limit = max(LEAST_HOT, total // MOST_HOT)
     hot, rest = right.where(F.col(n) > limit), right.where(F.col(n) <= limit)
     hot_rows = rows.join(F.broadcast(hot), same).drop(*keys.values())
-    cold = rows.join(F.broadcast(hot.select(*keys.values())), same, "left_anti").join(rest.hint("merge"), same).drop(*keys.values())
+    cold = rows.join(F.broadcast(hot.select(*keys.values())), same, "left_anti").join(rest.hint("merge") if merge else rest, same).drop(*keys.values())
     return cold.unionByName(reduce_hot(hot_rows) if reduce_hot else hot_rows)
