@@ -10,46 +10,64 @@ join and a grouped sum over (source, size) cells, so its cost depends on the
 number of distinct sizes, not documents; a bracket falls back to bisection where
 a Newton step would leave it.
 
-Rates become whole copies by error diffusion over a source's cells from long to
-short documents: each cell takes the number of copies that keeps the words taken
-so far nearest to the words due, so the error at the end is about half of a short
+Rates become whole copies from long to short documents: the copies of a source's
+cells up to any size are the nearest whole number to the copies due, by prefix
+sums over ranges of ``RANGE`` sizes and then over the ranges. What that leaves
+owed or overpaid, half of the longest document at most, goes to the source's
+``TAIL`` shortest sizes, where each cell takes the copies that keep the words
+taken nearest to the words due; the error at the end is about half of a short
 document. Which documents of a cell get one copy more goes by a hash, cell parts
-of about ``PART`` documents each taking their share; a rerun gives the same.
+of about ``PART`` documents each taking their share. Sums that decide are exact
+decimals, so a rerun gives the same whatever the order of its rows.
 
 Defined cases: a null text has size 0; null sources form one source, last in
 order; a null id is carried through; repeated rows are documents of their own
 (equal rows may differ in copies, the set of results stays the same); a source
-without words has target 0 and takes nothing; an empty table gives an empty one;
-other columns are not looked at. Sources are ranked, and cells of one source
-folded, in single tasks: the first holds one row a source, the second one row a
-distinct document size.
+without words has target 0 and takes nothing; a very long text is a cell of its
+own; an empty table gives an empty one; other columns are not looked at, whatever
+their names. An iteration that doesn't converge raises an error.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brookwell.llm.work import written
+from brookwell.llm.work import attach, drop, fresh, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-PART = 1000
+PART, RANGE, TAIL = 1000, 1024, 1024
 
 
 def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _exact(c: Column) -> Column:
+    """A sum that doesn't depend on the order of its terms."""
+    return F.sum(c.cast("decimal(38,20)")).cast("double")
+
+
+def _ranked(totals: DataFrame) -> DataFrame:
+    """``totals`` with ``rank``, from 0 in the order of source (null last): places within sorted ranges, and the rows of the ranges before."""
+    order = F.col("source").asc_nulls_last()
+    ordered = written(totals.repartitionByRange(order).sortWithinPartitions(order).withColumn("place", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("place", 33)
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
+    ranges = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    return ordered.withColumn("part", part).join(ranges, "part").withColumn("rank", F.col("before") + F.col("place") - F.shiftleft("part", 33)).drop("part", "place", "before")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, docs, source_size, target) from (source, size, n) cells."""
     totals = sizes.groupBy("source").agg(F.sum("n").alias("docs"), F.sum(F.col("n") * F.col("size")).alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (rank % len(weights) + 1).cast("int"))
-    totals = written(totals.withColumn("weight", weight).withColumn("cap", most * F.col("source_size").cast("double")), "sources")
-    whole, caps = totals.agg(F.coalesce(F.sum("source_size"), F.lit(0)) * float(share), F.coalesce(F.sum("cap"), F.lit(0.0))).first()
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    totals = written(_ranked(totals).withColumn("weight", weight).withColumn("cap", most * F.col("source_size").cast("double")), "sources")
+    total = lambda c: F.coalesce(_exact(c), F.lit(0.0))
+    whole, caps = totals.agg(F.coalesce(F.sum("source_size"), F.lit(0)) * float(share), total(F.col("cap"))).first()
     due, level, full = min(float(whole), caps), 0.0, -1
-    while True:  # each round caps more sources; two numbers come back from each
+    while True:  # each round caps more sources; three numbers come back from each
         capped = F.col("cap") <= level * F.col("weight")
-        n, taken, left = totals.agg(F.count_if(capped), F.coalesce(F.sum(F.when(capped, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~capped, F.col("weight"))), F.lit(0.0))).first()
+        n, taken, left = totals.agg(F.count_if(capped), total(F.when(capped, F.col("cap"))), total(F.when(~capped, F.col("weight")))).first()
         if n == full or not left:
             break
         full, level = n, (due - taken) / left
@@ -70,30 +88,51 @@ def solve_tilts(cells: DataFrame, targets: DataFrame, most: float = 2.0, toleran
     )
     state = written(state, "tilts")
     for _ in range(most_rounds):
-        if not state.where(F.col("fixed").isNull() & (F.col("error") > tolerance)).limit(1).count():
-            break
+        if state.where(F.col("fixed").isNull() & (F.col("error") > tolerance)).isEmpty():
+            return state.select(F.col("s").alias("source"), "mean", "lam", "fixed")
         x = F.col("size") / F.col("mean")
         r = _rate(F.col("lam"), x, most)
         sums = cells.join(state.where("fixed IS NULL"), same).groupBy("s").agg(
-            F.sum(F.col("n") * F.col("size") * r).alias("words"), F.sum(F.col("n") * F.col("size") * x * r * (1 - r / most)).alias("slope")
+            _exact(F.col("n") * F.col("size") / F.col("target") * r).alias("words"), _exact(F.col("n") * F.col("size") / F.col("target") * x * r * (1 - r / most)).alias("slope")
         ).withColumnRenamed("s", "k")
-        met = state.join(sums, F.col("s").eqNullSafe(F.col("k")), "left").withColumn("gap", F.col("words") - F.col("target"))
+        met = state.join(sums, F.col("s").eqNullSafe(F.col("k")), "left").withColumn("gap", F.col("words") - 1)
         met = met.withColumn("high", F.when(F.col("gap") > 0, F.col("lam")).otherwise(F.col("high"))).withColumn("low", F.when(F.col("gap") <= 0, F.col("lam")).otherwise(F.col("low")))
         reach = 2 + F.abs("lam")
         step = F.col("lam") - F.when(F.col("slope") > 0, F.col("gap") / F.col("slope")).otherwise(F.signum("gap") * reach)
         step = F.greatest(F.least(step, F.col("lam") + reach), F.col("lam") - reach)
         outside = (step <= F.col("low")) | (step >= F.col("high"))
         new = F.when(F.coalesce(outside, F.lit(False)), F.coalesce((F.col("low") + F.col("high")) / 2, step)).otherwise(step)
-        error = F.coalesce(F.abs("gap") / F.col("target"), F.lit(0.0))
-        state = written(met.select("s", "target", "mean", "fixed", F.when(error > tolerance, new).otherwise(F.col("lam")).alias("lam"), "low", "high", error.alias("error")), "tilts")
-    return state.select(F.col("s").alias("source"), "mean", "lam", "fixed")
+        error = F.coalesce(F.abs("gap"), F.lit(0.0))
+        old, state = state, written(met.select("s", "target", "mean", "fixed", F.when(error > tolerance, new).otherwise(F.col("lam")).alias("lam"), "low", "high", error.alias("error")), "tilts")
+        drop(old)
+    raise RuntimeError(f"the tilts have not converged after {most_rounds} rounds")
 
 
 def _copies(cells: DataFrame, tilts: DataFrame, most: float) -> DataFrame:
     """(source, size, rate, n, base, extra): copies that all documents of a cell get, and how many of them get one more."""
     t = tilts.withColumnRenamed("source", "s")
     rated = cells.join(t, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "n", F.coalesce("fixed", _rate(F.col("lam"), F.col("size") / F.col("mean"), most)).alias("rate"))
-    in_order = F.sort_array(F.collect_list(F.struct("size", "n", "rate")), asc=False)
+    rated = written(rated.select("source", "size", "n", "rate", (F.col("n") * F.col("rate")).cast("decimal(28,12)").alias("due"), F.floor(F.col("size") / RANGE).alias("range")), "rated")
+    by_range = rated.groupBy("source", "range").agg(F.count("*").alias("cells"), F.sum("due").alias("due"))
+    shorter = F.coalesce(F.sum("cells").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_range = by_range.select(F.col("source").alias("s"), F.col("range").alias("r"), shorter.alias("shorter"))
+    rated = rated.join(by_range, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).drop("s", "r")
+    place = F.col("shorter") + F.row_number().over(Window.partitionBy("source", "range").orderBy("size"))
+    rated = written(rated.withColumn("in_tail", place <= TAIL).drop("shorter"), "rated")
+    most_of_cell = F.floor(F.col("n") * F.lit(float(most))).cast("long")
+
+    head = rated.where("NOT in_tail")
+    ranges = head.groupBy("source", "range").agg(F.sum("due").alias("due"))
+    zero = F.lit(0).cast("decimal(38,12)")
+    before = F.coalesce(F.sum("due").over(Window.partitionBy("source").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)), zero)
+    ranges = ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), before.alias("before"))
+    head = head.join(ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    upto = F.col("before") + F.sum("due").over(Window.partitionBy("source", "range").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0))
+    nearest = lambda c: F.floor(c + F.lit(0.5).cast("decimal(2,1)")).cast("long")
+    head = head.withColumn("upto", upto).withColumn("copies", F.least(nearest(F.col("upto")) - nearest(F.col("upto") - F.col("due")), most_of_cell))
+    head = written(head.select("source", "size", "rate", "n", "due", "copies"), "head")
+    owed = head.groupBy(F.col("source").alias("s")).agg(F.sum((F.col("due") - F.col("copies")).cast("decimal(18,12)") * F.col("size").cast("decimal(19,0)")).cast("double").alias("owed"))
+
     kind = "array<struct<size:bigint,rate:double,n:bigint,copies:bigint>>"
 
     def step(acc: Column, c: Column) -> Column:
@@ -103,40 +142,67 @@ def _copies(cells: DataFrame, tilts: DataFrame, most: float) -> DataFrame:
         row = F.struct(c["size"].alias("size"), c["rate"].alias("rate"), c["n"].alias("n"), copies.alias("copies"))
         return F.struct((acc["owed"] + (due - copies) * c["size"]).cast("double").alias("owed"), F.concat(acc["out"], F.array(row)).cast(kind).alias("out"))
 
-    folded = F.aggregate(in_order, F.struct(F.lit(0.0).alias("owed"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
-    cell = rated.groupBy("source").agg(folded.alias("c")).select("source", F.explode("c").alias("c")).select("source", "c.*")
+    # At most TAIL sizes a source
+    tail = rated.where("in_tail").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "n", "rate")), asc=False).alias("cells"))
+    tail = tail.join(owed, F.col("source").eqNullSafe(F.col("s")), "left")
+    folded = F.aggregate("cells", F.struct(F.coalesce("owed", F.lit(0.0)).alias("owed"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+    tail = tail.select("source", F.explode(folded).alias("c")).select("source", "c.*")
+    cell = tail.unionByName(head.drop("due"))
     base = F.floor(F.col("copies") / F.col("n"))
     return cell.withColumn("base", base).withColumn("extra", F.col("copies") - F.col("base") * F.col("n")).drop("copies")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: id, text_hash, source, size, source_size, target, rate, copies, taken."""
-    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("text_hash"), size_of(F.col(text_col)).alias("size")), "sizes")
-    cells = written(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
-    targets = written(source_targets(cells, weights, share, most), "targets")
-    plan = written(_copies(cells, solve_tilts(cells, targets, most), most), "plan")
+def _allotted(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Written table (id, source, text_hash, size, rows, rate, source_size, target, base, more): of ``rows`` equal rows, ``more`` get base + 1 copies and the others base."""
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("text_hash"), size_of(F.col(text_col)).alias("size"))
+    sized = written(sized.groupBy("id", "source", "text_hash", "size").agg(F.count("*").alias("rows")), "sizes")
+    cells = written(sized.groupBy("source", "size").agg(F.sum("rows").alias("n"), F.count("*").alias("n_rows")), "cells")
+    targets = written(source_targets(cells.drop("n_rows"), weights, share, most), "targets")
+    plan = _copies(cells.drop("n_rows"), solve_tilts(cells.drop("n_rows"), targets, most), most)
+    aims = targets.select(F.col("source").alias("s"), "source_size", "target")
+    plan = plan.join(aims, F.col("source").eqNullSafe(F.col("s"))).drop("s").join(cells.select(F.col("source").alias("s"), F.col("size").alias("z"), "n_rows"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
+    plan = written(plan.withColumn("parts", F.ceil(F.col("n") / PART)), "plan")
 
-    plan = plan.select(F.col("source").alias("s"), F.col("size").alias("z"), "rate", "base", "n", "extra", F.ceil(F.col("n") / PART).alias("parts"))
-    placed = sized.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
+    placed = attach(sized, plan, ["source", "size"], "n_rows", sized.count()).drop("n_rows")
     placed = placed.withColumn("h", F.xxhash64("id", "text_hash", F.lit("copies"))).withColumn("part", F.pmod("h", "parts"))
-    counts = placed.groupBy("source", "size", "part").agg(F.count("*").alias("in_part"))
+    placed = written(placed, "placed")
+    counts = placed.groupBy("source", "size", "part").agg(F.sum("rows").alias("in_part"))
     upto = F.sum("in_part").over(Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
     counts = counts.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("part").alias("p"), "in_part", upto.alias("upto"))
-    placed = placed.join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p"))).drop("s", "z", "p")
+    placed = placed.join(counts.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p"))).drop("s", "z", "p")
     quota = F.floor(F.col("extra") * F.col("upto") / F.col("n")) - F.floor(F.col("extra") * (F.col("upto") - F.col("in_part")) / F.col("n"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("h", "id"))
-    chosen = placed.withColumn("copies", F.col("base") + (rank <= quota).cast("long"))
-    t = targets.select(F.col("source").alias("s"), "source_size", "target")
-    return chosen.join(t, F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("id").alias(id_col), "text_hash", F.col("source").alias(source_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken")
-    )
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy("source", "size", "part").orderBy("h", "id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    more = F.greatest(F.lit(0), F.least(F.col("rows"), quota - before)).cast("long")
+    return written(placed.select("id", "source", "text_hash", "size", "rows", "rate", "source_size", "target", "base", more.alias("more")), "allotted")
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The documents of the mix in their own columns, with ``copies`` and ``taken``; rows that are equal in id, source and text become one with their copies added up."""
-    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    plan = plan.groupBy(F.col(id_col).alias("__i"), F.col(source_col).alias("__s"), F.col("text_hash").alias("__h")).agg(F.sum("copies").alias("__copies"), F.sum("taken").alias("__taken")).where("__copies > 0")
-    rest = [c for c in docs.columns if c not in (id_col, source_col, "copies", "taken")]
-    keyed = docs.withColumn("__k", F.xxhash64(text_col)).groupBy(id_col, source_col, "__k").agg(*(F.first(c).alias(c) for c in rest))
-    joined = keyed.join(plan, keyed[id_col].eqNullSafe(F.col("__i")) & keyed[source_col].cast("string").eqNullSafe(F.col("__s")) & (F.col("__k") == F.col("__h")))
-    return joined.select(*(c for c in docs.columns if c not in ("copies", "taken")), F.col("__copies").alias("copies"), F.col("__taken").alias("taken"))
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per document: id, text_hash, source, size, source_size, target, rate, copies, taken."""
+    each = F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))
+    out = _allotted(docs, weights, share, most, id_col, text_col, source_col).withColumn("row", each)
+    out = out.withColumn("copies", F.col("base") + (F.col("row") <= F.col("more")).cast("long"))
+    return out.select(F.col("id").alias(id_col), "text_hash", F.col("source").alias(source_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mix_documents(
+    docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
+    """The documents of the mix in their own columns, with ``copies`` and ``taken``; equal rows become one with their copies added up. Columns of those names are replaced."""
+    docs = docs.drop("copies", "taken")
+    plan = _allotted(docs, weights, share, most, id_col, text_col, source_col)
+    i, s, h = (fresh(docs, c) for c in ("__id", "__source", "__hash"))
+    plan = plan.select(F.col("id").alias(i), F.col("source").alias(s), F.col("text_hash").alias(h), "rows", "base", "more", "size").where("base > 0 OR more > 0")
+    names = {c: fresh(docs, f"__{c}") for c in ("rows", "base", "more", "size")}
+    plan = plan.withColumnsRenamed(names)
+    rows, base, more, size = (F.col(names[c]) for c in ("rows", "base", "more", "size"))
+    keyed = docs.withColumns({i: F.col(id_col), s: F.col(source_col).cast("string"), h: F.xxhash64(text_col)})
+    met = attach(keyed, plan, [i, s, h], names["rows"], plan.count())
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    single = met.where(rows == 1).select(*kept, (base + more).alias("copies"), ((base + more) * size).alias("taken"))
+    equal, first = fresh(docs, "__equal"), fresh(docs, "__before")
+    repeated = met.where(rows > 1).groupBy(*met.columns).agg(F.count("*").alias(equal))
+    order = Window.partitionBy(i, s, h).orderBy(F.xxhash64(*kept)).rowsBetween(Window.unboundedPreceding, -1)
+    repeated = repeated.withColumn(first, F.coalesce(F.sum(equal).over(order), F.lit(0)))
+    copies = base * F.col(equal) + F.greatest(F.lit(0), F.least(F.col(equal), more - F.col(first)))
+    repeated = repeated.select(*kept, copies.cast("long").alias("copies"), (copies * size).cast("long").alias("taken")).where("copies > 0")
+    return single.unionByName(repeated)
