@@ -13,10 +13,15 @@ stands there must be repeated more to go, and text elsewhere is judged by the tr
 as on any page. A main element inside one that is off by its class, or in a form,
 is on again, unless it is a comment.
 
+A path that fewer than ``LEAST_PAGES`` of the host's distinct pages have is not
+judged: two or three pages that agree say nothing about a template, so small sites
+keep what the roles leave.
+
 Defined cases: a null or empty page has empty text; a null or odd url belongs to
 the host ``""``; copies of a page count once in their host's tree; repeated rows
 get equal results; broken markup (unclosed or crossing tags, stray ``<``) is read
-as far as it goes; other columns are not looked at.
+as far as it goes; a very long page is parsed by itself, in time proportional to
+its length; other columns are not looked at, whatever their names.
 """
 
 import html as entities
@@ -28,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookwell.llm.work import written
+from brookwell.llm.work import attach, written
 
 LEAST_PAGES, LEAST_IMPORTANCE, GAMMA = 5, 0.1, 0.9
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)>", re.S)
@@ -217,9 +222,10 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_importance:
     """One row per page: id, url, text. Every page is joined with the low branches that it has; the markup is never shuffled."""
     parsed = parse_pages(pages, id_col, url_col, html_col)
     nodes = style_nodes(parsed)
-    low = importance(nodes).where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance)).select("host", "path")
-    poor = nodes.select("host", "h", "path").join(low, ["host", "path"]).groupBy(F.col("host").alias("ph"), F.col("h").alias("pp")).agg(F.collect_set("path").alias("low"))
-    judged = parsed.join(written(poor, "low-branches"), (F.col("host") == F.col("ph")) & (F.col("h") == F.col("pp")), "left")
-    kept = F.filter("blocks", lambda b: ~F.array_contains(F.coalesce("low", F.array().cast("array<bigint>")), b["path"]))
+    low = written(importance(nodes).where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance)).select("host", "path", "pages"), "low-paths")
+    poor = attach(nodes.select("host", "h", "path"), low, ["host", "path"], "pages", nodes.count()).groupBy("host", "h").agg(F.collect_set("path").alias("low"))
+    rows = parsed.groupBy("host", "h").agg(F.count("*").alias("rows"))
+    judged = written(rows.join(poor, ["host", "h"], "left").select("host", "h", "rows", F.coalesce("low", F.array().cast("array<bigint>")).alias("low")), "low-branches")
+    kept = F.filter("blocks", lambda b: ~F.array_contains("low", b["path"]))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return judged.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"))
+    return attach(parsed, judged, ["host", "h"], "rows", parsed.count(), merge=False).select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"))

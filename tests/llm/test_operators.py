@@ -39,6 +39,13 @@ def test_repeats_match_brute_force(spark):
     assert substrings.remove_repeats(docs_of(spark, ODD).limit(0)).collect() == []
 
 
+def test_one_row_repeated_very_often(spark):
+    rows = [(1, WORDS)] * 300 + [(2, WORDS.split(" ", 5)[5]), (3, "é " * 80), (4, " ".join(f"z{i}" for i in range(200_000)))]
+    got = substrings.remove_repeats(docs_of(spark, rows), window=20).collect()
+    assert ordered(got) == ordered(substrings.brute_force(rows, 20))
+    assert substrings.remove_repeats(docs_of(spark, [(None, WORDS)] * 300 + [(9, "a")])).where("n_removed = 60").count() == 300
+
+
 def test_repeats_over_all_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     want = [(i, n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in substrings.brute_force(rows)]
@@ -229,9 +236,34 @@ def test_mixing_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("copies", F.lit("clash"))
     assert {r.source: r.target for r in mixing.mix(docs).collect()} == {"a": 0.0, "b": 1.875, "c": 0.0, None: 5.625}
     assert sum(r.taken for r in mixing.mix_documents(docs).where("source is null").collect()) == 6
+    clash = docs.withColumns({"__id": F.lit(1), "rows": F.lit(2), "__rows": F.monotonically_increasing_id()})
+    assert mixing.mix_documents(clash).columns == ["doc_id", "text", "source", "__id", "rows", "__rows", "copies", "taken"]
+    assert sum(r.taken for r in mixing.mix_documents(clash).where("source is null").collect()) == 6
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+def test_mixing_long_and_repeated_documents(spark, monkeypatch):
+    """Sizes from 1 to 60,000 words; one row 400 times; the takings end near the targets, whatever the partitions."""
+    sizes = [1, 2, 3, 5, 300, 700, 1100, 1500, 2500, 9000, 60000]
+    rows = [(i, "w " * (sizes[i % 11] + i % 7), "abc"[i % 3]) for i in range(90)] + [(1000, "r " * 400, "c")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    for s in "abc":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 1e-3 * own[0].target and all(r.copies in (0, 1, 2) for r in own)
+    again = mixing.mix(docs.repartition(7).orderBy(F.rand(3))).collect()
+    assert ordered(got) == ordered(again)
+    documents = mixing.mix_documents(docs.repartition(3)).collect()
+    assert Counter({r.doc_id: r.copies for r in documents}) == +sum((Counter({r.doc_id: r.copies}) for r in got), Counter())
+    monkeypatch.setattr(mixing, "TAIL", 6)
+    monkeypatch.setattr(mixing, "RANGE", 400)
+    sums = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"))
+    assert all(abs(r.taken - r.target) <= 30_001 for r in sums.collect())
+    cells = docs.groupBy("source", mixing.size_of(F.col("text")).alias("size")).agg(F.count("*").alias("n"))
+    with pytest.raises(RuntimeError):
+        mixing.solve_tilts(cells, mixing.source_targets(cells), most_rounds=1)
+
+
 # 8: secret scans
 
 
