@@ -200,6 +200,25 @@ def test_each_participant_gets_the_dialogue(spark):
     assert [r.position for r in sorted(got[None, "eve"], key=lambda r: r.position)] == [0, 1]
 
 
+def test_a_hot_conversation_is_split(spark, monkeypatch):
+    """One conversation of 600 turns: equal numbers, null numbers, sparse numbers and equal rows; runs of 8."""
+    monkeypatch.setattr(chat, "RUN_BITS", 3)
+    rows = [(1, 5, "ab"[i % 2], f"t{i:03}") for i in range(150)] + [(1, None, "b", f"n{i:03}") for i in range(150)] + [(1, 10**12 * i, "a", "x" * i) for i in range(150)] + [(1, 7, "a", "same")] * 150
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, run string").repartition(5)
+    got = defaultdict(list)
+    for r in chat.rotate(docs).collect():
+        got[r.perspective].append(r)
+    order = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[2], r[3]))
+    for who in "ab":
+        at, seen = 0, sorted(got[who], key=lambda r: r.position)
+        assert [r.position for r in seen] == list(range(600))
+        for r, (_, turn, speaker, text) in zip(seen, order, strict=True):
+            head = "<|assistant|>\n" if speaker == who else f"<|user name={speaker}|>\n"
+            assert (r.turn, r.segment, r.seg_start) == (turn, f"{head}{text}<|end|>\n", at)
+            at = r.seg_end
+    assert chat.rotate(docs.limit(0)).collect() == []
+
+
 # 6: mixing
 
 
@@ -319,6 +338,30 @@ def test_round_trip(spark):
     assert warc.round_trip(spark, empty).collect() == []
 
 
+def test_every_lost_segment_is_reported(spark, tmp_path):
+    """Of 3 pages of 5 segments, any one segment is removed: all rows come back, one not intact; copies refer to a lost page."""
+    rows = [(1, "http://a/", "a" * 4000), (2, "http://b/", "b" * 4000), (3, "http://c/", "short"), (4, "http://a2/", "a" * 4000)] + [(10 + i, "http://d/", "d" * 1500) for i in range(150)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = warc.write_archives(warc.plan_revisits(pages), f"file://{tmp_path}/w", segment_bytes=1000)
+    records = warc.read_records(manifest)
+    segments = records.where("page = '4' and segment is not null").select("segment").collect()
+    assert len(segments) == 5
+    for r in segments:
+        left = records.where(f"not (page = '4' and segment = {r.segment})")
+        got = {r.page_id: r for r in warc.resolve(warc.reassemble(left), "bigint").collect()}
+        assert len(got) == len(rows) and not got[4].intact and got[4].payload_digest is None and not got[1].intact and got[1].refers_to == 4
+        assert all(got[i].intact for i in got if i not in (1, 4)) and got[2].payload_bytes == 4000
+    assert ordered(warc.resolve(warc.read_payloads(manifest), "bigint").collect()) == ordered(warc.resolve(warc.reassemble(records), "bigint").collect())
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("http://a/").alias("url"), F.repeat(F.col("id").cast("string"), 3000).alias("html"), F.lit("clash").alias("digest"))
+    manifest = warc.write_archives(warc.plan_revisits(pages.repartition(4)), f"file://{tmp_path}/w", archive_bytes=500)
+    assert manifest.count() >= 20
+    used = warc.read_records(manifest).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used >= 10
+
+
 def test_broken_records_are_reported():
     payload = b"x" * 5000
     data = b"".join(warc.page_records(1, "1", "http://a/", payload, None, 1500))
