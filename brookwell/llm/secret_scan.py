@@ -2,13 +2,17 @@
 
 Base kinds are patterns alone (``assign``, ``access``, ``hex``). The structural
 kinds report a candidate only after it is decoded: ``signed_token`` needs a JSON
-header with an algorithm and a JSON body; ``private_key`` needs base64, PEM or hex
-that decodes to a key encoding (PKCS#1, PKCS#8, SEC1 or OpenSSH) whose nested
-lengths all fit.
+header with an algorithm and a JSON body; ``private_key`` needs PEM, base64 (also
+in the URL alphabet, in lines, or around a PEM text) or hex that decodes to a key
+encoding whose nested lengths all fit: PKCS#1, SEC1, PKCS#8 with the key of its
+algorithm inside, encrypted PKCS#8 with the parameters of its scheme, or OpenSSH.
+The outer length of an encoding says where its base64 or hex ends.
 
 Defined cases: a null text is empty and has no spans; a null id is carried
 through; repeated rows get equal results; spans of one kind don't overlap, spans
-of different kinds may; other columns are not looked at.
+of different kinds may; a very long text is scanned whole, in time proportional to
+its length and its candidates; an empty table gives an empty one; other columns
+are not looked at, whatever their names.
 """
 
 import base64
@@ -28,20 +32,38 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _KEYWORD = re.compile("password|passwd|secret|token|api_?key", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_ANY_HEX = re.compile(r"30[0-9A-Fa-f]{46,}")
+_ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
 _TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-Za-z0-9+/]{39,}|b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/]+)={0,2}")
+#: DER (a sequence begins with M), an OpenSSH key, or a PEM text once more in base64.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]{15,}|b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]+|LS0tLS1CRUdJTi[A-Za-z0-9+/_-]+)")
+_MORE_LINES = re.compile(r"(?:[A-Za-z0-9+/_-]|\r?\n[ \t]*(?=[A-Za-z0-9+/_=-]))*={0,2}")
 _PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: Object identifiers of key algorithms and encryption schemes, as DER contents.
+RSA, EC, DSA = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201"), bytes.fromhex("2a8648ce380401")
+EDWARDS = {bytes.fromhex("2b656e"): 32, bytes.fromhex("2b656f"): 56, bytes.fromhex("2b6570"): 32, bytes.fromhex("2b6571"): 57}
+SCHEMES = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 
-def _unbase64(text: str, url: bool = False) -> bytes | None:
-    text = text.rstrip("=")
+def _unbase64(text: str) -> bytes | None:
+    """Either alphabet, white space between."""
+    text = "".join(text.split()).rstrip("=").replace("-", "+").replace("_", "/")
     try:
-        return base64.b64decode(text + "=" * (-len(text) % 4), altchars=b"-_" if url else None, validate=True)
+        return base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
 
 
+def der_length(data: bytes) -> int | None:
+    """The whole length of the DER item at the start of ``data``, which may be cut off after its head."""
+    if len(data) < 2:
+        return None
+    n = data[1]
+    if n < 0x80:
+        return 2 + n
+    k = n & 0x7F
+    return 2 + k + int.from_bytes(data[2 : 2 + k], "big") if 1 <= k <= 4 and len(data) >= 2 + k else None
+
+
 def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     """Tags and contents of DER items that fill ``data`` exactly; None if a length doesn't fit."""
     out, at = [], 0
@@ -63,42 +85,111 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
+def _is_openssh(data: bytes) -> bool:
+    at = 15
+    for _ in range(3):  # cipher, key derivation, its options
+        n = int.from_bytes(data[at : at + 4], "big")
+        at += 4 + n
+        if at > len(data):
+            return False
+    if at + 4 > len(data) or int.from_bytes(data[at : at + 4], "big") < 1:
+        return False
+    at += 4
+    for _ in range(2):  # public key, private part
+        n = int.from_bytes(data[at : at + 4], "big")
+        at += 4 + n
+        if not n or at > len(data):
+            return False
+    return at == len(data)
+
+
+def _nests(data: bytes) -> bool:
+    """DER items that fill ``data``, and so do those in its sequences and sets."""
+    items = der_items(data)
+    return bool(items) and all(not content or _nests(content) for tag, content in items if tag in (0x30, 0x31))
+
+
+def _is_pkcs1(items: list[tuple[int, bytes]]) -> bool:
+    return len(items) >= 9 and all(t == 0x02 and c for t, c in items[:9]) and items[0][1] in (b"\0", b"\1")
+
+
+def _is_sec1(items: list[tuple[int, bytes]]) -> bool:
+    return 2 <= len(items) <= 4 and items[0] == (0x02, b"\1") and items[1][0] == 0x04 and len(items[1][1]) >= 16 and all(t in (0xA0, 0xA1) and der_items(c) for t, c in items[2:])
+
+
+def _is_pkcs8(items: list[tuple[int, bytes]]) -> bool:
+    """Version, algorithm, and an octet string that holds the algorithm's key."""
+    if len(items) < 3 or items[0] not in ((0x02, b"\0"), (0x02, b"\1")) or [t for t, _ in items[1:3]] != [0x30, 0x04]:
+        return False
+    algorithm, key = der_items(items[1][1]), items[2][1]
+    if not algorithm or algorithm[0][0] != 0x06:
+        return False
+    name, inner = algorithm[0][1], der_items(key)
+    if not inner or len(inner) != 1:
+        return False
+    tag, content = inner[0]
+    if name == RSA:
+        return tag == 0x30 and _is_pkcs1(der_items(content) or [])
+    if name == EC:
+        return tag == 0x30 and _is_sec1(der_items(content) or [])
+    if name in EDWARDS:
+        return tag == 0x04 and len(content) == EDWARDS[name]
+    if name == DSA:
+        return tag == 0x02 and len(content) >= 16
+    return tag in (0x02, 0x04, 0x30) and len(content) >= 16 and (tag != 0x30 or _nests(content))
+
+
+def _is_encrypted_pkcs8(items: list[tuple[int, bytes]]) -> bool:
+    if [t for t, _ in items] != [0x30, 0x04] or len(items[1][1]) < 16:
+        return False
+    scheme = der_items(items[0][1])
+    return bool(scheme) and len(scheme) == 2 and scheme[0][0] == 0x06 and scheme[0][1].startswith(SCHEMES) and scheme[1][0] == 0x30 and _nests(scheme[1][1])
+
+
 def is_private_key(data: bytes) -> bool:
     if data.startswith(b"openssh-key-v1\0"):
-        at = 15
-        for _ in range(3):  # cipher, key derivation, its options
-            n = int.from_bytes(data[at : at + 4], "big")
-            at += 4 + n
-            if n > len(data) or at > len(data):
-                return False
-        if at + 4 > len(data) or int.from_bytes(data[at : at + 4], "big") < 1:
-            return False
-        at += 4
-        for _ in range(2):  # public key, private part
-            n = int.from_bytes(data[at : at + 4], "big")
-            at += 4 + n
-            if not n or at > len(data):
-                return False
-        return at == len(data)
+        return _is_openssh(data)
     top = der_items(data)
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
-    inner = der_items(top[0][1])
-    if not inner or inner[0][0] != 0x02 or len(inner) < 2:
-        return False
-    tags, version = [t for t, _ in inner], inner[0][1]
-    if version in (b"\0", b"\1") and len(inner) >= 9 and all(t == 0x02 for t in tags[:9]):
-        return True  # PKCS#1
-    if version in (b"\0", b"\1") and len(inner) >= 3 and tags[1:3] == [0x30, 0x04]:
-        algorithm = der_items(inner[1][1])
-        return bool(algorithm) and algorithm[0][0] == 0x06 and len(inner[2][1]) > 0  # PKCS#8
-    return version == b"\1" and tags[1] == 0x04 and len(inner[1][1]) >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])  # SEC1
+    items = der_items(top[0][1]) or []
+    return bool(items) and (_is_pkcs1(items) or _is_sec1(items) or _is_pkcs8(items) or _is_encrypted_pkcs8(items))
+
+
+def _base64_key(text: str, start: int, end: int) -> int | None:
+    """Where the key ends whose base64 begins at ``start``, in one run of characters or in lines; None if it is none."""
+    run = _unbase64(text[start:end])
+    if run is None and (end - start) % 4 == 1:
+        run = _unbase64(text[start : end - 1])
+    if run is None:
+        return None
+    if run.startswith(b"-----BEGIN"):
+        stop = _MORE_LINES.match(text, start).end()
+        found = _PEM.search((_unbase64(text[start:stop]) or b"").decode("latin-1"))
+        return stop if found and is_private_key(_unbase64(found[2]) or b"") else None
+    n = der_length(run) if run.startswith(b"0") else None
+    if n is None:
+        stop = _MORE_LINES.match(text, start).end()
+        return stop if run.startswith(b"openssh-key-v1\0") and is_private_key(_unbase64(text[start:stop]) or b"") else None
+    need, at = -(-n * 4 // 3), start
+    stop = _MORE_LINES.match(text, start, start + 2 * need + 1000).end()
+    if need > stop - start:
+        return None
+    while need and at < stop:  # past the line ends
+        if not text[at].isspace():
+            need -= 1
+        at += 1
+    if need or not is_private_key((_unbase64(text[start:at]) or b"")[:n]):
+        return None
+    while at < stop and text[at] == "=":
+        at += 1
+    return at
 
 
 def is_signed_token(text: str) -> bool:
     parts = text.split(".")
     try:
-        header, body = (json.loads(_unbase64(p, url=True) or b"") for p in parts[:2])
+        header, body = (json.loads(_unbase64(p) or b"") for p in parts[:2])
     except (ValueError, RecursionError):
         return False
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(body, dict)
@@ -118,10 +209,13 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
         out += [(m.start(), 3, m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
     keys = []
     if "PRIVATE KEY-----" in text:
-        keys += [(m.start(), m.end()) for m in _PEM.finditer(text) if is_private_key(_unbase64("".join(m[2].split())) or b"")]
-    if "M" in text or "b3BlbnNzaC1rZXktdjE" in text:
-        keys += [(m.start(), m.end()) for m in _BASE64.finditer(text) if is_private_key(_unbase64(m[0]) or b"")]
-    keys += [(m.start(), m.end()) for m in _ANY_HEX.finditer(text) if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0]))]
+        keys += [(m.start(), m.end()) for m in _PEM.finditer(text) if is_private_key(_unbase64(m[2]) or b"")]
+    if "M" in text or "b3BlbnNzaC1rZXktdjE" in text or "LS0tLS1CRUdJTi" in text:
+        keys += [(m.start(), end) for m in _BASE64.finditer(text) if (end := _base64_key(text, m.start(), m.end()))]
+    for m in _ANY_HEX.finditer(text):
+        n = der_length(bytes.fromhex(m[0][:12]))
+        if n and 2 * n <= len(m[0]) and is_private_key(bytes.fromhex(m[0][: 2 * n])):
+            keys.append((m.start(), m.start() + 2 * n))
     upto = 0
     for start, end in sorted(set(keys), key=lambda k: (k[0], -k[1])):
         if start >= upto:
