@@ -1,12 +1,16 @@
 """Nearest neighbours over vector tables."""
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brookwell.functions.vectors import cosine, dot, similarity, squared_distance, unit
+from brookwell.operators.kept import kept
 
-#: Query tables of up to this many rows are broadcast.
+#: Queries are broadcast in blocks of about this many.
 MOST_BROADCAST_QUERIES = 10_000
 THRESHOLD = 0.2
 
@@ -16,18 +20,31 @@ def prepared(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return vectors.withColumn("unit", unit(F.col(vector)))
 
 
-def scored(vectors: DataFrame, queries: DataFrame, keep: Column | None = None) -> DataFrame:
-    """Every vector against every query, as similarity 1 - d / 2.
+def by_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``search`` over blocks of the stated query set, each marked for broadcast; every block meets all vectors.
 
-    The queries are a stated set; they are broadcast once their number is checked,
-    beyond that dealt out to all partitions by blocks of queries.
+    One block is searched as it is. Of more, each one's result, already cut down to
+    what ``search`` keeps of a query, is written before the next, and their union is read back.
     """
+    n = queries.count()
+    n_blocks = -(-n // MOST_BROADCAST_QUERIES)
+    if n_blocks <= 1:
+        return search(F.broadcast(queries))
+    queries = kept(queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))), "queries")
+    found = [kept(search(F.broadcast(queries.where(F.col("__block") == i).drop("__block"))), "block") for i in range(n_blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _against(vectors: DataFrame, q: DataFrame) -> DataFrame:
+    return vectors.crossJoin(q.select("query_id", F.col("unit").alias("q_unit"))).withColumn("similarity", F.round(similarity(dot(F.col("unit"), F.col("q_unit"))), 6)).drop("unit", "q_unit")
+
+
+def scored(vectors: DataFrame, queries: DataFrame, keep: Column | None = None, least: float | None = None) -> DataFrame:
+    """Every vector against every query of a stated set, as similarity 1 - d / 2; with ``least``, those that reach it."""
     if keep is not None:
         vectors = vectors.where(keep)
-    q = queries.select("query_id", F.col("unit").alias("q_unit"))
-    if q.limit(MOST_BROADCAST_QUERIES + 1).count() <= MOST_BROADCAST_QUERIES:
-        q = F.broadcast(q)
-    return vectors.crossJoin(q).withColumn("similarity", F.round(similarity(dot(F.col("unit"), F.col("q_unit"))), 6)).drop("unit", "q_unit")
+    pairs = lambda q: _against(vectors, q) if least is None else _against(vectors, q).where(F.col("similarity") >= least)
+    return by_blocks(queries, pairs)
 
 
 def ranked(scores: DataFrame, id_col: str, at_most: int) -> DataFrame:
@@ -38,21 +55,26 @@ def ranked(scores: DataFrame, id_col: str, at_most: int) -> DataFrame:
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, threshold: float = THRESHOLD, keep: Column | None = None) -> DataFrame:
     """Nearest ``k`` of the rows that ``keep`` admits, then those at the threshold or above."""
-    return ranked(scored(vectors, queries, keep), id_col, k).where(F.col("similarity") >= threshold)
+    if keep is not None:
+        vectors = vectors.where(keep)
+    return by_blocks(queries, lambda q: ranked(_against(vectors, q), id_col, k).where(F.col("similarity") >= threshold))
 
 
 def top_k_member(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, member: Column, threshold: float = THRESHOLD) -> DataFrame:
     """For filters that the index can't take: of the nearest 4k those at the threshold and of ``member``, at most k of them. May return fewer than k."""
-    found = ranked(scored(vectors, queries), id_col, 4 * k).where((F.col("similarity") >= threshold) & member).drop("rank")
+    found = by_blocks(queries, lambda q: ranked(_against(vectors, q), id_col, 4 * k)).where((F.col("similarity") >= threshold) & member).drop("rank")
     return ranked(found, id_col, k)
 
 
 def by_distance(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str = "embedding") -> DataFrame:
     """Nearest ``k`` by squared Euclidean distance, without a threshold."""
-    q = queries.select("query_id", F.col(vector).alias("q"))
-    d = vectors.crossJoin(F.broadcast(q) if q.limit(MOST_BROADCAST_QUERIES + 1).count() <= MOST_BROADCAST_QUERIES else q).withColumn("distance", F.round(squared_distance(F.col(vector), F.col("q")), 6)).drop("q")
-    order = Window.partitionBy("query_id").orderBy("distance", id_col)
-    return d.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+    def nearest(q: DataFrame) -> DataFrame:
+        d = vectors.crossJoin(q.select("query_id", F.col(vector).alias("q"))).withColumn("distance", F.round(squared_distance(F.col(vector), F.col("q")), 6)).drop("q")
+        order = Window.partitionBy("query_id").orderBy("distance", id_col)
+        return d.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+    return by_blocks(queries, nearest)
 
 
 def pair_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:

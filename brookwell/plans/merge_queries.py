@@ -151,7 +151,7 @@ SEEDS = f"{VECTORS}, {ONE}, {scored()}, {top(5)}, {EDGES}, {BOTH}, seed AS (SELE
 
 def seeds(spark, d):
     """The nearest entities of the asked vector, as graph nodes."""
-    found = vectors.top_k(vector_table(spark, d), asked(spark, d), 5, "vec_id", threshold=-1.0)
+    found = vectors.top_k(vector_table(spark, d), asked(spark, d, 7), 5, "vec_id", threshold=-1.0)
     return found.select(F.concat(F.lit("p:"), F.col("vec_id")).alias("entity_id"), "rank")
 
 

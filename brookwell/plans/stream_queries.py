@@ -92,7 +92,7 @@ def m15(spark, d):
     return store.without(m.where(F.contains("content", F.lit("e")) & (F.col("role") == "user")).select("thread", "seq"), online, "thread")
 
 
-@query("m16_mention_parse", r"""WITH m AS (SELECT conv_id, turn, unnest(w) AS w, unnest(range(len(w))) AS pos FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')[1:5] AS w FROM conversations)),
+@query("m16_mention_parse", r"""WITH m AS (SELECT conv_id, turn, unnest(w) AS w, unnest(range(len(w))) AS pos FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM conversations)),
 known AS (SELECT DISTINCT lower(event_type) AS name FROM events UNION SELECT DISTINCT regexp_extract(lower(text), '[\p{L}\p{N}_]+') FROM conversations WHERE turn = 1)
 SELECT conv_id, turn, w AS name, min(pos) AS pos FROM m JOIN known ON name = w WHERE w <> '' GROUP BY ALL""")
 def m16(spark, d):
