@@ -42,12 +42,17 @@ def repair_fields(c: Column) -> Column:
     return F.regexp_replace(c, r"<\s*#\s*>", FIELD)
 
 
+#: What counts as a number, and the marks of a model's thoughts.
+NUMBER = r"^[-+]?[0-9]*\.?[0-9]+([eE][-+]?[0-9]+)?$"
+THOUGHTS = r"(?s)<think>.*?</think>"
+
+
 def is_number(c: Column) -> Column:
-    return strip(c).rlike(r"^[-+]?[0-9]*\.?[0-9]+([eE][-+]?[0-9]+)?$")
+    return strip(c).rlike(NUMBER)
 
 
 def without_thoughts(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""))
+    return strip(F.regexp_replace(c, THOUGHTS, ""))
 
 
 def plain_quotes(c: Column) -> Column:
@@ -121,7 +126,16 @@ def estimated_tokens(c: Column) -> Column:
 
 
 def json_text(c: Column) -> Column:
-    """The JSON of a model's answer: the text without thoughts and fence, else its first braces; null if neither parses."""
+    """The JSON of a model's answer: the text without thoughts and fence, else its first braces up to the first or to the last closing one; null if none of them parses."""
     plain = without_fence(without_thoughts(c))
-    braces = F.regexp_extract(plain, r"(?s)\{.*?\}", 0)
-    return F.when(F.try_parse_json(plain).isNotNull(), plain).when(F.try_parse_json(braces).isNotNull(), braces)
+    tried = [plain, F.regexp_extract(plain, r"(?s)\{.*?\}", 0), F.regexp_extract(plain, r"(?s)\{.*\}", 0)]
+    return F.coalesce(*(F.when(F.try_parse_json(x).isNotNull(), x) for x in tried))
+
+
+def json_quoted(c: Column) -> Column:
+    """A string as JSON, other characters than quotes, backslashes and control characters as they are; null as ``null``."""
+    return F.coalesce(F.when(c.isNotNull(), F.regexp_extract(F.to_json(F.struct(c.cast("string").alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)), F.lit("null"))
+
+
+def first_words(c: Column, n: int = 12) -> Column:
+    return F.array_join(F.slice(F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0)), 1, n), " ")

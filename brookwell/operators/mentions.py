@@ -13,15 +13,31 @@ from brookwell.functions import text
 from brookwell.operators.store import latest
 
 
+def _literal(*marks: str) -> str:
+    return "|".join("".join("\\" + x if not x.isalnum() else x for x in m) for m in marks)
+
+
+def _pieces(c: Column, marks: str) -> Column:
+    return F.filter(F.transform(F.split(c, marks), text.strip), lambda x: x != "")
+
+
 def records(outputs: DataFrame, result: str = "result") -> DataFrame:
-    """Each output's columns with record (0-based), attrs and kind, one row a record; damaged delimiters are repaired, end marks and blank lines dropped."""
-    quoted = "|".join("".join("\\" + x if not x.isalnum() else x for x in m) for m in ("\n", text.DONE))
-    field = "".join("\\" + x if not x.isalnum() else x for x in text.FIELD)
-    lines = F.filter(F.transform(F.split(F.col(result), quoted), lambda x: text.repair_fields(text.strip(x))), lambda x: x != "")
-    rows = outputs.select(*(c for c in outputs.columns if c != result), F.posexplode(lines).alias("record", "line"))
-    attrs = F.transform(F.split("line", field), text.strip)
+    """Each output's columns with record (0-based), attrs and kind, one row a record.
+
+    Lines and end marks (in either case) part the records. Records that are glued
+    by a field delimiter, the kind and another delimiter are parted there, and get
+    the kind at their head; damaged delimiters are repaired; blank records go.
+    """
+    f = text.FIELD
+    headed = lambda kind: lambda x: F.when(x.startswith("entity") | x.startswith("relation"), x).otherwise(F.concat(F.lit(kind + f), x))
+    lines = _pieces(F.col(result), _literal("\n", text.DONE, text.DONE.lower()))
+    by_entity = F.flatten(F.transform(lines, lambda x: F.transform(_pieces(x, _literal(f"{f}entity{f}")), headed("entity"))))
+    glued = _literal(f"{f}relationship{f}", f"{f}relation{f}")
+    by_relation = F.flatten(F.transform(by_entity, lambda x: F.transform(_pieces(x, glued), headed("relation"))))
+    rows = outputs.select(*(c for c in outputs.columns if c != result), F.posexplode(F.transform(by_relation, text.repair_fields)).alias("record", "line"))
+    attrs = _pieces(F.col("line"), _literal(f))
     kind = F.when(F.contains(F.col("attrs")[0], F.lit("relation")), "relation").when(F.contains(F.col("attrs")[0], F.lit("entity")), "entity")
-    return rows.withColumn("attrs", attrs).withColumn("kind", kind).drop("line")
+    return rows.withColumn("attrs", attrs).where(F.size("attrs") > 0).withColumn("kind", kind).drop("line")
 
 
 def entities(parsed: DataFrame) -> DataFrame:

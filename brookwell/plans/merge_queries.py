@@ -19,7 +19,7 @@ TYPE = "CASE (doc_id + length(name)) % 3 WHEN 0 THEN 'place' WHEN 1 THEN 'person
 FOUND = f"""found AS (SELECT doc_id, source, unnest(names) AS name, unnest(range(len(names))) AS pos FROM (SELECT doc_id, source, regexp_extract_all(text, '{NAME}') AS names FROM documents)),
 ents AS (SELECT doc_id, pos, name, {TYPE} AS type, name || ' of ' || source AS description, doc_id % 4 AS ts, doc_id * 1000000 + pos AS o FROM found),
 rels AS (SELECT doc_id, pos, name AS src, tgt, CASE WHEN length(name) % 4 = 0 THEN '2.5' ELSE 'links' END AS description, CASE WHEN length(name) % 4 = 0 THEN 2.5::DOUBLE ELSE 1.0::DOUBLE END AS weight, 'k' || length(name) || ',both' AS keywords
-  FROM (SELECT *, lead(name) OVER (PARTITION BY doc_id ORDER BY pos) AS tgt FROM found) WHERE tgt <> name)"""
+  FROM (SELECT *, coalesce(lead(name) OVER (PARTITION BY doc_id ORDER BY pos), 'none') AS tgt FROM found) WHERE tgt <> name)"""
 W = f"WITH {FOUND}"
 
 
@@ -29,14 +29,20 @@ def place():
 
 
 def outputs(spark, d):
-    """(doc_id, result): for each document the records that a model would return, entities before relations."""
+    """(doc_id, result): for each document the records that a model would return, entities before relations.
+
+    A third of the outputs has its records glued, half of those end in a lower-case mark; delimiters of the others are damaged at the head.
+    """
     docs = table(spark, d, "documents").select("doc_id", "source", F.regexp_extract_all("text", F.lit(NAME), F.lit(0)).alias("names"))
     kind = lambda x: F.element_at(F.array(F.lit("place"), F.lit("person"), F.lit("Thing")), ((F.col("doc_id") + F.length(x)) % 3 + 1).cast("int"))
     f = F.lit(T.FIELD)
-    one = F.transform("names", lambda x: F.concat(F.lit("entity< # >"), x, f, kind(x), f, x, F.lit(" of "), F.col("source")))
+    one = F.transform("names", lambda x: F.concat(x, f, kind(x), f, x, F.lit(" of "), F.col("source")))
     value = lambda x: F.when(F.length(x) % 4 == 0, "2.5").otherwise("links")
-    two = F.transform("names", lambda x, i: F.concat(F.lit("relation"), f, x, f, F.coalesce(F.get("names", i + 1), F.lit("")), f, F.lit("k"), F.length(x), F.lit("，both"), f, value(x)))
-    return docs.select("doc_id", F.concat(F.array_join(F.concat(one, two), "\n"), F.lit(f"\n{T.DONE}\n")).alias("result"))
+    two = F.transform("names", lambda x, i: F.concat(x, f, F.coalesce(F.get("names", i + 1), F.lit("none")), f, F.lit("k"), F.length(x), F.lit("，both"), f, value(x)))
+    lines = F.concat(F.array_join(F.concat(F.transform(one, lambda x: F.concat(F.lit("entity< # >"), x)), F.transform(two, lambda x: F.concat(F.lit("relation"), f, x))), "\n"), F.lit(f"\n{T.DONE}\n"))
+    glue = lambda name, rows: F.array_join(F.concat(F.array(F.lit(name)), rows), f"{T.FIELD}{name}{T.FIELD}")
+    glued = F.concat(F.lit("entity"), F.substring(glue("entity", one), len(f"entity{T.FIELD}entity") + 1, 1 << 30), F.substring(glue("relationship", two), len("relationship") + 1, 1 << 30), F.when(F.col("doc_id") % 2 == 0, T.DONE).otherwise(T.DONE.lower()))
+    return docs.select("doc_id", F.when((F.col("doc_id") % 3 == 1) & (F.size("names") > 0), glued).otherwise(lines).alias("result"))
 
 
 def parsed(spark, d):
@@ -51,9 +57,13 @@ def found_relations(spark, d):
     return mentions.relations(parsed(spark, d))
 
 
-@query("l05_parse_records", f"{W} SELECT doc_id, 'entity' AS kind, count(*) AS n FROM found GROUP BY doc_id UNION ALL SELECT doc_id, 'relation', count(*) FROM found GROUP BY doc_id")
+@query(
+    "l05_parse_records",
+    f"""{W} SELECT doc_id, pos AS record, 'entity' AS kind, name || '|' || CASE (doc_id + length(name)) % 3 WHEN 0 THEN 'place' WHEN 1 THEN 'person' ELSE 'Thing' END || '|' || name || ' of ' || source AS fields FROM found
+UNION ALL SELECT doc_id, pos + n, 'relation', name || '|' || coalesce(lead(name) OVER (PARTITION BY doc_id ORDER BY pos), 'none') || '|k' || length(name) || '，both|' || CASE WHEN length(name) % 4 = 0 THEN '2.5' ELSE 'links' END FROM found JOIN (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id) USING (doc_id)""",
+)
 def l05(spark, d):
-    return parsed(spark, d).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+    return parsed(spark, d).select("doc_id", F.col("record").cast("long").alias("record"), "kind", F.array_join(F.slice("attrs", 2, 9), "|").alias("fields"))
 
 
 @query("l06_parse_entity", f"{W} SELECT doc_id, pos, name, type, description FROM ents")
