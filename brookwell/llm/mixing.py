@@ -86,10 +86,8 @@ def solve_tilts(cells: DataFrame, targets: DataFrame, most: float = 2.0, toleran
         F.when(F.col("target") <= 0, 0.0).when(F.col("target") >= most * F.col("source_size") * (1 - 1e-12), float(most)).alias("fixed"),
         F.lit(0.0).alias("lam"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(1.0).alias("error"),
     )
-    state = written(state, "tilts")
-    for _ in range(most_rounds):
-        if state.where(F.col("fixed").isNull() & (F.col("error") > tolerance)).isEmpty():
-            return state.select(F.col("s").alias("source"), "mean", "lam", "fixed")
+
+    def step(state: DataFrame) -> DataFrame:
         x = F.col("size") / F.col("mean")
         r = _rate(F.col("lam"), x, most)
         sums = cells.join(state.where("fixed IS NULL"), same).groupBy("s").agg(
@@ -98,12 +96,18 @@ def solve_tilts(cells: DataFrame, targets: DataFrame, most: float = 2.0, toleran
         met = state.join(sums, F.col("s").eqNullSafe(F.col("k")), "left").withColumn("gap", F.col("words") - 1)
         met = met.withColumn("high", F.when(F.col("gap") > 0, F.col("lam")).otherwise(F.col("high"))).withColumn("low", F.when(F.col("gap") <= 0, F.col("lam")).otherwise(F.col("low")))
         reach = 2 + F.abs("lam")
-        step = F.col("lam") - F.when(F.col("slope") > 0, F.col("gap") / F.col("slope")).otherwise(F.signum("gap") * reach)
-        step = F.greatest(F.least(step, F.col("lam") + reach), F.col("lam") - reach)
-        outside = (step <= F.col("low")) | (step >= F.col("high"))
-        new = F.when(F.coalesce(outside, F.lit(False)), F.coalesce((F.col("low") + F.col("high")) / 2, step)).otherwise(step)
+        newton = F.col("lam") - F.when(F.col("slope") > 0, F.col("gap") / F.col("slope")).otherwise(F.signum("gap") * reach)
+        newton = F.greatest(F.least(newton, F.col("lam") + reach), F.col("lam") - reach)
+        outside = (newton <= F.col("low")) | (newton >= F.col("high"))
+        new = F.when(F.coalesce(outside, F.lit(False)), F.coalesce((F.col("low") + F.col("high")) / 2, newton)).otherwise(newton)
         error = F.coalesce(F.abs("gap"), F.lit(0.0))
-        old, state = state, written(met.select("s", "target", "mean", "fixed", F.when(error > tolerance, new).otherwise(F.col("lam")).alias("lam"), "low", "high", error.alias("error")), "tilts")
+        return met.select("s", "target", "mean", "fixed", F.when(error > tolerance, new).otherwise(F.col("lam")).alias("lam"), "low", "high", error.alias("error"))
+
+    state = written(state, "tilts")
+    for _ in range(0, most_rounds, 2):  # two steps are written at a time
+        if state.where(F.col("fixed").isNull() & (F.col("error") > tolerance)).isEmpty():
+            return state.select(F.col("s").alias("source"), "mean", "lam", "fixed")
+        old, state = state, written(step(step(state)), "tilts")
         drop(old)
     raise RuntimeError(f"the tilts have not converged after {most_rounds} rounds")
 
