@@ -7,7 +7,7 @@ from brookwell.llm.work import attach, drop, written
 
 
 def _toward_least(edges: DataFrame, n_edges: int, larger_only: bool) -> DataFrame:
-    """Hang neighbours on the least member of each closed neighbourhood.
+    """Hang neighbours on the least member of each closed neighbourhood; a written table.
 
     With ``larger_only`` each node hands its least member to its larger
     neighbours (large star), otherwise to its smaller ones and itself (small star).
@@ -15,11 +15,14 @@ def _toward_least(edges: DataFrame, n_edges: int, larger_only: bool) -> DataFram
     """
     if larger_only:
         edges = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+    least = written(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n")), "least")
     met = attach(edges, least, ["a"], "n", 2 * n_edges)
     if larger_only:
-        return met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-    return met.select("b", "m").union(met.select("a", "m")).toDF("a", "b").where("a > b").distinct()
+        out = written(met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct(), "edges")
+    else:
+        out = written(met.select("b", "m").union(met.select("a", "m")).toDF("a", "b").where("a > b").distinct(), "edges")
+    drop(least)
+    return out
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -38,8 +41,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == mark or not state[0]:
             return now.toDF("node", "root").union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         mark = state
-        large = written(_toward_least(now, state[0], True), "edges")
-        new = written(_toward_least(large, state[0], False), "edges")
+        large = _toward_least(now, state[0], True)
+        new = _toward_least(large, state[0], False)
         drop(now, large)
         now = new
     raise RuntimeError(f"components are not found after {most_rounds} rounds")

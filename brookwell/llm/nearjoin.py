@@ -222,7 +222,7 @@ def _verified(docs: DataFrame, dealt: DataFrame, n_docs: int, threshold: float)
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, most_hashes: int = 128, block: int = 512, block_size: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, most_hashes: int = 128, block: int = 256, block_size: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: id, class_id (least id of its class), n_links (other documents at the threshold or above, copies counted), n_copies (documents of the same words, itself included), text_hash, keeps (true for one row of each class, and for rows equal to it).
 
@@ -242,7 +242,7 @@ def near_duplicates(
 
     names = texts.drop("bands", "size")
     in_class = written(components(verified.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "uid").join(names, "uid"), "in-class")
-    heads = in_class.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "text_hash")).alias("h"), F.count("*").alias("n"))
+    heads = written(in_class.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "text_hash")).alias("h"), F.count("*").alias("n")), "heads")
     classes = attach(in_class.select("uid", "root"), heads, ["root"], "n", n_texts).select("uid", "h")
     links = verified.where("b IS NULL").groupBy(F.col("a").alias("uid")).agg(F.sum("links").alias("links"))
     own = F.struct(F.col("id").isNull().alias("no_id"), "id", "key", "text_hash")

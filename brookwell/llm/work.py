@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 #: A key is hot beyond this many rows, or beyond a share of the rows that at most MOST_HOT keys can have.
-LEAST_HOT, MOST_HOT = 100, 20_000
+LEAST_HOT, MOST_HOT = 100, 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,19 +83,22 @@ def drop(*tables: DataFrame) -> None:
 def attach(rows: DataFrame, unique: DataFrame, on: list[str], n: str, total: int, reduce_hot: Callable[[DataFrame], DataFrame] | None = None, merge: bool = True) -> DataFrame:
     """Inner join of ``rows`` with the one row of ``unique`` for each key (nulls match), however many rows a key has.
 
-    Column ``n`` of ``unique`` is at least the number of ``rows`` with the key, and
-    its sum at most about ``total``. Keys of more than ``total / MOST_HOT`` rows
-    (``LEAST_HOT`` at least) are hot; there are fewer than ``MOST_HOT`` of them, so
-    they are broadcast and their rows stay where they are (``reduce_hot`` may shrink
-    them). The other keys are joined by a shuffle, or with ``merge`` off as Spark
-    decides by size. Both inputs are read twice, so they should be written tables or
-    cheap.
+    Column ``n`` of ``unique``, a written table, is at least the number of ``rows``
+    with the key, and its sum at most about ``total``. Keys of more than ``total /
+    MOST_HOT`` rows (``LEAST_HOT`` at least) are hot; there are fewer than
+    ``MOST_HOT`` of them, so hashes of them come to the driver, they are broadcast
+    and their rows stay where they are (``reduce_hot`` may shrink them). The other
+    keys are joined by a shuffle, or with ``merge`` off as Spark decides by size.
+    With hot keys ``rows`` is read twice, so it should be a written table or cheap.
     """
     keys = {c: f"__on_{c}" for c in on}
     right = unique.withColumnsRenamed(keys)
     same = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(F.col(k)) for c, k in keys.items()])
-    limit = max(LEAST_HOT, total // MOST_HOT)
-    hot, rest = right.where(F.col(n) > limit), right.where(F.col(n) <= limit)
-    hot_rows = rows.join(F.broadcast(hot), same).drop(*keys.values())
-    cold = rows.join(F.broadcast(hot.select(*keys.values())), same, "left_anti").join(rest.hint("merge") if merge else rest, same).drop(*keys.values())
-    return cold.unionByName(reduce_hot(hot_rows) if reduce_hot else hot_rows)
+    key_hash = F.xxhash64(*keys.values())
+    hot = [r[0] for r in right.where(F.col(n) > max(LEAST_HOT, total // MOST_HOT)).select(key_hash).collect()]
+    plain = lambda rows, unique: rows.join(unique.hint("merge") if merge else unique, same).drop(*keys.values())
+    if not hot:
+        return plain(rows, right)
+    is_hot, key_is_hot = F.xxhash64(*(rows[c] for c in on)).isin(hot), key_hash.isin(hot)
+    hot_rows = rows.where(is_hot).join(F.broadcast(right.where(key_is_hot)), same).drop(*keys.values())
+    return plain(rows.where(~is_hot), right.where(~key_is_hot)).unionByName(reduce_hot(hot_rows) if reduce_hot else hot_rows)
