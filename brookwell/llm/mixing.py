@@ -164,7 +164,7 @@ def _allotted(docs: DataFrame, weights: tuple[float, ...], share: float, most: f
     targets = written(source_targets(cells.drop("n_rows"), weights, share, most), "targets")
     plan = _copies(cells.drop("n_rows"), solve_tilts(cells.drop("n_rows"), targets, most), most)
     aims = targets.select(F.col("source").alias("s"), "source_size", "target")
-    plan = plan.join(aims, F.col("source").eqNullSafe(F.col("s"))).drop("s").join(cells.select(F.col("source").alias("s"), F.col("size").alias("z"), "n_rows"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
+    plan = plan.join(aims, F.col("source").eqNullSafe(F.col("s"))).drop("s").join(cells.select(F.col("source").alias("s"), F.col("size").alias("z"), "n_rows").hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
     plan = written(plan.withColumn("parts", F.ceil(F.col("n") / PART)), "plan")
 
     placed = attach(sized, plan, ["source", "size"], "n_rows", sized.count()).drop("n_rows")
