@@ -4,17 +4,16 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the folder in ``spark.checkpoint.dir`` and read it back; removed when the program ends."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """``name`` in the folder in ``spark.checkpoint.dir``; removed when the program ends."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         local = spark.sparkContext.master.startswith("local[")
         top = "file://" + tempfile.mkdtemp(prefix="brookwell-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    path = f"{top.rstrip('/')}/brookwell/{label}-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/brookwell/{name}"
 
     def clean() -> None:
         try:
@@ -24,5 +23,11 @@ def kept(df: DataFrame, label: str) -> DataFrame:
             pass
 
     atexit.register(clean)
+    return path
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back."""
+    path = shared_path(df.sparkSession, f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from brookwell.functions.text import strip
 
@@ -17,14 +18,18 @@ def uploads(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), extension.alias("extension"), "length", "content").where(F.col("extension").isin(*EXTENSIONS))
 
 
+def accepted(files: DataFrame) -> DataFrame:
+    return files.where(F.col("extension").isin(*EXTENSIONS))
+
+
 def plain_texts(files: DataFrame) -> DataFrame:
     """(path, text) of the text files, decoded and stripped; empty ones are dropped."""
     return files.where(F.col("extension") == ".txt").select("path", strip(F.decode("content", "UTF-8")).alias("text")).where("text <> ''")
 
 
-def questions(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of questions; raises if a field is missing or an id is there twice."""
-    found = spark.read.option("multiLine", "true").json(path)
+def questions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON list of questions, or with ``lines`` one a line; raises if a field is missing or an id is there twice."""
+    found = spark.read.option("multiLine", str(not lines).lower()).json(path)
     missing = [f for f in QUESTION_FIELDS if f not in found.columns]
     if missing:
         raise ValueError(f"questions without {', '.join(missing)}")
@@ -45,6 +50,16 @@ def separated(items: DataFrame, doc: str = "doc_id", pos: str = "pos", kind: str
     return said.groupBy(doc).agg(F.array_join(parts, "\n\n").alias("text")), items.where(F.col(kind) != "text")
 
 
+def running_counts(lines: DataFrame, patterns: dict[str, str], order: str, line: str, run: int = 4096) -> DataFrame:
+    """(order, pattern, count_so_far): each line's hits with the running count of their pattern, by runs of the whole-number ``order`` first, so no task needs all lines of a pattern."""
+    hits = F.filter(F.array(*(F.when(F.col(line).rlike(p), F.lit(name)) for name, p in patterns.items())), lambda x: x.isNotNull())
+    found = lines.select(order, F.explode(hits).alias("pattern")).withColumn("run", F.floor(F.col(order) / run))
+    before = Window.partitionBy("pattern").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = found.groupBy("pattern", "run").agg(F.count("*").alias("n")).select("pattern", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("pattern", "run").orderBy(order)
+    return found.join(runs, ["pattern", "run"]).select(order, "pattern", (F.col("before") + F.row_number().over(inside)).alias("count_so_far"))
+
+
 def save(rows: DataFrame, path: str) -> None:
     """Replace what is at ``path``; the committer shows the new files only once all are written."""
     rows.write.mode("overwrite").parquet(path)
