@@ -219,13 +219,12 @@ def importance(nodes: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_importance: float = LEAST_IMPORTANCE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: id, url, text. Every page is joined with the low branches that it has; the markup is never shuffled."""
+    """One row per page: id, url, text. Every page meets its host's low branches; pages of large hosts stay where they are, and the markup is never shuffled."""
     parsed = parse_pages(pages, id_col, url_col, html_col)
     nodes = style_nodes(parsed)
-    low = written(importance(nodes).where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance)).select("host", "path", "pages"), "low-paths")
-    poor = attach(nodes.select("host", "h", "path"), low, ["host", "path"], "pages", nodes.count()).groupBy("host", "h").agg(F.collect_set("path").alias("low"))
-    rows = parsed.groupBy("host", "h").agg(F.count("*").alias("rows"))
-    judged = written(rows.join(poor, ["host", "h"], "left").select("host", "h", "rows", F.coalesce("low", F.array().cast("array<bigint>")).alias("low")), "low-branches")
+    low = importance(nodes).where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance)).groupBy("host").agg(F.collect_list("path").alias("low"))
+    rows = parsed.groupBy("host").agg(F.count("*").alias("rows"))
+    hosts = written(rows.join(low, "host", "left").select("host", "rows", F.coalesce("low", F.array().cast("array<bigint>")).alias("low")), "hosts")
+    met = attach(parsed, hosts, ["host"], "rows", parsed.count(), merge=False).withColumn("low", F.array_intersect(F.col("nodes.path"), "low"))
     kept = F.filter("blocks", lambda b: ~F.array_contains("low", b["path"]))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return attach(parsed, judged, ["host", "h"], "rows", parsed.count(), merge=False).select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"))
+    return met.select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
