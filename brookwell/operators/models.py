@@ -59,8 +59,9 @@ def with_cache(prompts: DataFrame, cache: DataFrame, kind: str, prompt: str = "p
 def word_hashes(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """The offline embedding: how many lower-case words fall on each first hex digit of their digest, with unit length."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"\S+"), F.lit(0))
-    digits = F.transform(words, lambda w: F.substring(F.md5(w), 1, 1))
-    counts = F.transform(F.array(*(F.lit(f"{i:x}") for i in range(dimensions))), lambda h: F.size(F.filter(digits, lambda x: x == h)).cast("double"))
+    zero = F.array_repeat(F.lit(0.0), dimensions)
+    place = lambda w: F.conv(F.substring(F.md5(w), 1, 1), 16, 10).cast("int")
+    counts = F.aggregate(F.transform(words, place), zero, lambda acc, at: F.transform(acc, lambda x, i: x + (i == at).cast("double")))
     n = norm(counts)
     return F.when(n > 0, F.transform(counts, lambda x: x / n)).otherwise(counts)
 

@@ -144,7 +144,7 @@ def n01(spark, d):
     return asked_.select("conv_id", "turn", models.answered(F.concat(F.coalesce(F.concat("before", F.lit("\n")), F.lit("")), "text")).alias("answer"))
 
 
-HASHES = r"w AS (SELECT doc_id, regexp_extract_all(lower(text), '\S+') AS w FROM documents), n AS (SELECT doc_id, list_transform(range(16), lambda i: len(list_filter(w, lambda x: md5(x)[1] = substr('0123456789abcdef', CAST(i AS INT) + 1, 1)))::DOUBLE) AS c FROM w)"
+HASHES = r"w AS (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '\S+'), lambda x: md5(x)[1]) AS g FROM documents), n AS (SELECT doc_id, list_transform(range(16), lambda i: len(list_filter(g, lambda x: x = substr('0123456789abcdef', CAST(i AS INT) + 1, 1)))::DOUBLE) AS c FROM w)"
 
 
 @query("l02_embed", f"WITH {HASHES} SELECT doc_id, array_to_string(list_transform(c, lambda x: CAST(CAST(round(x / greatest(sqrt(list_sum(list_transform(c, lambda y: y * y))), 1e-9), 4) AS DECIMAL(8,4)) AS VARCHAR)), ' ') AS vector FROM n")
