@@ -36,24 +36,24 @@ def records(outputs: DataFrame, result: str = "result") -> DataFrame:
     by_relation = F.flatten(F.transform(by_entity, lambda x: F.transform(_pieces(x, glued), headed("relation"))))
     rows = outputs.select(*(c for c in outputs.columns if c != result), F.posexplode(F.transform(by_relation, text.repair_fields)).alias("record", "line"))
     attrs = _pieces(F.col("line"), _literal(f))
-    kind = F.when(F.contains(F.col("attrs")[0], F.lit("relation")), "relation").when(F.contains(F.col("attrs")[0], F.lit("entity")), "entity")
+    kind = F.when(F.contains(F.get("attrs", F.lit(0)), F.lit("relation")), "relation").when(F.contains(F.get("attrs", F.lit(0)), F.lit("entity")), "entity")
     return rows.withColumn("attrs", attrs).where(F.size("attrs") > 0).withColumn("kind", kind).drop("line")
 
 
 def entities(parsed: DataFrame) -> DataFrame:
     """Valid entity records as name, type, description: four fields, a name, a clean type and a description."""
-    a = F.col("attrs")
+    a = lambda i: F.get("attrs", F.lit(i))
     kept = [c for c in parsed.columns if c not in ("attrs", "kind")]
-    rows = parsed.where((F.col("kind") == "entity") & (F.size("attrs") == 4)).select(*kept, text.sanitize(a[1], outer_quotes=True).alias("name"), text.entity_type(a[2]).alias("type"), text.sanitize(a[3]).alias("description"))
+    rows = parsed.where((F.col("kind") == "entity") & (F.size("attrs") == 4)).select(*kept, text.sanitize(a(1), outer_quotes=True).alias("name"), text.entity_type(a(2)).alias("type"), text.sanitize(a(3)).alias("description"))
     return rows.where((F.col("name") != "") & F.col("type").isNotNull() & (F.col("description") != ""))
 
 
 def relations(parsed: DataFrame) -> DataFrame:
     """Valid relation records as src, tgt, keywords, description, weight: five fields and two different ends; the weight is the description if that is a number, else 1."""
-    a = F.col("attrs")
+    a = lambda i: F.get("attrs", F.lit(i))
     kept = [c for c in parsed.columns if c not in ("attrs", "kind")]
     rows = parsed.where((F.col("kind") == "relation") & (F.size("attrs") == 5)).select(
-        *kept, text.sanitize(a[1], outer_quotes=True).alias("src"), text.sanitize(a[2], outer_quotes=True).alias("tgt"), F.replace(a[3], F.lit("，"), F.lit(",")).alias("keywords"), text.sanitize(a[4]).alias("description")
+        *kept, text.sanitize(a(1), outer_quotes=True).alias("src"), text.sanitize(a(2), outer_quotes=True).alias("tgt"), F.replace(a(3), F.lit("，"), F.lit(",")).alias("keywords"), text.sanitize(a(4)).alias("description")
     )
     weight = F.when(text.is_number(F.col("description")), F.col("description").try_cast("double")).otherwise(F.lit(1.0))
     return rows.where((F.col("src") != "") & (F.col("tgt") != "") & (F.col("src") != F.col("tgt"))).withColumn("weight", weight)
