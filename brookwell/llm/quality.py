@@ -9,9 +9,10 @@ texts must be above it by groups too. Copies are the deduplicator's business, an
 would otherwise make every line of a copied text look like boilerplate.
 
 Defined cases: a null text has no words, lines or symbols; null hosts form one
-host; a null id is carried through; repeated rows get equal results; other
-columns are not looked at, and ``clean_documents`` returns exactly the columns
-it was given.
+host; a null id is carried through; repeated rows get equal results; a very long
+text is one row of distinct line hashes, in memory proportional to its length; an
+empty table gives an empty one; other columns are not looked at, whatever their
+names, and ``clean_documents`` returns exactly the columns it was given.
 """
 
 import re
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brookwell.llm import wordhash as wh
-from brookwell.llm.work import written
+from brookwell.llm.work import fresh, written
 
 U64 = np.uint64
 SYMBOL = np.zeros(256, bool)
@@ -159,8 +160,9 @@ def assess(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
     """The kept documents in their own columns, without the lines above the limits; ``chars_col``, if there, is counted anew."""
     verdict = assess(docs, id_col=id_col, text_col=text_col, host_col=host_col).where("kept")
-    verdict = verdict.groupBy(F.col(id_col).alias("__id"), F.col("host").alias("__host"), F.col("text_hash").alias("__text")).agg(F.max("removed_lines").alias("__gone"))
-    kept = docs.join(verdict, docs[id_col].eqNullSafe(F.col("__id")) & docs[host_col].cast("string").eqNullSafe(F.col("__host")) & (F.xxhash64(docs[text_col]) == F.col("__text"))).select(*docs.columns, "__gone")
+    i, h, t, gone = (fresh(docs, c) for c in ("__id", "__host", "__text", "__gone"))
+    verdict = verdict.groupBy(F.col(id_col).alias(i), F.col("host").alias(h), F.col("text_hash").alias(t)).agg(F.max("removed_lines").alias(gone))
+    kept = docs.join(verdict, docs[id_col].eqNullSafe(F.col(i)) & docs[host_col].cast("string").eqNullSafe(F.col(h)) & (F.xxhash64(docs[text_col]) == F.col(t))).select(*(docs[f"`{c}`"] for c in docs.columns), gone)
     names = docs.columns
     at = names.index(text_col)
 
