@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brookwell.llm import decontaminate, mixing, nearjoin, quality, secret_scan
-from brookwell.llm.work import written
+from brookwell.llm.work import fresh, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,17 +23,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near-duplicates: the one of least id. Repeated rows count as copies."""
-    keepers = nearjoin.near_duplicates(docs).where("keeps").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    hashed = docs.withColumn("__h", F.xxhash64("text"))
-    kept = hashed.join(keepers, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")))
-    return kept.dropDuplicates(["doc_id", "__h"]).select(*docs.columns)
+    i, h = fresh(docs, "__id"), fresh(docs, "__hash")
+    keepers = nearjoin.near_duplicates(docs).where("keeps").select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct()
+    single = docs.withColumn(own := fresh(docs, "__own"), F.xxhash64("text")).dropDuplicates(["doc_id", own])
+    return single.join(keepers, single.doc_id.eqNullSafe(F.col(i)) & (F.col(own) == F.col(h)), "left_semi").select(*(single[f"`{c}`"] for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that have a ten-word window of a benchmark item."""
+    """Drop documents that have a window of a benchmark item: ten of its words, or all of a shorter one."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = decontaminate.phrase_matches(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    return docs.join(hit, docs.doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(docs.text) == F.col("__hash")), "left_anti")
+    i, h = fresh(docs, "__id"), fresh(docs, "__hash")
+    hit = decontaminate.phrase_matches(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias(i), F.col("text_hash").alias(h))
+    return docs.join(hit, docs.doc_id.eqNullSafe(F.col(i)) & (F.xxhash64(docs.text) == F.col(h)), "left_anti")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
