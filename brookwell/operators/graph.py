@@ -74,6 +74,14 @@ def reach(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     return seen
 
 
+def neighbours_by_hop(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = 2, most: int = 50, path: str | None = None) -> DataFrame:
+    """(entity_id, hop, score) of up to ``most`` nodes around the seeds, nearest first, scored 1 / hop; ``path`` keeps those of one file in the result, but not on the way."""
+    found = reach(seeds, edges, hops).where("hop > 0").join(nodes.select("entity_id", "file_path"), "entity_id")
+    if path is not None:
+        found = found.where(F.array_contains(F.split("file_path", "<SEP>"), path))
+    return found.select("entity_id", "hop", F.try_divide(F.lit(1.0), F.col("hop")).alias("score")).orderBy("hop", "entity_id").limit(most)
+
+
 def induced(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with both ends among the ids."""
     return edges.join(ids.select(F.col("entity_id").alias("src")), "src", "left_semi").join(ids.select(F.col("entity_id").alias("tgt")), "tgt", "left_semi").select(*edges.columns)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brookwell.functions import text
+from brookwell.operators.kept import kept
 from brookwell.operators.store import latest
 
 
@@ -59,38 +60,45 @@ def relations(parsed: DataFrame) -> DataFrame:
     return rows.where((F.col("src") != "") & (F.col("tgt") != "") & (F.col("src") != F.col("tgt"))).withColumn("weight", weight)
 
 
-def majority_type(mentions: DataFrame, order: Column) -> DataFrame:
-    """(name, type): the most frequent type, of equally frequent ones the first seen."""
-    counted = mentions.groupBy("name", "type").agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    return latest(counted, ["name"], [F.desc("n"), "first"]).select("name", "type")
+def counted(mentions: DataFrame, order: Column) -> DataFrame:
+    """(name, type, chunk, description, n, first, seen): mentions that are alike as one row; what merging needs, so that it parses nothing twice."""
+    return mentions.groupBy("name", "type", "chunk", "description").agg(F.count("*").alias("n"), F.min(order).alias("first"), F.min(F.struct(F.col("ts"), order.alias("o"))).alias("seen"))
 
 
-def first_sources(mentions: DataFrame, order: Column, most: int = 300, method: str = "FIFO") -> DataFrame:
+def majority_type(rows: DataFrame) -> DataFrame:
+    """(name, type) from counted mentions: the most frequent type, of equally frequent ones the first seen."""
+    types = rows.groupBy("name", "type").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return latest(types, ["name"], [F.desc("n"), "first"]).select("name", "type")
+
+
+def first_sources(rows: DataFrame, most: int = 300, method: str = "FIFO") -> DataFrame:
     """(name, sources): distinct chunks in the order first seen; KEEP holds on to the first ``most``, FIFO to the last."""
-    seen = mentions.groupBy("name", "chunk").agg(F.min(order).alias("first"))
+    seen = rows.groupBy("name", "chunk").agg(F.min("first").alias("first"))
     by = F.col("first").asc() if method == "KEEP" else F.col("first").desc()
-    kept = seen.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy(by))).where(F.col("r") <= most)
-    return kept.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "chunk"))), lambda x: x["chunk"]).alias("sources"))
+    some = seen.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy(by))).where(F.col("r") <= most)
+    return some.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "chunk"))), lambda x: x["chunk"]).alias("sources"))
 
 
-def distinct_descriptions(mentions: DataFrame, order: Column) -> DataFrame:
+def distinct_descriptions(rows: DataFrame) -> DataFrame:
     """(name, descriptions): by time, then longest first, then place."""
-    seen = mentions.groupBy("name", "description").agg(F.min(F.struct(F.col("ts"), order.alias("o"))).alias("f"))
+    seen = rows.groupBy("name", "description").agg(F.min("seen").alias("f"))
     row = F.struct(F.col("f.ts").alias("ts"), (-F.length("description")).alias("long"), F.col("f.o").alias("o"), "description")
     return seen.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["description"]).alias("descriptions"))
 
 
 def merged_entities(mentions: DataFrame, order: Column, most: int = 300) -> DataFrame:
-    """(name, type, sources, descriptions) of each name."""
-    return majority_type(mentions, order).join(first_sources(mentions, order, most), "name").join(distinct_descriptions(mentions, order), "name")
+    """(name, type, sources, descriptions) of each name; the mentions are read once."""
+    rows = kept(counted(mentions, order), "mentions")
+    return majority_type(rows).join(first_sources(rows, most), "name").join(distinct_descriptions(rows), "name")
 
 
 def merged_relations(found: DataFrame) -> DataFrame:
-    """(src, tgt, weight, keywords, n) of each unordered pair: weights added up, keywords as one sorted set."""
-    pair = found.select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt"), "weight", "keywords")
+    """(src, tgt, weight, keywords, n, description) of each unordered pair: weights added up, keywords as one sorted set, distinct descriptions in order; the relations are read once."""
+    pair = found.groupBy(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt"), "keywords", "description").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+    pair = kept(pair, "pairs")
     words = pair.select("src", "tgt", F.explode(F.split("keywords", ",")).alias("k")).select("src", "tgt", text.strip(F.col("k")).alias("k")).where("k <> ''").distinct()
     listed = words.groupBy("src", "tgt").agg(F.array_join(F.array_sort(F.collect_list("k")), ",").alias("keywords"))
-    sums = pair.groupBy("src", "tgt").agg(F.round(F.sum("weight"), 6).alias("weight"), F.count("*").alias("n"))
+    sums = pair.groupBy("src", "tgt").agg(F.round(F.sum("weight"), 6).alias("weight"), F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("description")), text.SEP).alias("description"))
     return sums.join(listed, ["src", "tgt"], "left").na.fill("", ["keywords"])
 
 

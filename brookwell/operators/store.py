@@ -64,3 +64,19 @@ def illegal(steps: DataFrame, allowed: dict[str | None, tuple[str, ...]]) -> Dat
     for before, after in allowed.items():
         legal = legal | ((F.col("before").isNull() if before is None else F.coalesce(F.col("before") == before, F.lit(False))) & F.col("after").isin(*after))
     return steps.where(~legal)
+
+
+def machine(log: DataFrame, key: str, code: Column, order: str, states: int, moves: list[list[int]], start: int = 0, run: int = 4096) -> DataFrame:
+    """(key, state): where a state machine stands after all events of a key.
+
+    ``moves[code][state]`` is the state that an event leads to. A run of events maps
+    each state to a state; runs of the whole-number ``order`` are composed in turn,
+    so no task needs all events of a key.
+    """
+    table = F.array(*(F.lit(s) for row in moves for s in row))
+    step = lambda m, r: F.transform(m, lambda s: F.element_at(table, r["code"] * states + s + 1))
+    rows = log.select(key, F.floor(F.col(order) / run).alias("run"), F.struct(F.col(order), code.cast("int").alias("code")).alias("r"))
+    every = F.array(*(F.lit(i) for i in range(states)))
+    runs = rows.groupBy(key, "run").agg(F.aggregate(F.array_sort(F.collect_list("r")), every, step).alias("m"))
+    folded = F.aggregate(F.array_sort(F.collect_list(F.struct("run", "m"))), F.lit(start), lambda s, x: F.element_at(x["m"], s + 1))
+    return runs.groupBy(key).agg(folded.alias("state"))

@@ -218,6 +218,18 @@ def l36(spark, d):
 
 # Answers
 
+ITEM_HASHES = HASHES.replace("doc_id", "item_id").replace("FROM documents", "FROM benchmark")
+PRODUCT = "list_sum(list_transform(list_zip(a.c, b.c), lambda x: x[1] * x[2]))"
+
+
+@query("l38_semsim", f"WITH {ITEM_HASHES} SELECT a.item_id, round({PRODUCT} / (sqrt(list_sum(list_transform(a.c, lambda x: x * x))) * sqrt(list_sum(list_transform(b.c, lambda x: x * x)))), 6) AS cosine FROM n a JOIN n b ON b.item_id = a.item_id + 1")
+def l38(spark, d):
+    """Cosine of the embedded answer and ground truth; each benchmark text stands for the answer to the next."""
+    b = table(spark, d, "benchmark").select("item_id", models.word_hashes(F.col("text")).alias("v"))
+    pairs = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("v").alias("next")), "item_id")
+    return vectors.pair_similarity(pairs, "v", "next").select("item_id", "cosine")
+
+
 CLOSEST = f"{VECTORS}, {MANY}, {L2}, t AS (SELECT d.*, content, file_path FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) d JOIN vecs USING (vec_id) WHERE rank <= 5)"
 
 

@@ -161,9 +161,12 @@ def l18(spark, d):
 REACH = "h1 AS (SELECT DISTINCT b AS entity_id FROM seed JOIN two_way ON a = seed.entity_id ANTI JOIN seed s ON s.entity_id = b), h2 AS (SELECT DISTINCT b AS entity_id FROM h1 JOIN two_way ON a = h1.entity_id ANTI JOIN seed s ON s.entity_id = b ANTI JOIN h1 x ON x.entity_id = b)"
 
 
-@query("l20_bfs_fallback", f"{G}, {SEED}, {REACH} SELECT entity_id, 1::BIGINT AS hop, 1.0::DOUBLE AS score FROM h1 UNION ALL SELECT entity_id, 2, 0.5 FROM h2")
+@query("l20_bfs_fallback", f"{G}, {SEED}, {REACH} SELECT entity_id, hop, score FROM (SELECT entity_id, 1::BIGINT AS hop, 1.0::DOUBLE AS score FROM h1 UNION ALL SELECT entity_id, 2, 0.5 FROM h2) JOIN nodes USING (entity_id) WHERE list_contains(string_split(file_path, '<SEP>'), 'Brand#12') OR list_contains(string_split(file_path, '<SEP>'), 'nation3') ORDER BY hop, entity_id LIMIT 50")
 def l20(spark, d):
-    return graph.reach(asked_ids(spark, ("s:1", "p:5")), edges(spark, d), 2).where("hop > 0").select("entity_id", "hop", F.try_divide(F.lit(1.0), F.col("hop")).alias("score"))
+    """Neighbours by hop, of one file; the other files' nodes are passed on the way."""
+    seen, e = nodes(spark, d), edges(spark, d)
+    tagged = seen.withColumn("file_path", F.when(F.col("file_path").isin("Brand#12", "nation3"), F.concat("file_path", F.lit("<SEP>asked"))).otherwise(F.col("file_path")))
+    return graph.neighbours_by_hop(asked_ids(spark, ("s:1", "p:5")), tagged, e, 2, 50, "asked")
 
 
 @query("l22_subgraph_bfs", f"{G}, {SEED}, {REACH}, near AS (SELECT entity_id FROM seed UNION ALL SELECT entity_id FROM h1) SELECT src, tgt, weight FROM edges WHERE src IN (SELECT entity_id FROM near) AND tgt IN (SELECT entity_id FROM near)")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from brookwell.functions import text as T
 from brookwell.operators import graph, mentions, packing, store, vectors
+from brookwell.operators.kept import kept
 from brookwell.plans.base import CHUNKS, DOCS, EDGES, VECTORS, asked, chunks, edges, query, table
 from brookwell.plans.base import vectors as vector_table
 from brookwell.plans.graph_queries import BOTH
@@ -88,7 +89,7 @@ DESCRIBED = "des AS (SELECT name, string_agg(description, '<SEP>' ORDER BY ts, l
 
 @query("d14_mode", f"{W}, {MODE} SELECT name, type FROM mode_type")
 def d14(spark, d):
-    return mentions.majority_type(found_entities(spark, d), place())
+    return mentions.majority_type(mentions.counted(found_entities(spark, d), place()))
 
 
 @query("d12_entity_merge", f"{W}, {MODE}, {SOURCES}, {DESCRIBED} SELECT name, type, sources, descriptions FROM mode_type JOIN src USING (name) JOIN des USING (name)")
@@ -102,7 +103,7 @@ PAIRS = "pairs AS (SELECT least(src, tgt) AS src, greatest(src, tgt) AS tgt, rou
 
 @query("d13_edge_merge", f"{W}, {PAIRS} SELECT src, tgt, weight, keywords, n FROM pairs JOIN kw USING (src, tgt)")
 def d13(spark, d):
-    return mentions.merged_relations(found_relations(spark, d))
+    return mentions.merged_relations(found_relations(spark, d)).drop("description")
 
 
 @query("d15_doc_index", f"{W} SELECT doc_id, count(DISTINCT name) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM ents GROUP BY doc_id")
@@ -120,30 +121,51 @@ def l09(spark, d):
 
 @query("l11_summary_gate", rf"{W}, {DESCRIBED}, t AS (SELECT name, n, len(regexp_extract_all(replace(descriptions, '<SEP>', ' '), '\S+')) AS tokens FROM des) SELECT name, CASE WHEN n = 1 THEN 'single' WHEN (tokens <= 60 OR n <= 2) AND n < 6 AND tokens < 20 THEN 'join' WHEN tokens <= 60 OR n <= 2 THEN 'summarise' ELSE 'map_reduce' END AS action FROM t")
 def l11(spark, d):
-    texts = mentions.distinct_descriptions(found_entities(spark, d), place())
+    texts = mentions.distinct_descriptions(mentions.counted(found_entities(spark, d), place()))
     tokens = T.word_count(F.array_join("descriptions", " "))
     return texts.select("name", mentions.summary_gate(F.size("descriptions"), tokens, force=6, most=20, context=60).alias("action"))
 
 
-@query("l13_merge_graph", f"{W}, {MODE}, {PAIRS}, few AS (SELECT * FROM mode_type WHERE type <> 'thing') SELECT type, count(*) AS n FROM (SELECT name, type FROM few UNION ALL SELECT e, 'UNKNOWN' FROM (SELECT DISTINCT unnest([src, tgt]) AS e FROM pairs) ANTI JOIN few ON e = name) GROUP BY type")
-def l13(spark, d):
-    few = mentions.majority_type(found_entities(spark, d), place()).where("type <> 'thing'").select(F.col("name").alias("entity_id"), F.col("type").alias("entity_type"))
-    nodes = few.unionByName(graph.missing_ends(few, mentions.merged_relations(found_relations(spark, d))).select("entity_id", "entity_type"))
-    return nodes.groupBy(F.col("entity_type").alias("type")).agg(F.count("*").alias("n"))
+ENDS = "(SELECT DISTINCT unnest([src, tgt]) AS e FROM pairs)"
+SAID = "said AS (SELECT src, tgt, string_agg(DISTINCT description, '<SEP>' ORDER BY description) AS said FROM (SELECT least(src, tgt) AS src, greatest(src, tgt) AS tgt, description FROM rels) GROUP BY src, tgt)"
 
 
-@query("l14_vdb_payload", f"{W}, {DESCRIBED}, {PAIRS} SELECT 'ent-' || md5(name) AS id, name || chr(10) || descriptions AS content FROM des UNION ALL SELECT 'rel-' || md5(src || tgt), keywords || chr(9) || src || chr(10) || tgt FROM pairs JOIN kw USING (src, tgt)")
+@query(
+    "l13_merge_graph",
+    f"""{W}, {MODE}, {SOURCES}, {DESCRIBED}, {PAIRS}, few AS (SELECT * FROM mode_type WHERE type <> 'thing') SELECT 'node' AS kind, name AS id, type AS label, descriptions AS content, len(string_split(sources, ',')) AS n FROM few JOIN src USING (name) JOIN des USING (name)
+UNION ALL SELECT 'node', e, 'UNKNOWN', '', 0 FROM {ENDS} ANTI JOIN few ON e = name UNION ALL SELECT 'edge', src || '>' || tgt, CAST(CAST(weight AS DECIMAL(18,1)) AS VARCHAR), keywords, n FROM pairs JOIN kw USING (src, tgt)
+UNION ALL SELECT 'document', CAST(doc_id AS VARCHAR), '', string_agg(DISTINCT name, ',' ORDER BY name), count(DISTINCT name) FROM ents GROUP BY doc_id""",
+)
+def l13(spark, d):
+    """Nodes, then edges with the ends that are no nodes yet, then the index of each document's names. Things are left out as nodes, so some ends are unknown."""
+    found = kept(found_entities(spark, d), "entities")
+    merged = mentions.merged_entities(found, place(), most=5).where("type <> 'thing'")
+    nodes = kept(merged.select(F.col("name").alias("entity_id"), F.col("type").alias("entity_type"), F.array_join("descriptions", T.SEP).alias("content"), F.size("sources").cast("long").alias("n")), "nodes")
+    pairs = kept(mentions.merged_relations(found_relations(spark, d)), "edges")
+    unknown = graph.missing_ends(nodes.select("entity_id"), pairs)
+    edges_ = pairs.select(F.lit("edge"), F.concat_ws(">", "src", "tgt"), F.col("weight").cast("decimal(18,1)").cast("string"), "keywords", "n")
+    index = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("name")).alias("names")).select(F.lit("document"), F.col("doc_id").cast("string"), F.lit(""), F.array_join("names", ","), F.size("names").cast("long"))
+    out = nodes.select(F.lit("node").alias("kind"), F.col("entity_id").alias("id"), F.col("entity_type").alias("label"), "content", "n")
+    return out.union(unknown.select(F.lit("node"), "entity_id", "entity_type", F.lit(""), F.lit(0).cast("long"))).union(edges_).union(index)
+
+
+@query("l14_vdb_payload", f"{W}, {DESCRIBED}, {PAIRS}, {SAID} SELECT 'ent-' || md5(name) AS id, name || chr(10) || descriptions AS content FROM des UNION ALL SELECT 'rel-' || md5(src || tgt), keywords || chr(9) || src || chr(10) || tgt || chr(10) || said FROM pairs JOIN kw USING (src, tgt) JOIN said USING (src, tgt)")
 def l14(spark, d):
-    texts = mentions.distinct_descriptions(found_entities(spark, d), place())
+    texts = mentions.distinct_descriptions(mentions.counted(found_entities(spark, d), place()))
     one = texts.select(T.hashed_id("ent-", F.col("name")).alias("id"), F.concat("name", F.lit("\n"), F.array_join("descriptions", T.SEP)).alias("content"))
-    two = mentions.merged_relations(found_relations(spark, d)).select(T.hashed_id("rel-", F.concat("src", "tgt")).alias("id"), F.concat("keywords", F.lit("\t"), "src", F.lit("\n"), "tgt").alias("content"))
+    two = mentions.merged_relations(found_relations(spark, d)).select(T.hashed_id("rel-", F.concat("src", "tgt")).alias("id"), F.concat("keywords", F.lit("\t"), "src", F.lit("\n"), "tgt", F.lit("\n"), "description").alias("content"))
     return one.union(two)
 
 
-@query("l15_keywords", f"SELECT item_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{NAME}'))), ',') AS high FROM benchmark")
+@query("l15_keywords", f"SELECT item_id, CASE WHEN item_id % 5 = 0 THEN '' ELSE array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{NAME}'))), ',') END AS high, CASE WHEN item_id % 5 = 0 THEN '' ELSE array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[a-z]{{7,}}'))), ',') END AS low FROM benchmark")
 def l15(spark, d):
-    """Offline keywords: the distinct capitalised words."""
-    return table(spark, d, "benchmark").select("item_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(NAME), F.lit(0)))), ",").alias("high"))
+    """Keywords that a model gives as JSON; the offline one lists capitalised words as high and long ones as low. An answer that doesn't parse gives none."""
+    words = lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0))))
+    answer = F.to_json(F.struct(words(NAME).alias("high_level_keywords"), words("[a-z]{7,}").alias("low_level_keywords")))
+    said = table(spark, d, "benchmark").select("item_id", F.when(F.col("item_id") % 5 == 0, "I can't say").otherwise(F.concat(F.lit("```json\n"), answer, F.lit("\n```"))).alias("said"))
+    got = F.from_json(T.json_text(F.col("said")), "high_level_keywords array<string>, low_level_keywords array<string>")
+    listed = lambda c: F.coalesce(F.array_join(got[c], ","), F.lit(""))
+    return said.select("item_id", listed("high_level_keywords").alias("high"), listed("low_level_keywords").alias("low"))
 
 
 @query("c18_entity_chunks", f"{W} SELECT name, min(doc_id) AS first_chunk, count(DISTINCT doc_id) AS chunks FROM ents GROUP BY name")
@@ -162,31 +184,35 @@ SEEDS = f"{VECTORS}, {ONE}, {scored()}, {top(5)}, {EDGES}, {BOTH}, seed AS (SELE
 def seeds(spark, d):
     """The nearest entities of the asked vector, as graph nodes."""
     found = vectors.top_k(vector_table(spark, d), asked(spark, d, 7), 5, "vec_id", threshold=-1.0)
-    return found.select(F.concat(F.lit("p:"), F.col("vec_id")).alias("entity_id"), "rank")
+    return kept(found.select(F.concat(F.lit("p:"), F.col("vec_id")).alias("entity_id"), "rank"), "seeds")
 
 
 LOCAL = "l AS (SELECT b AS id, max(weight) AS score FROM seed JOIN two_way ON a = entity_id ANTI JOIN seed s ON s.entity_id = b GROUP BY b ORDER BY round(max(weight), 4) DESC, b LIMIT 30)"
 GLOBAL = "g AS (SELECT src || '>' || tgt AS id, weight AS score FROM edges WHERE src IN (SELECT entity_id FROM seed) OR tgt IN (SELECT entity_id FROM seed) ORDER BY weight DESC, 1 LIMIT 20)"
 
 
-def local(spark, d):
-    return graph.expand(seeds(spark, d), edges(spark, d), 1, 30).select(F.col("entity_id").alias("id"), F.round("score", 4).alias("score"))
+def local(found, e):
+    return graph.expand(found, e, 1, 30).select(F.col("entity_id").alias("id"), F.round("score", 4).alias("score"))
 
 
-def global_(spark, d):
-    s, e = seeds(spark, d), edges(spark, d)
-    touched = e.join(s.select(F.col("entity_id").alias("src")), "src", "left_semi").select("src", "tgt", "weight").union(e.join(s.select(F.col("entity_id").alias("tgt")), "tgt", "left_semi").select("src", "tgt", "weight")).distinct()
+def global_(found, e):
+    touched = e.join(found.select(F.col("entity_id").alias("src")), "src", "left_semi").select("src", "tgt", "weight").union(e.join(found.select(F.col("entity_id").alias("tgt")), "tgt", "left_semi").select("src", "tgt", "weight")).distinct()
     return touched.select(F.concat_ws(">", "src", "tgt").alias("id"), F.round("weight", 4).alias("score"), "weight").orderBy(F.desc("weight"), "id").limit(20).select("id", "score")
 
 
+def seeds_and_edges(spark, d):
+    """Both are found once, however many parts of an answer use them."""
+    return seeds(spark, d), kept(edges(spark, d), "edges")
+
+
 @query("l16_local", f"WITH {SEEDS}, {LOCAL} SELECT id, round(score, 4) AS score FROM l")
 def l16(spark, d):
-    return local(spark, d)
+    return local(*seeds_and_edges(spark, d))
 
 
 @query("l17_global", f"WITH {SEEDS}, {GLOBAL} SELECT id, round(score, 4) AS score FROM g")
 def l17(spark, d):
-    return global_(spark, d)
+    return global_(*seeds_and_edges(spark, d))
 
 
 @query("c19_relation_edges", f"WITH {SEEDS} SELECT rank, entity_id, src, tgt FROM seed JOIN edges ON tgt = 's:' || rank AND src = entity_id OR src = 's:' || rank AND tgt = entity_id")
@@ -198,13 +224,17 @@ def c19(spark, d):
 
 @query("l25_kg_hybrid", f"WITH {SEEDS}, {LOCAL}, {GLOBAL} SELECT 'local' AS part, id FROM l UNION ALL SELECT 'global', id FROM g")
 def l25_hybrid(spark, d):
-    return local(spark, d).select(F.lit("local").alias("part"), "id").union(global_(spark, d).select(F.lit("global"), "id"))
+    return hybrid(*seeds_and_edges(spark, d))
+
+
+def hybrid(found, e):
+    return local(found, e).select(F.lit("local").alias("part"), "id").union(global_(found, e).select(F.lit("global"), "id"))
 
 
 @query("l25_kg_mix", f"WITH {SEEDS}, {LOCAL}, {GLOBAL} SELECT 'local' AS part, id FROM l UNION ALL SELECT 'global', id FROM g UNION ALL SELECT 'vector', CAST(vec_id AS VARCHAR) FROM t")
 def l25_mix(spark, d):
-    near = seeds(spark, d).select(F.lit("vector").alias("part"), F.expr("substring(entity_id, 3)").alias("id"))
-    return l25_hybrid(spark, d).union(near)
+    found, e = seeds_and_edges(spark, d)
+    return hybrid(found, e).union(found.select(F.lit("vector"), F.expr("substring(entity_id, 3)")))
 
 
 @query("c20_fetch_chunks", rf"WITH {CHUNKS}, p AS (SELECT chunk_id, doc_id, tokens, sum(tokens) OVER (ORDER BY chunk_id) AS upto FROM (SELECT DISTINCT chunk_id, min(doc_id) AS doc_id, max(tokens) AS tokens FROM chunks WHERE file_path = 'src3' AND length(content) > 0 GROUP BY chunk_id ORDER BY chunk_id LIMIT 10)) SELECT chunk_id, doc_id FROM p WHERE upto <= 3000")
@@ -214,32 +244,49 @@ def c20(spark, d):
     return packing.token_prefix(some, ["of"], ["chunk_id"], F.col("tokens"), 3000).select("chunk_id", "doc_id")
 
 
-@query("l27_cache", "WITH c AS (SELECT 'default:' || md5(text) AS key, min(doc_id) AS hit FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) SELECT doc_id, 'default:' || md5(text) AS key, hit FROM documents LEFT JOIN c ON c.key = 'default:' || md5(text)")
+@query("l27_cache", "WITH k AS (SELECT 'default:' || md5(text) AS key, min(doc_id) AS all_first, min(doc_id) FILTER (doc_id % 2 = 0) AS cached FROM documents GROUP BY 1) SELECT key, CASE WHEN cached IS NOT NULL THEN 'answer ' || cached ELSE 'answer ' || all_first END AS content, CASE WHEN cached IS NOT NULL THEN cached ELSE 1717243200 END AS create_time, cached IS NOT NULL AS hit FROM k")
 def l27(spark, d):
-    """Cached answers of the texts already asked; misses have none."""
+    """The cache after all texts were asked: answers of the even documents were there with their time, misses are answered once a key and appended."""
     docs = table(spark, d, "documents").select("doc_id", T.hashed_id("default:", F.col("text")).alias("key"))
-    cache = docs.where("doc_id % 2 = 0").groupBy("key").agg(F.min("doc_id").alias("hit"))
-    return docs.join(cache, "key", "left").select("doc_id", "key", "hit")
+    answer = F.concat(F.lit("answer "), F.min("doc_id"))
+    cache = docs.where("doc_id % 2 = 0").groupBy("key").agg(answer.alias("content"), F.min("doc_id").alias("create_time"))
+    misses = docs.join(cache.select("key"), "key", "left_anti").groupBy("key").agg(answer.alias("content"), F.lit(1717243200).cast("long").alias("create_time"))
+    return cache.withColumn("hit", F.lit(True)).union(misses.withColumn("hit", F.lit(False)))
 
 
-@query("l28_insert", f"WITH {CHUNKS} SELECT c.doc_key, count(*) AS chunks, 'chunks_ready' AS status FROM (SELECT DISTINCT doc_key, chunk_id FROM chunks) c WHERE doc_key NOT IN (SELECT doc_key FROM docs WHERE doc_id % 4 = 0) GROUP BY c.doc_key")
+@query(
+    "l28_insert",
+    f"""WITH {CHUNKS}, c AS (SELECT doc_key, count(DISTINCT chunk_id) AS chunks FROM chunks GROUP BY doc_key), k AS (SELECT docs.doc_key, coalesce(any_value(chunks), 0) AS chunks, bool_or(doc_id % 4 = 0) AS known FROM docs LEFT JOIN c USING (doc_key) GROUP BY docs.doc_key)
+SELECT doc_key, phase, chunks, CASE WHEN chunks = 0 THEN 'failed' WHEN phase = 'phase1' THEN 'chunks_ready' ELSE 'processed' END AS status FROM k, (SELECT unnest(['full', 'phase1', 'phase2']) AS phase) WHERE CASE phase WHEN 'full' THEN NOT known WHEN 'phase1' THEN true ELSE known AND chunks > 0 END""",
+)
 def l28(spark, d):
-    """Documents that are not known yet, chunked; known ones are skipped."""
-    from brookwell.operators.chunking import token_chunks
+    """What each phase does: the full one skips known documents, the first makes chunks ready, the second goes on with known ones that have them; a document without chunks fails."""
     from brookwell.plans.base import documents
 
-    docs = documents(spark, d)
-    fresh = store.without(docs, docs.where("doc_id % 4 = 0"), "doc_key")
-    pieces = token_chunks(fresh).select("doc_key", "chunk_id").distinct()
-    return pieces.groupBy("doc_key").agg(F.count("*").alias("chunks")).withColumn("status", F.lit("chunks_ready"))
+    docs = documents(spark, d).groupBy("doc_key").agg(F.max((F.col("doc_id") % 4 == 0).cast("int")).alias("known"))
+    pieces = chunks(spark, d).groupBy("doc_key").agg(F.count_distinct("chunk_id").alias("chunks"))
+    phase = F.explode(F.array(*(F.lit(p) for p in ("full", "phase1", "phase2"))))
+    rows = docs.join(pieces, "doc_key", "left").na.fill(0, ["chunks"]).withColumn("phase", phase)
+    goes = F.when(F.col("phase") == "full", F.col("known") == 0).when(F.col("phase") == "phase1", F.lit(True)).otherwise((F.col("known") == 1) & (F.col("chunks") > 0))
+    status = F.when(F.col("chunks") == 0, "failed").when(F.col("phase") == "phase1", "chunks_ready").otherwise("processed")
+    return rows.where(goes).select("doc_key", "phase", "chunks", status.alias("status"))
 
 
-@query("l30_delete", f"WITH {FOUND}, {DOCS} SELECT name, count(DISTINCT doc_id) AS sources FROM ents WHERE doc_id % 10 <> 3 GROUP BY name")
+@query(
+    "l30_delete",
+    f"""WITH {FOUND}, {CHUNKS} SELECT 'entity' AS kind, name AS id, count(DISTINCT doc_id) AS n FROM ents WHERE doc_id % 10 <> 3 GROUP BY name
+UNION ALL SELECT 'relation', least(src, tgt) || '>' || greatest(src, tgt), count(DISTINCT doc_id) FROM rels WHERE doc_id % 10 <> 3 GROUP BY 2
+UNION ALL SELECT 'chunk', chunk_id, count(DISTINCT doc_id) FROM chunks WHERE doc_id % 10 <> 3 GROUP BY chunk_id UNION ALL SELECT 'document', doc_key, count(*) FROM docs WHERE doc_id % 10 <> 3 GROUP BY doc_key""",
+)
 def l30(spark, d):
-    """Entities left when some documents go: those with another source stay, with fewer sources."""
-    e = found_entities(spark, d).select("name", "doc_id").distinct()
+    """All stores once some documents are deleted: entities, relations, chunks and statuses go with their last source, others keep fewer."""
+    from brookwell.plans.base import documents
+
     gone = table(spark, d, "documents").where("doc_id % 10 = 3").select("doc_id")
-    return store.without(e, gone, "doc_id").groupBy("name").agg(F.count("*").alias("sources"))
+    e = found_entities(spark, d).select(F.lit("entity").alias("kind"), F.col("name").alias("id"), "doc_id")
+    r = found_relations(spark, d).select(F.lit("relation"), F.concat_ws(">", F.least("src", "tgt"), F.greatest("src", "tgt")), "doc_id")
+    rows = e.union(r).union(chunks(spark, d).select(F.lit("chunk"), "chunk_id", "doc_id")).union(documents(spark, d).select(F.lit("document"), "doc_key", "doc_id")).distinct()
+    return store.without(rows, gone, "doc_id").groupBy("kind", "id").agg(F.count("*").alias("n"))
 
 
 STEP = "CASE c WHEN 1 THEN least(b + 1, 5) WHEN -1 THEN greatest(b - 1, 1) ELSE 1 END"
@@ -289,10 +336,18 @@ def l42(spark, d):
     return l43(spark, d).select("source", of(0).alias("hops"), of(1).alias("neighbours"))
 
 
-@query("l44_gen_validate", "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number FROM documents WHERE length(text) BETWEEN 1 AND 1000 AND trim(text) <> '' AND source IN ('src1', 'src2', 'src3', 'src4')")
+VALID = "length(text) BETWEEN 1 AND 1000 AND trim(text) <> ''"
+
+
+@query("l44_gen_validate", f"WITH v AS (SELECT source, doc_id, doc_id % 2 AS attempt, count(*) FILTER (doc_id % 2 = 0) OVER (PARTITION BY source) AS first FROM documents WHERE {VALID}), u AS (SELECT * FROM v WHERE attempt = 0 OR first < 12), r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY attempt, doc_id) AS number, least(count(*) OVER (PARTITION BY source), 12) AS made FROM u) SELECT source, doc_id, number, made = 12 AS enough FROM r WHERE number <= 12")
 def l44(spark, d):
-    cards = k07(spark, d).select("doc_id").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    return cards.select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("number"))
+    """Twelve valid cards a source: a second attempt only where the first falls short, numbered anew; ``enough`` is false where both do."""
+    valid = table(spark, d, "documents").where(F.length("text").between(1, 1000) & (F.trim("text") != "")).select("source", "doc_id", (F.col("doc_id") % 2).alias("attempt"))
+    counts = valid.groupBy(F.col("source").alias("s")).agg(F.count_if(F.col("attempt") == 0).alias("first"), F.count("*").alias("all"))
+    used = valid.join(counts, F.col("source").eqNullSafe(F.col("s"))).where("attempt = 0 OR first < 12")
+    number = F.row_number().over(Window.partitionBy("source").orderBy("attempt", "doc_id"))
+    made = F.when(F.col("first") >= 12, F.lit(12)).otherwise(F.least("all", F.lit(12)))
+    return used.withColumn("number", number.cast("long")).where("number <= 12").select("source", "doc_id", "number", (made == 12).alias("enough"))
 
 
 #: Texts that try to steer the assistant, and marks of its refusals.

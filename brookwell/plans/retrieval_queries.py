@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from brookwell.functions import vectors as V
 from brookwell.functions.text import word_count
 from brookwell.operators import chunking, packing, vectors
 from brookwell.plans.base import CHUNKS, DOCS, VECTORS, asked, chunks, documents, query, table
@@ -166,10 +165,3 @@ SELECT source, doc_id, bin FROM b"""
 def e06(spark, d):
     """Greedy bins of each source's texts by length."""
     return packing.greedy_bin_rows(table(spark, d, "documents"), "source", "doc_id", "n_chars", 12_000)
-
-
-@query("l38_semsim", "SELECT a.label, round(avg(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))), 6) AS mean_cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 GROUP BY a.label")
-def l38(spark, d):
-    e = table(spark, d, "embeddings")
-    pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next")), "vec_id")
-    return pairs.groupBy("label").agg(F.round(F.avg(V.cosine(F.col("embedding"), F.col("next"))), 6).alias("mean_cosine"))

@@ -244,37 +244,46 @@ def g08(spark, d):
     return store.latest(graph.unionByName(near), ["text"], ["p", "doc_id"]).select("text", "origin")
 
 
-LIFE = {None: ("view", "click", "signup", "purchase", "error"), "view": ("click", "purchase", "error"), "click": ("purchase", "view"), "signup": ("view",), "purchase": ("view", "click"), "error": ("view", "signup")}
-LIFE_SQL = "steps AS (SELECT user_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, event_type AS after FROM events)"
-
-
-@query("o01_file_state", f"WITH {LIFE_SQL} SELECT coalesce(before, 'none') AS before, after, count(*) AS n FROM steps GROUP BY 1, 2")
-def o01(spark, d):
-    steps = store.transitions(table(spark, d, "events"), "user_id", "event_type", ["ts", "event_id"])
-    return steps.groupBy(F.coalesce("before", F.lit("none")).alias("before"), "after").agg(F.count("*").alias("n"))
-
-
-ILLEGAL = " AND ".join(f"NOT (before {'IS NULL' if b is None else f'IS NOT DISTINCT FROM {chr(39)}{b}{chr(39)}'} AND after IN ({', '.join(chr(39) + a + chr(39) for a in after)}))" for b, after in LIFE.items())
-
-
-@query("o02_doc_state", f"WITH {LIFE_SQL} SELECT before, after, count(*) AS n FROM steps WHERE {ILLEGAL} GROUP BY before, after")
-def o02(spark, d):
-    steps = store.transitions(table(spark, d, "events"), "user_id", "event_type", ["ts", "event_id"])
-    return store.illegal(steps, LIFE).groupBy("before", "after").agg(F.count("*").alias("n"))
-
-
-def final_state(spark, d, kind):
-    """Newest state of each user among the events of some types."""
-    return store.latest(table(spark, d, "events").where(F.col("event_type").isin(*kind)), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", F.col("event_type").alias("state"))
-
-
-def final_sql(kind):
-    listed = ", ".join(f"'{k}'" for k in kind)
-    return f"SELECT user_id, event_type AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type IN ({listed})) WHERE r = 1"
-
-
-for _name, _kind in {"o03_quiz_state": ("view", "click", "purchase", "error"), "o04_deck_state": ("view", "click", "error"), "o05_mindmap_state": ("view", "signup"), "o06_invite_state": ("signup", "purchase", "error")}.items():
-    query(_name, final_sql(_kind))(lambda spark, d, kind=_kind: final_state(spark, d, kind))
+KINDS = ("signup", "view", "click", "purchase", "error")
+CODE_SQL = "CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END"
+
+
+class Lifecycle:
+    """States and what each event does to them; an event without a legal step from a state leaves it."""
+
+    def __init__(self, states: tuple[str, ...], steps: dict[str, dict[str, str]]):
+        self.states = states
+        self.moves = [[states.index(steps.get(kind, {}).get(s, s)) for s in states] for kind in KINDS]
+
+    def sql(self) -> str:
+        table, names = [s for row in self.moves for s in row], ", ".join(f"'{s}'" for s in self.states)
+        return f"SELECT user_id, list_extract([{names}], CAST(list_reduce([0] || list({CODE_SQL} ORDER BY event_id), lambda s, c: list_extract({table}, c * {len(self.states)} + s + 1)) + 1 AS BIGINT)) AS state FROM events GROUP BY user_id"
+
+    def rows(self, spark, d):
+        code = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("event_type")) - 1
+        found = store.machine(table(spark, d, "events"), "user_id", code, "event_id", len(self.states), self.moves)
+        return found.select("user_id", F.element_at(F.array(*(F.lit(s) for s in self.states)), F.col("state") + 1).alias("state"))
+
+
+#: The tables' events stand for: made or reset, taken up, first result, finished, failed.
+LIFECYCLES = {
+    "o01_file_state": Lifecycle(
+        ("pending", "processing", "naive_ready", "completed", "failed"),
+        {"signup": {"failed": "pending"}, "view": {"pending": "processing"}, "click": {"processing": "naive_ready"}, "purchase": {"naive_ready": "completed"}, "error": {"processing": "failed", "naive_ready": "failed"}},
+    ),
+    "o02_doc_state": Lifecycle(
+        ("pending", "processing", "preprocessed", "chunks_ready", "processed", "failed"),
+        {"signup": {"failed": "pending"}, "view": {"pending": "processing", "processing": "preprocessed"}, "click": {"preprocessed": "chunks_ready"}, "purchase": {"chunks_ready": "processed"}, "error": {"processing": "failed", "preprocessed": "failed", "chunks_ready": "failed"}},
+    ),
+    "o03_quiz_state": Lifecycle(("pending", "generating", "ready", "failed", "submitted"), {"view": {"pending": "generating"}, "click": {"generating": "ready"}, "purchase": {"ready": "submitted"}, "error": {"generating": "failed"}, "signup": {"failed": "pending"}}),
+    "o04_deck_state": Lifecycle(("pending", "generating", "ready", "failed"), {"view": {"pending": "generating"}, "click": {"generating": "ready"}, "error": {"generating": "failed"}, "signup": {"failed": "pending"}}),
+    "o05_mindmap_state": Lifecycle(  # made again only by force, from any state; a ready one is returned as it is
+        ("pending", "generating", "ready", "failed"), {"view": {"pending": "generating", "failed": "generating"}, "click": {"generating": "ready"}, "error": {"generating": "failed"}, "purchase": {"pending": "pending", "generating": "pending", "ready": "pending", "failed": "pending"}}
+    ),
+    "o06_invite_state": Lifecycle(("pending", "accepted", "rejected", "cancelled"), {"click": {"pending": "accepted"}, "error": {"pending": "rejected"}, "view": {"pending": "cancelled"}}),
+}
+for _name, _life in LIFECYCLES.items():
+    query(_name, _life.sql())(lambda spark, d, life=_life: life.rows(spark, d))
 
 
 @query("o07_send_invites", "SELECT c_custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') THEN 'pending' WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'member' ELSE 'sent' END AS outcome FROM customer")

@@ -67,9 +67,35 @@ def m11(spark, d):
     return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-@query("m12_client_reducer", "SELECT user_id, max_by(event_type, event_id) AS state, max(event_id) AS version FROM events GROUP BY user_id")
+#: Actions by event id modulo 12: set and prepend messages, upsert, replace, discard, agent and user typing, presence, read marks, connected, has more, loading.
+ACTIONS = """WITH a AS (SELECT user_id, event_id AS i, event_id % 12 AS k, event_id // 12 % 2 = 1 AS on_, event_id // 12 % 20 AS m, event_id // 12 % 3 AS who FROM events),
+msg AS (SELECT user_id, m, min(i) FILTER (k < 4) AS made, max(i) FILTER (k < 4) AS kept, max(i) FILTER (k = 4) AS gone FROM a WHERE k < 5 GROUP BY user_id, m),
+n AS (SELECT user_id, count(made) AS messages, count(CASE WHEN gone > kept THEN 1 END) AS discarded FROM msg GROUP BY user_id),
+t AS (SELECT user_id, count(*) AS typing FROM (SELECT user_id, who, max_by(on_, i) AS typing FROM a WHERE k = 6 GROUP BY user_id, who) WHERE typing GROUP BY user_id),
+s AS (SELECT user_id, max_by(on_, i) FILTER (k = 5) AS agent, max_by(m, i) FILTER (k = 7) AS online, max_by(on_, i) FILTER (k = 9) AS connected, max_by(CASE WHEN k = 10 THEN on_ ELSE m >= 10 END, i) FILTER (k IN (0, 1, 10)) AS has_more, max_by(k = 11 AND on_, i) FILTER (k IN (1, 11)) AS loading FROM a GROUP BY user_id),
+r AS (SELECT user_id, string_agg(who || ':' || seq, ',' ORDER BY who) AS read FROM (SELECT user_id, who, max_by(m, i) AS seq FROM a WHERE k = 8 GROUP BY user_id, who) GROUP BY user_id)
+SELECT s.*, coalesce(messages, 0) AS messages, coalesce(discarded, 0) AS discarded, coalesce(typing, 0) AS typing, read FROM s LEFT JOIN n USING (user_id) LEFT JOIN t USING (user_id) LEFT JOIN r USING (user_id)"""
+
+
+@query("m12_client_reducer", ACTIONS)
 def m12(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("state"), F.max("event_id").alias("version"))
+    """A thread's state after twelve kinds of actions: the last of each kind wins, messages are merged by id, a discard marks a message that is there until it comes again."""
+    step = F.floor(F.col("event_id") / 12)
+    a = table(spark, d, "events").select("user_id", F.col("event_id").alias("i"), (F.col("event_id") % 12).alias("k"), (step % 2 == 1).alias("on_"), (step % 20).alias("m"), (step % 3).alias("who"))
+    last = lambda value, *kinds: F.max_by(F.when(F.col("k").isin(*kinds), value), F.when(F.col("k").isin(*kinds), F.col("i")))
+    on = F.col("on_")
+    state = a.groupBy("user_id").agg(
+        last(on, 5).alias("agent"), last(F.col("m"), 7).alias("online"), last(on, 9).alias("connected"),
+        last(F.when(F.col("k") == 10, on).otherwise(F.col("m") >= 10), 0, 1, 10).alias("has_more"), last((F.col("k") == 11) & on, 1, 11).alias("loading"),
+    )
+    put, gone = F.max(F.when(F.col("k") < 4, F.col("i"))), F.max(F.when(F.col("k") == 4, F.col("i")))
+    merged = a.where("k < 5").groupBy("user_id", "m").agg(put.alias("kept"), gone.alias("gone"))
+    counts = merged.groupBy("user_id").agg(F.count("kept").alias("messages"), F.count_if(F.col("gone") > F.col("kept")).alias("discarded"))
+    by_who = lambda k, value: a.where(F.col("k") == k).groupBy("user_id", "who").agg(F.max_by(value, "i").alias("v"))
+    typing = by_who(6, "on_").where("v").groupBy("user_id").agg(F.count("*").alias("typing"))
+    marks = by_who(8, "m").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "who", "v"))), ",").alias("read"))
+    out = state.join(counts, "user_id", "left").join(typing, "user_id", "left").join(marks, "user_id", "left")
+    return out.na.fill(0, ["messages", "discarded", "typing"])
 
 
 @query("m13_unread_reducer", "WITH c AS (SELECT user_id, max(event_id) AS last FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT e.user_id, count(CASE WHEN event_type IN ('view', 'click') AND (last IS NULL OR event_id > last) THEN 1 END) AS n FROM events e LEFT JOIN c ON c.user_id = e.user_id GROUP BY e.user_id")
