@@ -222,7 +222,7 @@ def _verified(docs: DataFrame, dealt: DataFrame, n_docs: int, threshold: float)
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, most_hashes: int = 128, block: int = 256, block_size: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, most_hashes: int = 128, block: int = 128, block_size: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: id, class_id (least id of its class), n_links (other documents at the threshold or above, copies counted), n_copies (documents of the same words, itself included), text_hash, keeps (true for one row of each class, and for rows equal to it).
 

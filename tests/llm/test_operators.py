@@ -537,6 +537,51 @@ def test_low_importance_branches_go(spark):
     assert got == ordered([(i, f"story {i} tells {i * i}") for i in range(8)] + [(50, "story 0 tells 0"), (60, ""), (None, "plain")])
 
 
+def texts_by_a_plain_tree(rows, least_pages=html_main.LEAST_PAGES):
+    """(id, text) of (id, url, html) rows: the tree of each host's distinct pages in dictionaries, importance by its definition."""
+    host = lambda url: (m[1].lower() if (m := re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "")) else "")
+    entropy = lambda counts, base: -sum(n / sum(counts) * math.log(n / sum(counts)) for n in counts) / math.log(base)
+    parsed = {html: html_main.blocks(html or "") for _, _, html in rows}
+    low = defaultdict(set)
+    for h in {host(u) for _, u, _ in rows}:
+        styles, texts, main = defaultdict(Counter), defaultdict(Counter), set()
+        for html in {x for _, u, x in rows if host(u) == h}:
+            found, tags = parsed[html]
+            on = [b for b in found if not b[1]]
+            for path in {b[0] for b in on}:
+                styles[path][tuple(tags.get(path, ()))] += 1
+                texts[path].update({b[3] for b in on if b[0] == path})
+            main |= {b[0] for b in on if b[2]}
+        for path, seen in styles.items():
+            m = sum(seen.values())
+            if m < least_pages:
+                continue
+            content = 1 - min(1, sum(n * math.log(n) for n in texts[path].values()) / sum(texts[path].values()) / math.log(m))
+            value = max(0.0, (1 - html_main.GAMMA) * entropy(seen.values(), m) + html_main.GAMMA * content)
+            if (math.sqrt(value) if path in main else value) < html_main.LEAST_IMPORTANCE:
+                low[h].add(path)
+    return [(i, "\n".join(b[3] for b in parsed[html][0] if not b[1] and b[0] not in low[host(u)])) for i, u, html in rows]
+
+
+def test_texts_match_a_plain_tree(spark):
+    """All pages of sf0.001, each also with a repeated notice inside and outside of its article; the tree decides on those."""
+    pages = [tuple(r) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()]
+    note = "<div class='x1'>Read more on our other site</div>"
+    rows = pages + [(1000 + i, u, (h or "").replace("<article>", f"{note}<article>{note}")) for i, u, h in pages] + [(2000 + i, "http://small.example/", f"<p>{i} of few") for i in range(4)]
+    table = spark.createDataFrame([(*r, "clash", i) for i, r in enumerate(rows)], "page_id long, url string, html string, low string, host int")
+    got = html_main.extract(table).collect()
+    want = texts_by_a_plain_tree(rows)
+    assert ordered((r.page_id, r.text) for r in got) == ordered(want)
+    plain = dict(texts_by_a_plain_tree(rows, least_pages=10**9))
+    changed = [i for i, t in want if t != plain[i]]
+    assert len(changed) >= 5 and all(1000 <= i < 2000 for i in changed) and html_main.extract(table.limit(0)).collect() == []
+
+
+def test_a_very_long_page():
+    page = "<article>" + "".join(f"<p>part {i} <b>x</b></p>" for i in range(60_000)) + "</article>"
+    assert html_main.main_text(page).count("\n") == 59_999
+
+
 def test_tree_judges_pages_with_a_main_element(spark):
     rows = [(i, f"http://h.example/{i}", f"<article><h1>Title {i}</h1><p>story {i}</p><div class='bio'>Written by our staff</div></article>") for i in range(8)]
     rows += [(20 + i, f"http://g.example/{i}", f"<div class='top'>Welcome</div><article class='card'>Teaser {i}</article><div class='body'><p>story {i}</p></div>") for i in range(8)]
