@@ -14,15 +14,17 @@ words, but not none, is one window.
 Defined cases: a null or empty text has no words; a null item text has no
 windows; a null item id matches but is not listed; repeated items count once,
 repeated documents each get the same row; null document ids are kept apart by
-their texts; an empty benchmark leaves every document clean; other columns of
-the inputs are not looked at.
+their texts; an empty benchmark leaves every document clean, and an
+empty table of documents gives an empty one; a very long text is one row of words
+and is exploded by its tasks only; other columns of the inputs are not looked at,
+whatever their names.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brookwell.llm.work import written
+from brookwell.llm.work import attach, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Term tables of up to this many rows are broadcast to filter tokens; larger ones are joined by shuffle.
@@ -43,22 +45,25 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def _only(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows of ``tokens`` whose term is in ``terms``; broadcast only after the size is checked."""
-    small = terms.limit(MOST_BROADCAST_TERMS + 1).count() <= MOST_BROADCAST_TERMS
-    return tokens.join(F.broadcast(terms) if small else terms, "term", "left_semi")
+def _are_few(terms: DataFrame) -> bool:
+    return terms.limit(MOST_BROADCAST_TERMS + 1).count() <= MOST_BROADCAST_TERMS
 
 
 def term_counts(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): occurrences of each of ``terms`` over all documents; 0 if there are none."""
-    found = _only(tokens.where("n_words > 0").select(F.explode(F.split("words", " ")).alias("term")), terms)
+    """(term, n): occurrences of each of ``terms`` over all documents; 0 if there are none. Too many terms for a broadcast meet the counts of all words, not their occurrences."""
+    words = tokens.where("n_words > 0").select(F.explode(F.split("words", " ")).alias("term"))
+    found = words.join(F.broadcast(terms), "term", "left_semi") if _are_few(terms) else words
     return terms.join(found.groupBy("term").agg(F.count("*").alias("n")), "term", "left").na.fill(0, ["n"])
 
 
 def postings(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """Written index (term, id, text_hash, pos) of all places of ``terms``; pos counts from 0."""
+    """Written index (term, id, text_hash, pos) of all places of ``terms`` (term, n), whose counts are known; pos counts from 0."""
     placed = tokens.where("n_words > 0").select("id", "text_hash", F.posexplode(F.split("words", " ")).alias("pos", "term"))
-    return written(_only(placed, terms).select("term", "id", "text_hash", "pos"), "postings")
+    if _are_few(terms):
+        found = placed.join(F.broadcast(terms.select("term")), "term", "left_semi")
+    else:
+        found = attach(placed, written(terms, "anchor-terms"), ["term"], "n", tokens.agg(F.sum("n_words")).first()[0] or 0)
+    return written(found.select("term", "id", "text_hash", "pos"), "postings")
 
 
 def windows(items: DataFrame, width: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -85,8 +90,9 @@ def _search(docs: DataFrame, items: DataFrame, width: int, id_col: str, text_col
     wanted = written(windows(items, width, item_col, item_text), "windows")
     phrases = wanted.select("phrase", "size").distinct()
     terms = written(phrases.select(F.explode(F.split("phrase", " ")).alias("term")).distinct(), "terms")
-    chosen = written(anchors(phrases, term_counts(tokens, terms)), "anchors")
-    posted = postings(tokens, chosen.select(F.col("a").alias("term")).union(chosen.select("b")).distinct())
+    counts = written(term_counts(tokens, terms), "counts")
+    chosen = written(anchors(phrases, counts), "anchors")
+    posted = postings(tokens, counts.join(chosen.select(F.col("a").alias("term")).union(chosen.select("b")).distinct(), "term"))
     return tokens, wanted, chosen, posted
 
 
@@ -97,8 +103,10 @@ def phrase_matches(docs: DataFrame, items: DataFrame, width: int = 10, id_col: s
     other = posted.select(F.col("term").alias("t"), F.col("id").alias("i"), F.col("text_hash").alias("h"), "pos")
     both = first.join(other, (F.col("b") == F.col("t")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")) & (F.col("b_pos") == F.col("pos")))
     places = both.groupBy(F.col("id").alias("i"), F.col("text_hash").alias("h")).agg(F.array_sort(F.collect_set(F.struct("start", "size", "phrase"))).alias("places"))
-    met = places.join(tokens, tokens.id.eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h"))).select("id", "text_hash", F.split("words", " ").alias("w"), "places")
-    hits = met.select("id", "text_hash", F.filter("places", lambda p: F.array_join(F.slice(F.col("w"), p["start"] + 1, p["size"]), " ") == p["phrase"]).alias("hits")).where(F.size("hits") > 0)
+    met = places.join(tokens, tokens.id.eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h"))).select("id", "text_hash", "words", "places")
+    # The words of a text are split once, as the variable of an outer function; a place and size have one phrase there.
+    there = F.transform(F.array(F.split("words", " ")), lambda w: F.filter("places", lambda p: F.array_join(F.slice(w, p["start"] + 1, p["size"]), " ") == p["phrase"]))
+    hits = met.select("id", "text_hash", F.get(there, F.lit(0)).alias("hits")).where(F.size("hits") > 0)
     covered = F.aggregate(
         "hits",
         F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n")),
@@ -108,7 +116,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, width: int = 10, id_col: s
         ),
         lambda acc: acc["n"].cast("long"),
     )
-    spans = F.array_distinct(F.transform("hits", lambda p: F.struct(p["start"].alias("start"), p["size"].alias("size"))))
+    spans = F.transform("hits", lambda p: F.struct(p["start"].alias("start"), p["size"].alias("size")))
     hits = hits.select("id", "text_hash", covered.alias("n_hit"), spans.alias("spans"), "hits").distinct()
     named = hits.select("id", "text_hash", F.explode(F.array_distinct(F.transform("hits", lambda p: p["phrase"]))).alias("phrase")).join(wanted.select("phrase", "item"), "phrase")
     listed = named.groupBy(F.col("id").alias("i"), F.col("text_hash").alias("h")).agg(F.array_sort(F.collect_set("item")).alias("items"))

@@ -105,7 +105,7 @@ def test_components_of_a_chain_and_a_star(spark):
 # 2: decontamination
 
 
-def test_phrases_match_brute_force(spark):
+def test_phrases_match_brute_force(spark, monkeypatch):
     items = [(1, " ".join(f"w{i}" for i in range(12))), (2, "A b"), (2, "A b"), (3, None), (10, "w1 nowhere"), (None, "x x x x x x x x x x")]
     got = decontaminate.phrase_matches(docs_of(spark, ODD), spark.createDataFrame(items, "item_id long, text string"))
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
@@ -122,6 +122,10 @@ def test_phrases_match_brute_force(spark):
                         found |= {str(item)} if item is not None else set()
         want.append((doc, len(w), len(hit), ",".join(sorted(found))))
     assert ordered(got.select("doc_id", "n_words", "n_hit", F.array_join("items", ",")).collect()) == ordered(want)
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST_TERMS", 3)
+    again = decontaminate.phrase_matches(docs_of(spark, ODD + [(8, "x " * 50_000)]), spark.createDataFrame(items, "item_id long, text string")).where("doc_id is null or doc_id <> 8")
+    assert ordered(again.select("doc_id", "n_words", "n_hit", F.array_join("items", ",")).collect()) == ordered(want)
+    assert decontaminate.phrase_matches(docs_of(spark, ODD).limit(0), spark.createDataFrame(items, "item_id long, text string")).collect() == []
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in decontaminate.phrase_matches(docs_of(spark, ODD), nothing).collect()} == {0}
 
