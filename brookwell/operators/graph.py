@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brookwell.functions.vectors import path_score
+from brookwell.operators.kept import kept
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -39,6 +40,13 @@ def neighbours(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return ids.join(both_ways(edges).select(F.col("a").alias("entity_id"), F.col("b").alias("neighbour"), "weight"), "entity_id", "left")
 
 
+def steps(edges: DataFrame) -> DataFrame:
+    """Written table (a, b, w, e) of the edges from either end with a number for each edge; a missing weight is 1. Trails read it at every hop."""
+    numbered = kept(edges.select("src", "tgt", F.coalesce("weight", F.lit(1.0)).alias("w"), F.monotonically_increasing_id().alias("e")), "edges")
+    there = numbered.select(F.col("src").alias("a"), F.col("tgt").alias("b"), "w", "e")
+    return there.union(numbered.where("src <> tgt").select("tgt", "src", "w", "e"))
+
+
 def trails(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     """(seed, entity_id, hops, score): all trails of 1 to ``hops`` edges from each seed, no edge twice.
 
@@ -47,8 +55,8 @@ def trails(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     """
     if not 0 <= hops <= 3:
         raise ValueError("hops must be 0 to 3")
-    step = both_ways(edges).select("a", "b", F.coalesce("weight", F.lit(1.0)).alias("w"), F.concat_ws("|", F.least("a", "b"), F.greatest("a", "b")).alias("e"))
-    now = seeds.select(F.col("entity_id").alias("seed"), F.col("entity_id").alias("at"), F.array().cast("array<string>").alias("used"), F.array().cast("array<double>").alias("ws"))
+    step = steps(edges)
+    now = seeds.select(F.col("entity_id").alias("seed"), F.col("entity_id").alias("at"), F.array().cast("array<bigint>").alias("used"), F.array().cast("array<double>").alias("ws"))
     out = None
     for k in range(1, hops + 1):
         now = now.join(step, (now["at"] == step.a) & ~F.array_contains("used", F.col("e"))).select("seed", F.col("b").alias("at"), F.array_append("used", F.col("e")).alias("used"), F.array_append("ws", F.col("w")).alias("ws"))
@@ -57,9 +65,24 @@ def trails(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     return out if out is not None else now.select("seed", F.col("at").alias("entity_id"), F.lit(0).cast("long").alias("hops"), F.lit(0.0).alias("score")).limit(0)
 
 
+def best_trails(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(entity_id, hops, score) with the best score of the trails of one and of two edges from any seed.
+
+    Of the trails that end in one edge at one node only the largest and the least
+    product go on, so a hub passes on a row for each of its edges, not for each trail.
+    """
+    step = steps(edges)
+    first = seeds.select(F.col("entity_id").alias("at")).distinct().join(step, F.col("at") == step.a).groupBy(F.col("b").alias("at"), F.col("e").alias("last")).agg(F.max("w").alias("high"), F.min("w").alias("low"))
+    first = kept(first, "first")
+    second = first.join(step, (first["at"] == step.a) & (F.col("last") != F.col("e"))).groupBy("b").agg(F.max(F.greatest(F.col("high") * F.col("w"), F.col("low") * F.col("w"))).alias("high"))
+    one = first.groupBy(F.col("at").alias("entity_id")).agg(F.lit(1).cast("long").alias("hops"), F.max("high").alias("score"))
+    return one.union(second.select("b", F.lit(2).cast("long"), F.col("high") / 2))
+
+
 def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, most: int = 30) -> DataFrame:
     """Best neighbours of a seed set: least hops and best trail score of each node that is no seed, the ``most`` best."""
-    found = trails(seeds, edges, hops).join(seeds.select("entity_id"), "entity_id", "left_anti")
+    found = best_trails(seeds, edges) if hops == 2 else trails(seeds, edges, hops)
+    found = found.join(seeds.select("entity_id"), "entity_id", "left_anti")
     return found.groupBy("entity_id").agg(F.min("hops").alias("hops"), F.round(F.max("score"), 4).alias("score")).orderBy(F.desc("score"), "entity_id").limit(most)
 
 

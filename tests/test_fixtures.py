@@ -120,6 +120,19 @@ def test_triangle_diamond_and_chain(spark):
     assert {r.entity_id: r.hop for r in graph.reach(seeds, edges, 3).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2, "e": 3}
 
 
+def test_best_trails_are_the_best_of_all(spark):
+    """Random edges with negative, missing and equal weights, parallel ones and loops."""
+    rng = random.Random(4)
+    rows = [(f"n{rng.randrange(9)}", f"n{rng.randrange(9)}", rng.choice([None, -2.0, -1.0, 0.0, 0.5, 1.0, 3.0])) for _ in range(30)]
+    edges = spark.createDataFrame(rows, "src string, tgt string, weight double")
+    seeds = spark.createDataFrame([("n1",), ("n2",)], "entity_id string")
+    best = {(r.entity_id, r.hops): r.score for r in graph.best_trails(seeds, edges).collect()}
+    every = {}
+    for r in graph.trails(seeds, edges, 2).collect():
+        every[r.entity_id, r.hops] = max(r.score, every.get((r.entity_id, r.hops), r.score))
+    assert best == every and len(best) > 8
+
+
 def test_preorder(spark):
     rows = [("t", "r1", None, 2, "one"), ("t", "r0", None, 1, "zero"), ("t", "x", "r0", 1, "x"), ("t", "y", "r0", 2, "y"), ("t", "z", "x", 1, "z"), ("u", "r0", None, 1, "other")]
     got = tree.preorder(spark.createDataFrame(rows, "tree string, id string, parent string, pos int, topic string"), "tree", "id", "parent", "pos")
