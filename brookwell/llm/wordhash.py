@@ -1,10 +1,14 @@
-"""Vectorised Rabin-Karp hashing of words and word windows (numpy, inside tasks).
-
-Arithmetic is modulo 2**64. A word's hash is a polynomial over its UTF-8 bytes, a
-window's hash a polynomial over the mixed hashes of its words; both come from
-prefix sums, so one pass serves every window of a text.
+"""Vectorised hashing of words and Rabin-Karp hashing of word windows (numpy, inside tasks).
+
+A word is taken in by eight bytes at a time, each time through a bijection of 64
+bits that starts from a key; words of up to eight bytes and equal length never
+share a hash. Long words take a keyed BLAKE2b digest. A window's hash is a
+polynomial modulo 2**64 over the hashes of its words and comes from prefix sums,
+so one pass serves every window of a text. (Polynomials over the bytes of a word
+won't do: modulo 2**64 two Thue-Morse words of 1024 letters agree for every odd base.)
 """
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +18,9 @@ import pyarrow.compute as pc
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-BYTE_BASE = 0x9E3779B97F4A7C15 | 1
+#: Keys of two hashes that are independent of each other.
+KEY, OTHER_KEY = 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82B
+LONG_WORD = 256
 WORD_BASE = 0xD6E8FEB86659FD93 | 1
 SLICE_BYTES = 1 << 21
 
@@ -36,7 +42,7 @@ class Powers:
         return self.up, self.down
 
 
-_BYTES, _WORDS = Powers(BYTE_BASE), Powers(WORD_BASE)
+_WORDS = Powers(WORD_BASE)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,11 +89,24 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _BYTES.upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = KEY) -> np.ndarray:
+    """Keyed hash of each word."""
+    sizes = ends - starts
+    out = mix(sizes.astype(U64) * U64(0xD1342543DE82EF95) ^ U64(key))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.lib.stride_tricks.as_strided(padded[:8].view(U64), (len(data) + 1,), (1,))
+    rows = np.flatnonzero(sizes <= LONG_WORD)
+    at, left = starts[rows], sizes[rows]
+    while len(rows):
+        part = eights[at]
+        short = left < 8
+        part[short] &= (U64(1) << (left[short].astype(U64) * U64(8))) - U64(1)
+        out[rows] = mix(out[rows] ^ part)
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=key.to_bytes(8, "little")).digest(), "little")
+    return out
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
