@@ -26,7 +26,7 @@ columns of the input are not looked at, whatever their names.
 """
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,20 +58,25 @@ def choose_bands(threshold: float = 0.8, recall: float = 0.9999, most_hashes: in
     return best
 
 
-def shingles(texts: pa.Array) -> Iterator[tuple[bytes | None, np.ndarray]]:
-    """For each text the digest of its word sequence (None without words) and its sorted distinct shingle hashes."""
-    lower = pa.array([t.lower() if t else "" for t in texts.to_pylist()], pa.large_string())
+def shingles(texts: pa.Array, width: int = SHINGLE, ascii_only: bool = False) -> Iterator[tuple[bytes | None, np.ndarray]]:
+    """For each text the digest of its word sequence (None without words) and its sorted distinct shingle hashes.
+
+    Case is folded in all letters, or with ``ascii_only`` in A-Z.
+    """
+    lower = texts if ascii_only else pa.array([t.lower() if t else "" for t in texts.to_pylist()], pa.large_string())
     for _, data, offsets in wh.slices(lower):
+        if ascii_only:
+            data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
         starts, ends, first = wh.words(data, offsets)
         hashes = wh.word_hashes(data, starts, ends)
-        rolled = wh.window_hashes(hashes, SHINGLE)
+        rolled = wh.window_hashes(hashes, width)
         for i in range(len(first) - 1):
             a, b = first[i], first[i + 1]
             if a == b:
                 yield None, np.zeros(0, U64)
                 continue
             key = hashlib.md5(hashes[a:b].tobytes()).digest()
-            yield key, np.unique(rolled[a : b - SHINGLE + 1]) if b - a >= SHINGLE else wh.window_hashes(hashes[a:b], int(b - a))
+            yield key, np.unique(rolled[a : b - width + 1]) if b - a >= width else wh.window_hashes(hashes[a:b], int(b - a))
 
 
 def minhash_bands(sets: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -87,6 +92,14 @@ def minhash_bands(sets: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return wh.mix((wh.mix(least.astype(U64)).reshape(bands, rows) * weights).sum(axis=1))
 
 
+def sign_minhash(sets: list[np.ndarray], bands: int, rows: int) -> list[np.ndarray]:
+    return [minhash_bands(s, bands, rows) for s in sets]
+
+
+#: From shingle sets, none of them empty, and the numbers of bands and rows to each set's band hashes.
+Signer = Callable[[list[np.ndarray], int, int], list[np.ndarray]]
+
+
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
     """Boolean matrix over ``left`` x ``right`` (row numbers of ``sets``): Jaccard similarity is at least ``threshold``."""
     sizes = np.array([len(s) for s in sets])
@@ -114,15 +127,17 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
     return both >= threshold * union - 1e-6
 
 
-def _signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+def _signatures(docs: DataFrame, bands: int, rows: int, width: int, ascii_only: bool, sign_sets: Signer) -> DataFrame:
     """Written table (id, text_hash, key, size, bands) of the documents; key is null without words, size counts shingles."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [(k, len(s), None if k is None else minhash_bands(s, bands, rows).view(np.int64)) for k, s in shingles(part.column(2))]
-                keys, sizes, hashes = pa.array([k for k, _, _ in found], pa.binary()), pa.array([n for _, n, _ in found], pa.int64()), pa.array([h for _, _, h in found], pa.list_(pa.int64()))
+                found = list(shingles(part.column(2), width, ascii_only))
+                signed = iter(sign_sets([s for k, s in found if k is not None], bands, rows))
+                keys, sizes = pa.array([k for k, _ in found], pa.binary()), pa.array([len(s) for _, s in found], pa.int64())
+                hashes = pa.array([None if k is None else next(signed).view(np.int64) for k, _ in found], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), keys, sizes, hashes], ["id", "text_hash", "key", "size", "bands"])
 
     id_type = docs.schema["id"].dataType.simpleString()
@@ -155,7 +170,7 @@ def _placements(texts: DataFrame, n_texts: int, bands: int, block: int, block_si
     return whole.drop("n_blocks", "whole", "size", "root").unionByName(loose.join(met, "uid").drop("size"))
 
 
-def _verified(docs: DataFrame, dealt: DataFrame, n_docs: int, threshold: float) -> DataFrame:
+def _verified(docs: DataFrame, dealt: DataFrame, n_docs: int, threshold: float, width: int, ascii_only: bool) -> DataFrame:
     """Written table (a, b, links): edges of spanning forests of the true links, and counts of a text's links (b is null)."""
     once = lambda rows: rows.dropDuplicates(["uid"])  # noqa: E731  a row that is repeated very often
     found = attach(docs, dealt, ["id", "text_hash"], "n_copies", n_docs, once).select("uid", "key", "n_copies", "bands", "at", "text")
@@ -164,7 +179,7 @@ def _verified(docs: DataFrame, dealt: DataFrame, n_docs: int, threshold: float)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                got = list(shingles(part.column(5)))
+                got = list(shingles(part.column(5), width, ascii_only))
                 same = pa.array([k == key for (k, _), key in zip(got, part.column(1).to_pylist(), strict=True)], pa.bool_())
                 sets = pa.array([s.tobytes() for _, s in got], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:5], sets], ["uid", "n_copies", "bands", "at", "shingles"]).filter(same)
@@ -222,15 +237,16 @@ def _verified(docs: DataFrame, dealt: DataFrame, n_docs: int, threshold: float)
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, most_hashes: int = 128, block: int = 128, block_size: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999, most_hashes: int = 128, block: int = 128, block_size: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text",
+    width: int = SHINGLE, ascii_only: bool = False, sign_sets: Signer = sign_minhash,
 ) -> DataFrame:
-    """One row per document: id, class_id (least id of its class), n_links (other documents at the threshold or above, copies counted), n_copies (documents of the same words, itself included), text_hash, keeps (true for one row of each class, and for rows equal to it).
+    """One row per document: id, class_id (least id of its class), n_links (other documents at the threshold or above, copies counted), n_copies (documents of the same words, itself included), n_shingles (size of its set), text_hash, keeps (true for one row of each class, and for rows equal to it).
 
-    ``block`` and ``block_size`` bound the rows and shingles of a block of the verification; results don't depend on them.
+    ``width`` is the words of a shingle and ``sign_sets`` makes the signatures. ``block`` and ``block_size`` bound the rows and shingles of a block of the verification; results don't depend on them.
     """
     bands, rows = choose_bands(threshold, recall, most_hashes)
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    signed = _signatures(docs, bands, rows)
+    signed = _signatures(docs, bands, rows, width, ascii_only, sign_sets)
     texts = signed.where("key IS NOT NULL").groupBy("key").agg(
         F.min(F.struct("id", "text_hash")).alias("any_row"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "text_hash"))).alias("named_row"), F.count("*").alias("n_copies"), F.max("size").alias("size"), F.max("bands").alias("bands")
     )
@@ -238,7 +254,7 @@ def near_duplicates(
     texts = written(texts, "texts")
     n_docs, n_texts = signed.count(), texts.count()
     dealt = written(_placements(texts, n_texts, bands, block, block_size), "dealt")
-    verified = _verified(docs, dealt, n_docs, threshold)
+    verified = _verified(docs, dealt, n_docs, threshold, width, ascii_only)
 
     names = texts.drop("bands", "size")
     in_class = written(components(verified.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "uid").join(names, "uid"), "in-class")
@@ -249,9 +265,9 @@ def near_duplicates(
     known = names.join(classes, "uid", "left").join(links, "uid", "left").withColumn("h", F.coalesce("h", own))
     known = known.select("key", F.col("h.id").alias("class_id"), "n_copies", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"), F.when(F.col("key") == F.col("h.key"), F.struct("h.id", "h.text_hash")).alias("head"))
     keeps = F.coalesce(F.col("head").eqNullSafe(F.struct("id", "text_hash")), F.lit(False))
-    signed = signed.drop("bands", "size")
-    with_words = attach(signed.where("key IS NOT NULL"), written(known, "known"), ["key"], "n_copies", n_docs).select("id", "class_id", "n_links", "n_copies", "text_hash", keeps.alias("keeps"))
-    without = signed.where("key IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), "text_hash", F.lit(True).alias("keeps"))
+    signed = signed.drop("bands").withColumnRenamed("size", "n_shingles")
+    with_words = attach(signed.where("key IS NOT NULL"), written(known, "known"), ["key"], "n_copies", n_docs).select("id", "class_id", "n_links", "n_copies", "n_shingles", "text_hash", keeps.alias("keeps"))
+    without = signed.where("key IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), "n_shingles", "text_hash", F.lit(True).alias("keeps"))
     return with_words.unionByName(without).withColumnRenamed("id", id_col)
 
 
