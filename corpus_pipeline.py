@@ -22,11 +22,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near-duplicates: the one of least id. Repeated rows count as copies."""
-    i, h = fresh(docs, "__id"), fresh(docs, "__hash")
+    """Keep one document of each class of near-duplicates: the one of least id.
+
+    Rows of equal id and text count as copies of each other; of those that differ in other
+    columns the one stays whose other columns, written as JSON, come first.
+    """
+    i, h, own, rest, row = (fresh(docs, c) for c in ("__id", "__hash", "__own", "__rest", "__row"))
     keepers = nearjoin.near_duplicates(docs).where("keeps").select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct()
-    single = docs.withColumn(own := fresh(docs, "__own"), F.xxhash64("text")).dropDuplicates(["doc_id", own])
-    return single.join(keepers, single.doc_id.eqNullSafe(F.col(i)) & (F.col(own) == F.col(h)), "left_semi").select(*(single[f"`{c}`"] for c in docs.columns))
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    single = docs.select("doc_id", F.xxhash64("text").alias(own), F.to_json(F.struct(*others)).alias(rest) if others else F.lit("").alias(rest), every.alias(row))
+    single = single.groupBy("doc_id", own).agg(F.min_by(row, rest).alias(row))
+    return single.join(keepers, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(h)), "left_semi").select(f"{row}.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
