@@ -67,3 +67,12 @@ def test_each_stage_on_an_empty_table(spark, tmp_path):
     docs = odd_documents(spark, tmp_path).limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).collect() == []
+
+
+def test_the_survivor_does_not_depend_on_the_partitions(spark, tmp_path):
+    rows = [(1, WORDS, f"s{i}") for i in (3, 1, 4, 0, 5, 2)] + [(2, WORDS, "a"), (None, "alone in here", "z"), (None, "alone in here", None)]
+    for n in (1, 2, 3, 5):
+        docs = odd_documents(spark, tmp_path, rows).repartition(n)
+        kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id or 0, r.source) for r in kept.collect()) == [(0, None), (1, "s0")]
