@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 SEP = "<SEP>"
 #: Field delimiter and end mark of extraction records.
 FIELD, DONE = "<|#|>", "<|COMPLETE|>"
-_BLANK = r"[\s\p{Z}]+"
+#: ASCII white space and Unicode's separators.
+BLANKS = " \t\n\v\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_CONTROLS = "".join(map(chr, [*range(9), 11, 12, *range(14, 32), 127, 0xFFFE, 0xFFFF]))
 
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, rf"^{_BLANK}|{_BLANK}$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def hashed_id(prefix: str, c: Column) -> Column:
@@ -31,9 +33,9 @@ def multi_split(c: Column, *markers: str) -> Column:
 
 def sanitize(c: Column, outer_quotes: bool = False) -> Column:
     """Without control characters (tab, line feed and carriage return stay) and non-characters, stripped of blanks; with ``outer_quotes`` of quotes at the ends, too."""
-    c = F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{FFFE}\x{FFFF}]", "")
+    c = F.translate(c, _CONTROLS, "")
     if outer_quotes:
-        c = F.regexp_replace(F.regexp_replace(c, '^"+|"+$', ""), "^'+|'+$", "")
+        c = F.btrim(F.btrim(c, F.lit('"')), F.lit("'"))
     return strip(c)
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from brookwell.functions.vectors import path_score
 from brookwell.operators.kept import kept
@@ -86,6 +87,49 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, most: int = 30) ->
     return found.groupBy("entity_id").agg(F.min("hops").alias("hops"), F.round(F.max("score"), 4).alias("score")).orderBy(F.desc("score"), "entity_id").limit(most)
 
 
+#: A node with more edges than this is a hub, whose edges are dealt into parts of about as many.
+HUB = 10_000
+
+
+def messages_over(front: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows of ``front`` (at, ...) with (b, w) of each edge at ``at``. Only edges at the front are read on; those of a hub are dealt into parts, to each of which its rows go."""
+    step = both_ways(edges).select("a", "b", F.coalesce("weight", F.lit(1.0)).alias("w")).join(front.select(F.col("at").alias("a")).distinct(), "a", "left_semi")
+    hubs = step.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("a", F.ceil(F.col("n") / HUB).alias("parts"))
+    step = step.join(hubs, "a", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("b"), "parts")).otherwise(0)).drop("parts")
+    dealt = front.join(hubs.withColumnRenamed("a", "hub"), F.col("at") == F.col("hub"), "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts") - 1, F.lit(0))))).drop("hub", "parts")
+    return dealt.join(step.withColumnRenamed("part", "edge_part"), (F.col("at") == F.col("a")) & (F.col("part") == F.col("edge_part"))).drop("a", "part", "edge_part")
+
+
+def expand_sets(seeds: DataFrame, edges: DataFrame, hops: int = 2, most: int = 30) -> DataFrame:
+    """(query_id, rank, entity_id, hops, score): for every seed set (query_id, entity_id) at once the ``most`` best nodes around it that are no seeds of it.
+
+    The score of a node is the best of its trails of 1 to ``hops`` (at most 3) edges:
+    the product of the weights over the length, rounded to four digits; ``hops`` is
+    the least. Edges are one a pair, and loops are left out; then a trail of up to
+    three edges is a walk that never turns straight back, so what a node passes on
+    depends on its last edge only through where it came from. Of each (set, node) the
+    two best and the two least products go on, from different nodes: the second
+    stands in where the next node is the one that the first came from.
+    """
+    if not 0 <= hops <= 3:
+        raise ValueError("hops must be 0 to 3")
+    edges = edges.where("src <> tgt")
+    start = seeds.select("query_id", "entity_id").distinct()
+    front = start.select("query_id", F.col("entity_id").alias("at"), F.lit(None).cast("string").alias("came"), F.lit(1.0).alias("high"), F.lit(1.0).alias("low"))
+    reached = start.select("query_id", "entity_id", F.lit(0).cast("long").alias("hops"), F.lit(0.0).alias("score")).limit(0)
+    for k in range(1, hops + 1):
+        walked = messages_over(front, edges).where(F.col("came").isNull() | (F.col("b") != F.col("came")))
+        new = walked.groupBy("query_id", F.col("b").alias("next"), F.col("at").alias("from")).agg(F.max(F.greatest(F.col("high") * F.col("w"), F.col("low") * F.col("w"))).alias("high"), F.min(F.least(F.col("high") * F.col("w"), F.col("low") * F.col("w"))).alias("low"))
+        by = Window.partitionBy("query_id", "next")
+        best = new.withColumn("r", F.row_number().over(by.orderBy(F.desc("high"), "from"))).where("r <= 2")
+        least = new.withColumn("r", F.row_number().over(by.orderBy("low", "from"))).where("r <= 2")
+        front = kept(best.union(least).select("query_id", F.col("next").alias("at"), F.col("from").alias("came"), "high", "low").distinct(), "front")
+        reached = reached.union(front.groupBy("query_id", F.col("at").alias("entity_id")).agg(F.lit(k).cast("long").alias("hops"), (F.max("high") / k).alias("score")))
+    found = reached.groupBy("query_id", "entity_id").agg(F.min("hops").alias("hops"), F.round(F.max("score"), 4).alias("score")).join(start, ["query_id", "entity_id"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "entity_id"))
+    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most).select("query_id", "rank", "entity_id", "hops", "score")
+
+
 def reach(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     """(entity_id, hop) of all nodes within ``hops`` of the seeds, each at its least hop; seeds at 0."""
     step = both_ways(edges).select("a", "b")

@@ -23,11 +23,15 @@ def _pieces(c: Column, marks: str) -> Column:
 
 
 def records(outputs: DataFrame, result: str = "result") -> DataFrame:
-    """Each output's columns with record (0-based), attrs and kind, one row a record.
+    """Each output's columns with record (0-based), attrs, kind, entity and relation, one row a record.
 
     Lines and end marks (in either case) part the records. Records that are glued
     by a field delimiter, the kind and another delimiter are parted there, and get
     the kind at their head; damaged delimiters are repaired; blank records go.
+    ``entity`` is (name, type, description) of an entity record of four fields,
+    ``relation`` (src, tgt, keywords, description, weight) of a relation record of
+    five, else null. A record is worked out whole before the rows are made, as what
+    is computed after that would be computed again by each filter on it.
     """
     f = text.FIELD
     headed = lambda kind: lambda x: F.when(x.startswith("entity") | x.startswith("relation"), x).otherwise(F.concat(F.lit(kind + f), x))
@@ -35,29 +39,33 @@ def records(outputs: DataFrame, result: str = "result") -> DataFrame:
     by_entity = F.flatten(F.transform(lines, lambda x: F.transform(_pieces(x, _literal(f"{f}entity{f}")), headed("entity"))))
     glued = _literal(f"{f}relationship{f}", f"{f}relation{f}")
     by_relation = F.flatten(F.transform(by_entity, lambda x: F.transform(_pieces(x, glued), headed("relation"))))
-    rows = outputs.select(*(c for c in outputs.columns if c != result), F.posexplode(F.transform(by_relation, text.repair_fields)).alias("record", "line"))
-    attrs = _pieces(F.col("line"), _literal(f))
-    kind = F.when(F.contains(F.get("attrs", F.lit(0)), F.lit("relation")), "relation").when(F.contains(F.get("attrs", F.lit(0)), F.lit("entity")), "entity")
-    return rows.withColumn("attrs", attrs).where(F.size("attrs") > 0).withColumn("kind", kind).drop("line")
+    attrs = F.transform(by_relation, lambda x: _pieces(text.repair_fields(x), _literal(f)))
+    rows = outputs.select(*(c for c in outputs.columns if c != result), F.posexplode(F.transform(attrs, _read)).alias("record", "__r"))
+    return rows.where(F.size("__r.attrs") > 0).select(*(c for c in rows.columns if c != "__r"), "__r.*")
+
+
+def _read(attrs: Column) -> Column:
+    """One record as a struct."""
+    a = lambda i: F.get(attrs, F.lit(i))
+    kind = F.when(F.contains(a(0), F.lit("relation")), "relation").when(F.contains(a(0), F.lit("entity")), "entity")
+    named = lambda c: text.sanitize(c, outer_quotes=True)
+    entity = F.struct(named(a(1)).alias("name"), text.entity_type(a(2)).alias("type"), text.sanitize(a(3)).alias("description"))
+    weight = F.when(text.is_number(a(4)), text.strip(a(4)).try_cast("double")).otherwise(F.lit(1.0))
+    relation = F.struct(named(a(1)).alias("src"), named(a(2)).alias("tgt"), F.replace(a(3), F.lit("，"), F.lit(",")).alias("keywords"), text.sanitize(a(4)).alias("description"), weight.alias("weight"))
+    is_entity, is_relation = kind.eqNullSafe("entity") & (F.size(attrs) == 4), kind.eqNullSafe("relation") & (F.size(attrs) == 5)
+    return F.struct(attrs.alias("attrs"), kind.alias("kind"), F.when(is_entity, entity).alias("entity"), F.when(is_relation, relation).alias("relation"))
 
 
 def entities(parsed: DataFrame) -> DataFrame:
     """Valid entity records as name, type, description: four fields, a name, a clean type and a description."""
-    a = lambda i: F.get("attrs", F.lit(i))
-    kept = [c for c in parsed.columns if c not in ("attrs", "kind")]
-    rows = parsed.where((F.col("kind") == "entity") & (F.size("attrs") == 4)).select(*kept, text.sanitize(a(1), outer_quotes=True).alias("name"), text.entity_type(a(2)).alias("type"), text.sanitize(a(3)).alias("description"))
-    return rows.where((F.col("name") != "") & F.col("type").isNotNull() & (F.col("description") != ""))
+    kept = [c for c in parsed.columns if c not in ("attrs", "kind", "entity", "relation")]
+    return parsed.where((F.col("entity.name") != "") & F.col("entity.type").isNotNull() & (F.col("entity.description") != "")).select(*kept, "entity.*")
 
 
 def relations(parsed: DataFrame) -> DataFrame:
     """Valid relation records as src, tgt, keywords, description, weight: five fields and two different ends; the weight is the description if that is a number, else 1."""
-    a = lambda i: F.get("attrs", F.lit(i))
-    kept = [c for c in parsed.columns if c not in ("attrs", "kind")]
-    rows = parsed.where((F.col("kind") == "relation") & (F.size("attrs") == 5)).select(
-        *kept, text.sanitize(a(1), outer_quotes=True).alias("src"), text.sanitize(a(2), outer_quotes=True).alias("tgt"), F.replace(a(3), F.lit("，"), F.lit(",")).alias("keywords"), text.sanitize(a(4)).alias("description")
-    )
-    weight = F.when(text.is_number(F.col("description")), F.col("description").try_cast("double")).otherwise(F.lit(1.0))
-    return rows.where((F.col("src") != "") & (F.col("tgt") != "") & (F.col("src") != F.col("tgt"))).withColumn("weight", weight)
+    kept = [c for c in parsed.columns if c not in ("attrs", "kind", "entity", "relation")]
+    return parsed.where((F.col("relation.src") != "") & (F.col("relation.tgt") != "") & (F.col("relation.src") != F.col("relation.tgt"))).select(*kept, "relation.*")
 
 
 def counted(mentions: DataFrame, order: Column) -> DataFrame:

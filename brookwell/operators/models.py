@@ -10,11 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookwell.functions.vectors import norm
-
 Model = Callable[[list[str]], list[str]]
 BATCH = 256
-DIMENSIONS = 16
 
 
 def first_words(texts: list[str], n: int = 12) -> list[str]:
@@ -56,16 +53,6 @@ def with_cache(prompts: DataFrame, cache: DataFrame, kind: str, prompt: str = "p
     return keyed.join(known, "key", "left").withColumnRenamed("content", "answer"), new
 
 
-def word_hashes(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """The offline embedding: how many lower-case words fall on each first hex digit of their digest, with unit length."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\S+"), F.lit(0))
-    zero = F.array_repeat(F.lit(0.0), dimensions)
-    place = lambda w: F.conv(F.substring(F.md5(w), 1, 1), 16, 10).cast("int")
-    counts = F.aggregate(F.transform(words, place), zero, lambda acc, at: F.transform(acc, lambda x, i: x + (i == at).cast("double")))
-    n = norm(counts)
-    return F.when(n > 0, F.transform(counts, lambda x: x / n)).otherwise(counts)
-
-
 def embedded(text: Column, embedder: Callable[[list[str]], list[list[float]]], dimensions: int, batch: int = BATCH) -> Column:
     """``embedder`` over batches of texts; raises where a vector has not ``dimensions`` numbers."""
 

@@ -79,25 +79,6 @@ def l26(spark, d):
     return asked_for.union(made.select("query_id", F.lit("prompt"), context.prompt(F.col("context"), F.concat(F.lit("question "), "query_id"))))
 
 
-@query(
-    "l29_query_api",
-    f"""WITH {HITS}, {PARTS}, modes AS (SELECT q.query_id, mode FROM q, (SELECT unnest(['naive', 'local', 'global', 'hybrid', 'mix']) AS mode)),
-near AS (SELECT query_id, count(*) FILTER (similarity >= 0.62 AND vec_id <> query_id) AS n FROM t GROUP BY query_id)
-SELECT query_id, mode, CASE WHEN found THEN n_refs ELSE 0 END AS n_refs, CASE WHEN found THEN md5(CASE WHEN mode = 'naive' THEN {NAIVE_CONTEXT} ELSE {GRAPH_CONTEXT} END) ELSE 'I don''t have enough information in the knowledge base to answer this question.' END AS content
-FROM (SELECT *, CASE mode WHEN 'naive' THEN n > 0 AND n_refs IS NOT NULL WHEN 'local' THEN entities IS NOT NULL WHEN 'global' THEN relations IS NOT NULL ELSE entities IS NOT NULL OR relations IS NOT NULL OR n_refs IS NOT NULL END AS found FROM modes JOIN near USING (query_id) LEFT JOIN c USING (query_id) LEFT JOIN p USING (query_id) LEFT JOIN e USING (query_id) LEFT JOIN r USING (query_id))""",
-)
-def l29(spark, d):
-    """Each question by each mode: the naive path needs a near chunk, the graph paths an entity, a relation or, by mode, either or a chunk; without it there is a fixed sentence."""
-    near = vectors.top_k(vector_table(spark, d), asked(spark, d), 5, "vec_id", threshold=-1.0)
-    near = near.groupBy("query_id").agg(F.count_if((F.col("similarity") >= 0.62) & (F.col("vec_id") != F.col("query_id"))).alias("near"))
-    made = assembled(spark, d).join(near, "query_id").withColumn("mode", F.explode(F.array(*(F.lit(m) for m in ("naive", "local", "global", "hybrid", "mix")))))
-    has = lambda c: F.size(c) > 0
-    found = F.when(F.col("mode") == "naive", (F.col("near") > 0) & has("chunks")).when(F.col("mode") == "local", has("entities")).when(F.col("mode") == "global", has("relations")).otherwise(has("entities") | has("relations") | has("chunks"))
-    said = F.when(F.col("mode") == "naive", context.naive_context(F.col("chunks"))).otherwise(context.graph_context(F.col("entities"), F.col("relations"), F.col("chunks")))
-    refs = F.size(context.references(F.col("chunks"))).cast("long")
-    return made.select("query_id", "mode", F.when(found, refs).otherwise(0).alias("n_refs"), F.when(found, F.md5(said)).otherwise(F.lit(context.NOTHING_FOUND)).alias("content"))
-
-
 @query("k03_json_dump", f"SELECT n_regionkey, {LISTED.format(JSON_ROW.format(FIELD.format('name', 'n_name') + " || ',' || chr(10) || '    \"key\": ' || n_nationkey || ',' || chr(10) || '    \"note\": null'"), 'n_nationkey')} AS dump FROM nation GROUP BY n_regionkey")
 def k03(spark, d):
     """A list of objects as indented JSON; nulls stay."""
@@ -144,16 +125,6 @@ def n01(spark, d):
     return asked_.select("conv_id", "turn", models.answered(F.concat(F.coalesce(F.concat("before", F.lit("\n")), F.lit("")), "text")).alias("answer"))
 
 
-HASHES = r"w AS (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '\S+'), lambda x: md5(x)[1]) AS g FROM documents), n AS (SELECT doc_id, list_transform(range(16), lambda i: len(list_filter(g, lambda x: x = substr('0123456789abcdef', CAST(i AS INT) + 1, 1)))::DOUBLE) AS c FROM w)"
-
-
-@query("l02_embed", f"WITH {HASHES} SELECT doc_id, array_to_string(list_transform(c, lambda x: CAST(CAST(round(x / greatest(sqrt(list_sum(list_transform(c, lambda y: y * y))), 1e-9), 4) AS DECIMAL(8,4)) AS VARCHAR)), ' ') AS vector FROM n")
-def l02(spark, d):
-    """The offline embedding of every text."""
-    shown = F.array_join(F.transform(models.word_hashes(F.col("text")), lambda x: F.round(x, 4).cast("decimal(8,4)").cast("string")), " ")
-    return table(spark, d, "documents").select("doc_id", shown.alias("vector"))
-
-
 @query("n03_embedding", "SELECT item_id, length(text)::DOUBLE AS size, 3::BIGINT AS dimensions FROM benchmark")
 def n03(spark, d):
     """An injected embedder in batches, its dimensions checked."""
@@ -218,18 +189,6 @@ def l36(spark, d):
 
 # Answers
 
-ITEM_HASHES = HASHES.replace("doc_id", "item_id").replace("FROM documents", "FROM benchmark")
-PRODUCT = "list_sum(list_transform(list_zip(a.c, b.c), lambda x: x[1] * x[2]))"
-
-
-@query("l38_semsim", f"WITH {ITEM_HASHES} SELECT a.item_id, round({PRODUCT} / (sqrt(list_sum(list_transform(a.c, lambda x: x * x))) * sqrt(list_sum(list_transform(b.c, lambda x: x * x)))), 6) AS cosine FROM n a JOIN n b ON b.item_id = a.item_id + 1")
-def l38(spark, d):
-    """Cosine of the embedded answer and ground truth; each benchmark text stands for the answer to the next."""
-    b = table(spark, d, "benchmark").select("item_id", models.word_hashes(F.col("text")).alias("v"))
-    pairs = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("v").alias("next")), "item_id")
-    return vectors.pair_similarity(pairs, "v", "next").select("item_id", "cosine")
-
-
 CLOSEST = f"{VECTORS}, {MANY}, {L2}, t AS (SELECT d.*, content, file_path FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) d JOIN vecs USING (vec_id) WHERE rank <= 5)"
 
 

@@ -148,16 +148,6 @@ def j04(spark, d):
     return graph.reach(asked_ids(spark, ("s:1", "p:5")), edges(spark, d), 1).where("hop > 0").select("entity_id", F.try_divide(F.lit(1.0), F.col("hop")).alias("score"))
 
 
-@query("l19_bfs_weighted", f"{G}, {SEED}, {TRAILS}, r AS (SELECT entity_id, CAST(min(hops) AS BIGINT) AS hops, round(max(score), 4) AS score FROM t ANTI JOIN seed USING (entity_id) GROUP BY entity_id) SELECT * FROM r ORDER BY score DESC, entity_id LIMIT 30")
-def l19(spark, d):
-    return graph.expand(asked_ids(spark, ("s:1", "p:5")), edges(spark, d), 2, 30)
-
-
-@query("l18_expand", f"{G}, {SEED}, {TRAILS}, r AS (SELECT entity_id, CAST(min(hops) AS BIGINT) AS hops, round(max(score), 4) AS score FROM t ANTI JOIN seed USING (entity_id) GROUP BY entity_id), b AS (SELECT * FROM r ORDER BY score DESC, entity_id LIMIT 10) SELECT entity_id, hops, score, entity_type, description FROM b JOIN nodes USING (entity_id)")
-def l18(spark, d):
-    return graph.expand(asked_ids(spark, ("s:1", "p:5")), edges(spark, d), 2, 10).join(nodes(spark, d).select("entity_id", "entity_type", "description"), "entity_id")
-
-
 REACH = "h1 AS (SELECT DISTINCT b AS entity_id FROM seed JOIN two_way ON a = seed.entity_id ANTI JOIN seed s ON s.entity_id = b), h2 AS (SELECT DISTINCT b AS entity_id FROM h1 JOIN two_way ON a = h1.entity_id ANTI JOIN seed s ON s.entity_id = b ANTI JOIN h1 x ON x.entity_id = b)"
 
 

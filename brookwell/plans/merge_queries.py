@@ -50,12 +50,13 @@ def parsed(spark, d):
     return mentions.records(outputs(spark, d))
 
 
-def found_entities(spark, d):
-    return mentions.entities(parsed(spark, d)).withColumnRenamed("record", "pos").withColumn("ts", F.col("doc_id") % 4).withColumn("chunk", F.col("doc_id").cast("string"))
+def found_entities(spark, d, records=None):
+    """Entity mentions; of ``records`` that are parsed already, if given."""
+    return mentions.entities(parsed(spark, d) if records is None else records).withColumnRenamed("record", "pos").withColumn("ts", F.col("doc_id") % 4).withColumn("chunk", F.col("doc_id").cast("string"))
 
 
-def found_relations(spark, d):
-    return mentions.relations(parsed(spark, d))
+def found_relations(spark, d, records=None):
+    return mentions.relations(parsed(spark, d) if records is None else records)
 
 
 @query(
@@ -157,17 +158,6 @@ def l14(spark, d):
     return one.union(two)
 
 
-@query("l15_keywords", f"SELECT item_id, CASE WHEN item_id % 5 = 0 THEN '' ELSE array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{NAME}'))), ',') END AS high, CASE WHEN item_id % 5 = 0 THEN '' ELSE array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[a-z]{{7,}}'))), ',') END AS low FROM benchmark")
-def l15(spark, d):
-    """Keywords that a model gives as JSON; the offline one lists capitalised words as high and long ones as low. An answer that doesn't parse gives none."""
-    words = lambda p: F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0))))
-    answer = F.to_json(F.struct(words(NAME).alias("high_level_keywords"), words("[a-z]{7,}").alias("low_level_keywords")))
-    said = table(spark, d, "benchmark").select("item_id", F.when(F.col("item_id") % 5 == 0, "I can't say").otherwise(F.concat(F.lit("```json\n"), answer, F.lit("\n```"))).alias("said"))
-    got = F.from_json(T.json_text(F.col("said")), "high_level_keywords array<string>, low_level_keywords array<string>")
-    listed = lambda c: F.coalesce(F.array_join(got[c], ","), F.lit(""))
-    return said.select("item_id", listed("high_level_keywords").alias("high"), listed("low_level_keywords").alias("low"))
-
-
 @query("c18_entity_chunks", f"{W} SELECT name, min(doc_id) AS first_chunk, count(DISTINCT doc_id) AS chunks FROM ents GROUP BY name")
 def c18(spark, d):
     """Chunks of each entity: its own list where it has one, else its joined source ids."""
@@ -187,32 +177,6 @@ def seeds(spark, d):
     return kept(found.select(F.concat(F.lit("p:"), F.col("vec_id")).alias("entity_id"), "rank"), "seeds")
 
 
-LOCAL = "l AS (SELECT b AS id, max(weight) AS score FROM seed JOIN two_way ON a = entity_id ANTI JOIN seed s ON s.entity_id = b GROUP BY b ORDER BY round(max(weight), 4) DESC, b LIMIT 30)"
-GLOBAL = "g AS (SELECT src || '>' || tgt AS id, weight AS score FROM edges WHERE src IN (SELECT entity_id FROM seed) OR tgt IN (SELECT entity_id FROM seed) ORDER BY weight DESC, 1 LIMIT 20)"
-
-
-def local(found, e):
-    return graph.expand(found, e, 1, 30).select(F.col("entity_id").alias("id"), F.round("score", 4).alias("score"))
-
-
-def global_(found, e):
-    touched = e.join(found.select(F.col("entity_id").alias("src")), "src", "left_semi").select("src", "tgt", "weight").union(e.join(found.select(F.col("entity_id").alias("tgt")), "tgt", "left_semi").select("src", "tgt", "weight")).distinct()
-    return touched.select(F.concat_ws(">", "src", "tgt").alias("id"), F.round("weight", 4).alias("score"), "weight").orderBy(F.desc("weight"), "id").limit(20).select("id", "score")
-
-
-def seeds_and_edges(spark, d):
-    """Both are found once, however many parts of an answer use them."""
-    return seeds(spark, d), kept(edges(spark, d), "edges")
-
-
-@query("l16_local", f"WITH {SEEDS}, {LOCAL} SELECT id, round(score, 4) AS score FROM l")
-def l16(spark, d):
-    return local(*seeds_and_edges(spark, d))
-
-
-@query("l17_global", f"WITH {SEEDS}, {GLOBAL} SELECT id, round(score, 4) AS score FROM g")
-def l17(spark, d):
-    return global_(*seeds_and_edges(spark, d))
 
 
 @query("c19_relation_edges", f"WITH {SEEDS} SELECT rank, entity_id, src, tgt FROM seed JOIN edges ON tgt = 's:' || rank AND src = entity_id OR src = 's:' || rank AND tgt = entity_id")
@@ -222,21 +186,6 @@ def c19(spark, d):
     return keyed.join(edges(spark, d), ["src", "tgt"]).select("rank", "entity_id", "src", "tgt")
 
 
-@query("l25_kg_hybrid", f"WITH {SEEDS}, {LOCAL}, {GLOBAL} SELECT 'local' AS part, id FROM l UNION ALL SELECT 'global', id FROM g")
-def l25_hybrid(spark, d):
-    return hybrid(*seeds_and_edges(spark, d))
-
-
-def hybrid(found, e):
-    return local(found, e).select(F.lit("local").alias("part"), "id").union(global_(found, e).select(F.lit("global"), "id"))
-
-
-@query("l25_kg_mix", f"WITH {SEEDS}, {LOCAL}, {GLOBAL} SELECT 'local' AS part, id FROM l UNION ALL SELECT 'global', id FROM g UNION ALL SELECT 'vector', CAST(vec_id AS VARCHAR) FROM t")
-def l25_mix(spark, d):
-    found, e = seeds_and_edges(spark, d)
-    return hybrid(found, e).union(found.select(F.lit("vector"), F.expr("substring(entity_id, 3)")))
-
-
 @query("c20_fetch_chunks", rf"WITH {CHUNKS}, p AS (SELECT chunk_id, doc_id, tokens, sum(tokens) OVER (ORDER BY chunk_id) AS upto FROM (SELECT DISTINCT chunk_id, min(doc_id) AS doc_id, max(tokens) AS tokens FROM chunks WHERE file_path = 'src3' AND length(content) > 0 GROUP BY chunk_id ORDER BY chunk_id LIMIT 10)) SELECT chunk_id, doc_id FROM p WHERE upto <= 3000")
 def c20(spark, d):
     rows = chunks(spark, d).where((F.col("file_path") == "src3") & (F.length("content") > 0)).groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
