@@ -2,11 +2,15 @@
 
 Base kinds are patterns alone (``assign``, ``access``, ``hex``). The structural
 kinds report a candidate only after it is decoded: ``signed_token`` needs a JSON
-header with an algorithm and a JSON body; ``private_key`` needs PEM, base64 (also
-in the URL alphabet, in lines, or around a PEM text) or hex that decodes to a key
-encoding whose nested lengths all fit: PKCS#1, SEC1, PKCS#8 with the key of its
+header with an algorithm (white space around its first brace is allowed) and a JSON
+body; ``private_key`` needs PEM, base64 (also in the URL alphabet, in lines, around a
+PEM text or around base64 once more) or hex that decodes to a key encoding whose
+nested lengths all fit: PKCS#1, SEC1, traditional DSA, PKCS#8 with the key of its
 algorithm inside, encrypted PKCS#8 with the parameters of its scheme, or OpenSSH.
-The outer length of an encoding says where its base64 or hex ends.
+Line ends may be written as escapes, as in JSON strings. A traditional PEM that is
+encrypted has no nested lengths to check: its headers must say so, with a vector, and
+its body must fill whole blocks of that size. The outer length of an encoding says
+where its base64 or hex ends.
 
 Defined cases: a null text is empty and has no spans; a null id is carried
 through; repeated rows get equal results; spans of one kind don't overlap, spans
@@ -33,11 +37,15 @@ _KEYWORD = re.compile("password|passwd|secret|token|api_?key", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}")
-_TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_SSH_HEX = re.compile(r"(?<![0-9A-Fa-f])6[fF]70656[eE]7373682[dD]6[bB]65792[dD]763100[0-9A-Fa-f]+")
+#: Base64 of a brace with a quote or white space after it, or with white space before it.
+_TOKEN = re.compile(r"(?:ey[A-J]|ew[0o]|ewk|IHs|Cns|CXs|DQp7)[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 #: DER (a sequence begins with M), an OpenSSH key, or a PEM text once more in base64.
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]{15,}|b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]+|LS0tLS1CRUdJTi[A-Za-z0-9+/_-]+)")
-_MORE_LINES = re.compile(r"(?:[A-Za-z0-9+/_-]|\r?\n[ \t]*(?=[A-Za-z0-9+/_=-]))*={0,2}")
-_PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]{15,}|b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]+|LS0tLS1CRUdJTi[A-Za-z0-9+/_-]+|(?:TU|YjNCbGJuTnphQzFyWlhrdGRq)[A-Za-z0-9+/_-]{38,})")
+_MORE_LINES = re.compile(r"(?:[A-Za-z0-9+/_-]|(?:\r?\n|(?:\\r)?\\n)[ \t]*(?=[A-Za-z0-9+/_=-]))*={0,2}")
+_ESCAPED = re.compile(r"\\[nrt]")
+_PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:(?:\s|\\[nr])*[A-Z][A-Za-z-]+:[^\n\\]{0,200}){0,8})((?:[A-Za-z0-9+/=\s]|\\[nrt])+)-----END \1-----")
+_ENCRYPTED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED.*DEK-Info:\s*[A-Z0-9-]+,([0-9A-Fa-f]{32}|[0-9A-Fa-f]{16})(?![0-9A-Fa-f])", re.S)
 #: Object identifiers of key algorithms and encryption schemes, as DER contents.
 RSA, EC, DSA = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201"), bytes.fromhex("2a8648ce380401")
 EDWARDS = {bytes.fromhex("2b656e"): 32, bytes.fromhex("2b656f"): 56, bytes.fromhex("2b6570"): 32, bytes.fromhex("2b6571"): 57}
@@ -45,8 +53,8 @@ SCHEMES = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"
 
 
 def _unbase64(text: str) -> bytes | None:
-    """Either alphabet, white space between."""
-    text = "".join(text.split()).rstrip("=").replace("-", "+").replace("_", "/")
+    """Either alphabet, white space between, also as escapes."""
+    text = "".join((_ESCAPED.sub("", text) if "\\" in text else text).split()).rstrip("=").replace("-", "+").replace("_", "/")
     try:
         return base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
     except (binascii.Error, ValueError):
@@ -113,6 +121,11 @@ def _is_pkcs1(items: list[tuple[int, bytes]]) -> bool:
     return len(items) >= 9 and all(t == 0x02 and c for t, c in items[:9]) and items[0][1] in (b"\0", b"\1")
 
 
+def _is_dsa(items: list[tuple[int, bytes]]) -> bool:
+    """Version, p, q, g, y, x."""
+    return len(items) == 6 and all(t == 0x02 and c for t, c in items) and items[0][1] == b"\0" and len(items[1][1]) >= 64 and 20 <= len(items[2][1]) <= 33
+
+
 def _is_sec1(items: list[tuple[int, bytes]]) -> bool:
     return 2 <= len(items) <= 4 and items[0] == (0x02, b"\1") and items[1][0] == 0x04 and len(items[1][1]) >= 16 and all(t in (0xA0, 0xA1) and der_items(c) for t, c in items[2:])
 
@@ -153,7 +166,15 @@ def is_private_key(data: bytes) -> bool:
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
     items = der_items(top[0][1]) or []
-    return bool(items) and (_is_pkcs1(items) or _is_sec1(items) or _is_pkcs8(items) or _is_encrypted_pkcs8(items))
+    return bool(items) and (_is_pkcs1(items) or _is_dsa(items) or _is_sec1(items) or _is_pkcs8(items) or _is_encrypted_pkcs8(items))
+
+
+def _is_pem_key(found: re.Match) -> bool:
+    data = _unbase64(found[3]) or b""
+    vector = _ENCRYPTED.search(found[2]) if found[2] else None
+    if vector:
+        return len(data) >= 32 and len(data) % (len(vector[1]) // 2) == 0
+    return is_private_key(data)
 
 
 def _base64_key(text: str, start: int, end: int) -> int | None:
@@ -166,7 +187,12 @@ def _base64_key(text: str, start: int, end: int) -> int | None:
     if run.startswith(b"-----BEGIN"):
         stop = _MORE_LINES.match(text, start).end()
         found = _PEM.search((_unbase64(text[start:stop]) or b"").decode("latin-1"))
-        return stop if found and is_private_key(_unbase64(found[2]) or b"") else None
+        return stop if found and _is_pem_key(found) else None
+    if text.startswith(("TU", "YjNCbGJu"), start):  # the base64 of base64, whose own end says where this ends
+        stop = _MORE_LINES.match(text, start).end()
+        inner = (_unbase64(text[start:stop]) or b"").decode("latin-1")
+        whole = re.fullmatch(r"(?:M|b3BlbnNzaC1rZXktdjE)[A-Za-z0-9+/_=\s-]{15,}", inner)
+        return stop if whole and _base64_key(inner, 0, _MORE_LINES.match(inner).end()) else None
     n = der_length(run) if run.startswith(b"0") else None
     if n is None:
         stop = _MORE_LINES.match(text, start).end()
@@ -176,8 +202,10 @@ def _base64_key(text: str, start: int, end: int) -> int | None:
     if need > stop - start:
         return None
     while need and at < stop:  # past the line ends
-        if not text[at].isspace():
-            need -= 1
+        if text[at] == "\\":
+            at += 2
+            continue
+        need -= not text[at].isspace()
         at += 1
     if need or not is_private_key((_unbase64(text[start:at]) or b"")[:n]):
         return None
@@ -205,17 +233,18 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    if "eyJ" in text:
+    if "." in text:
         out += [(m.start(), 3, m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
     keys = []
     if "PRIVATE KEY-----" in text:
-        keys += [(m.start(), m.end()) for m in _PEM.finditer(text) if is_private_key(_unbase64(m[2]) or b"")]
-    if "M" in text or "b3BlbnNzaC1rZXktdjE" in text or "LS0tLS1CRUdJTi" in text:
+        keys += [(m.start(), m.end()) for m in _PEM.finditer(text) if _is_pem_key(m)]
+    if "M" in text or "TU" in text or "YjNCbGJu" in text or "b3BlbnNzaC1rZXktdjE" in text or "LS0tLS1CRUdJTi" in text:
         keys += [(m.start(), end) for m in _BASE64.finditer(text) if (end := _base64_key(text, m.start(), m.end()))]
     for m in _ANY_HEX.finditer(text):
         n = der_length(bytes.fromhex(m[0][:12]))
         if n and 2 * n <= len(m[0]) and is_private_key(bytes.fromhex(m[0][: 2 * n])):
             keys.append((m.start(), m.start() + 2 * n))
+    keys += [(m.start(), m.end() - len(m[0]) % 2) for m in _SSH_HEX.finditer(text) if is_private_key(bytes.fromhex(m[0][: len(m[0]) // 2 * 2]))]
     upto = 0
     for start, end in sorted(set(keys), key=lambda k: (k[0], -k[1])):
         if start >= upto:

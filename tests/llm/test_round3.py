@@ -187,3 +187,81 @@ def test_manifest_of_few_rows(spark):
     one = merkle.manifest(spark.createDataFrame([(1, "s", None, 3, "abc")], schema)).first()
     assert one.leaf == one.subroot == one.root == one.folded_root == merkle.sha("1:11:s-1:33:abc") and one.proof_sha256 == merkle.sha("")
     assert merkle.manifest(spark.createDataFrame([], schema), tampered_text()).collect() == []
+
+
+# 8: forms of keys, made by openssl and ssh-keygen where they are at hand
+
+
+def made_keys(folder):
+    """(name, PEM text) of keys of each kind, some of them encrypted."""
+    import subprocess
+
+    def run(*args):
+        return subprocess.run(args, capture_output=True, check=True, cwd=folder, timeout=120).stdout
+
+    def saved(name, *args):
+        run(*args)
+        return (folder / name).read_text()
+
+    found = {}
+    found["rsa"] = run("openssl", "genpkey", "-algorithm", "RSA", "-pkeyopt", "rsa_keygen_bits:1024").decode()
+    (folder / "rsa.pem").write_text(found["rsa"])
+    found["rsa traditional"] = run("openssl", "rsa", "-in", "rsa.pem", "-traditional").decode()
+    found["rsa encrypted traditional"] = run("openssl", "rsa", "-in", "rsa.pem", "-traditional", "-aes128", "-passout", "pass:secretword").decode()
+    found["rsa encrypted"] = run("openssl", "pkcs8", "-topk8", "-in", "rsa.pem", "-passout", "pass:secretword").decode()
+    found["ec"] = run("openssl", "genpkey", "-algorithm", "EC", "-pkeyopt", "ec_paramgen_curve:P-256").decode()
+    (folder / "ec.pem").write_text(found["ec"])
+    found["ec traditional"] = run("openssl", "ec", "-in", "ec.pem").decode()
+    found["ed25519"] = run("openssl", "genpkey", "-algorithm", "ED25519").decode()
+    run("openssl", "genpkey", "-genparam", "-algorithm", "DSA", "-pkeyopt", "dsa_paramgen_bits:1024", "-out", "dsa.par")
+    found["dsa"] = run("openssl", "genpkey", "-paramfile", "dsa.par").decode()
+    (folder / "dsa.pem").write_text(found["dsa"])
+    found["dsa traditional"] = run("openssl", "dsa", "-in", "dsa.pem", "-traditional").decode() if b"traditional" in subprocess.run(["openssl", "dsa", "-help"], capture_output=True, check=False).stderr else run("openssl", "dsa", "-in", "dsa.pem").decode()
+    found["openssh"] = saved("ssh", "ssh-keygen", "-q", "-t", "ed25519", "-N", "", "-f", "ssh")
+    return found
+
+
+def test_every_form_of_every_key_is_found_whole_and_no_damaged_one(tmp_path):
+    import base64
+    import json
+    import re
+    import shutil
+
+    from brookwell.llm.secret_scan import KINDS, find_spans
+
+    if not shutil.which("openssl") or not shutil.which("ssh-keygen"):
+        pytest.skip("no openssl or ssh-keygen here")
+    kind = KINDS.index("private_key")
+
+    def keys_in(text):
+        return [(a, b) for a, k, b in find_spans(text) if k == kind]
+
+    for name, pem in made_keys(tmp_path).items():
+        pem = pem[pem.index("-----BEGIN") :].strip()
+        body = re.search(r"-----BEGIN[^-]*-----(?:(?s:.*?)\n\n)?(.*?)-----END", pem, re.S)[1]
+        flat = "".join(body.split())
+        forms = {"pem": pem, "crlf": pem.replace("\n", "\r\n"), "escaped": json.dumps(pem)[1:-1], "indented": pem.replace("\n", "\n    "), "base64 of pem": base64.b64encode(pem.encode()).decode()}
+        if "encrypted traditional" not in name:
+            data = base64.b64decode(flat)
+            forms |= {"bare": flat, "lines": body.strip(), "escaped lines": json.dumps(body.strip())[1:-1], "hex": data.hex(), "upper hex": data.hex().upper(), "base64 twice": base64.b64encode(flat.encode()).decode(), "url": base64.urlsafe_b64encode(data).decode()}
+        for form, text in forms.items():
+            found = keys_in(f"see {text} .")
+            assert len(found) == 1 and found[0][0] == 4 and len(text) - 2 <= found[0][1] - 4 <= len(text), (name, form, found, len(text))
+        if "encrypted traditional" in name:
+            assert not keys_in(pem.replace("DEK-Info", "Other")) and not keys_in(pem.replace(body.strip().split("\n")[-1], "AAAA"))
+            continue
+        damaged = flat[:8] + "AAAA" + flat[12:] if "openssh" not in name else flat[:24] + "////" + flat[28:]
+        for text in (damaged, pem.replace(body.strip(), damaged), base64.b64encode(damaged.encode()).decode(), base64.b64decode(damaged).hex()):
+            assert not keys_in(f"see {text} ."), name
+
+
+def test_signed_tokens_with_white_space_in_their_heads():
+    import base64
+
+    from brookwell.llm.secret_scan import KINDS, find_spans
+
+    code = lambda s: base64.urlsafe_b64encode(s.encode()).decode().rstrip("=")
+    for head in ('{"alg":"HS256"}', '{ "alg": "HS256"}', '{\n "alg": "HS256"}', '{\r\n"alg":"x"}', '{\t"alg":"x"}', ' {"alg":"HS256"}', '\n{"alg":"HS256"}', '\t{"alg":"HS256"}', '\r\n{"alg":"HS256"}'):
+        token = f"{code(head)}.{code('{"sub": 1}')}.sig"
+        assert [(a, k, b) for a, k, b in find_spans(f"t {token}")] == [(2, KINDS.index("signed_token"), 2 + len(token))], head
+    assert find_spans(f"t {code('{"no":1}')}.{code('{}')}.sig") == [] and find_spans("ewogood.names.in eyes.and.ears") == []
