@@ -14,7 +14,9 @@
    blocks of bounded rows and shingles, and each pair of blocks is verified by
    itself, so no task holds a whole large group. A task intersects the full
    shingle sets of its pairs as a matrix product and returns link counts and a
-   spanning forest of the true links, not the pairs.
+   spanning forest of the true links, not the pairs. A set that goes to several
+   blocks is sent as its difference to the set of the group's head, from which the
+   intersections follow exactly: near copies cost what they differ in.
 4. Components of the true links are the near-duplicate classes.
 
 Defined cases: a text without words (null, empty, blank) is linked to nothing and
@@ -100,10 +102,23 @@ def sign_minhash(sets: list[np.ndarray], bands: int, rows: int) -> list[np.ndarr
 Signer = Callable[[list[np.ndarray], int, int], list[np.ndarray]]
 
 
-def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    """Boolean matrix over ``left`` x ``right`` (row numbers of ``sets``): Jaccard similarity is at least ``threshold``."""
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
+def against(head: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """(symmetric difference of two sorted sets, how much of it is in ``own`` only, in ``head`` only)."""
+    extra, missing = np.setdiff1d(own, head, assume_unique=True), np.setdiff1d(head, own, assume_unique=True)
+    return np.concatenate((extra, missing)), len(extra), len(missing)
+
+
+def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float, sizes: np.ndarray | None = None, extra: np.ndarray | None = None, missing: np.ndarray | None = None) -> np.ndarray:
+    """Boolean matrix over ``left`` x ``right`` (row numbers of ``sets``): Jaccard similarity is at least ``threshold``.
+
+    With ``sizes``, ``extra`` and ``missing`` the sets are differences to one common set,
+    as ``against`` gives them: two texts share what of that set neither lacks, and what
+    their differences share stands for both what both lack and what both have beside it.
+    """
+    lengths = np.array([len(s) for s in sets])
+    if sizes is None:
+        sizes, extra, missing = lengths, lengths, np.zeros_like(lengths)
+    owner = np.repeat(np.arange(len(sets)), lengths)
     values, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count > 1
     renumber = np.cumsum(shared) - 1
@@ -123,6 +138,7 @@ def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshol
         m = at_right[o] >= 0
         y[at_right[o[m]], c[m]] = 1
         both += x @ y.T
+    both += (sizes - extra)[left][:, None] - missing[right][None, :]
     union = sizes[left][:, None] + sizes[right][None, :] - both
     return both >= threshold * union - 1e-6
 
@@ -159,14 +175,14 @@ def _placements(texts: DataFrame, n_texts: int, bands: int, block: int, block_si
     roots = written(roots.join(costs, "root").withColumn("whole", F.col("n") * F.col("n_blocks") <= F.col("by_bucket")), "roots")
     n_members = members.count()
     here = attach(members, roots, ["root"], "n", n_members).drop("n")
-    where = lambda gid, band: F.struct(F.col(gid).alias("gid"), band.cast("int").alias("band"), "n_blocks")
-    whole = here.where("whole").withColumn("at", F.array(where("root", F.lit(-1))))
+    where = lambda gid, band, head: F.struct(F.col(gid).alias("gid"), band.cast("int").alias("band"), "n_blocks", F.col(head).alias("head"))
+    whole = here.where("whole").withColumn("at", F.array(where("root", F.lit(-1), "root")))
     loose = roots.where("NOT whole")
     if loose.isEmpty():
         return whole.drop("n_blocks", "whole", "size", "root")
     loose = written(here.where("NOT whole").drop("n_blocks", "whole", "root"), "loose")
     met = attach(loose.select("uid", F.posexplode("bands").alias("band", "hash")), buckets, ["band", "hash"], "n", n_texts * bands)
-    met = met.groupBy("uid").agg(F.collect_list(where("hash", F.col("band"))).alias("at"))
+    met = met.groupBy("uid").agg(F.collect_list(where("hash", F.col("band"), "head")).alias("at"))
     return whole.drop("n_blocks", "whole", "size", "root").unionByName(loose.join(met, "uid").drop("size"))
 
 
@@ -185,14 +201,30 @@ def _verified(docs: DataFrame, dealt: DataFrame, n_docs: int, threshold: float,
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:5], sets], ["uid", "n_copies", "bands", "at", "shingles"]).filter(same)
 
     place = found.schema["at"].dataType.simpleString()
-    own = F.pmod(F.xxhash64("uid", "g.gid"), F.col("g.n_blocks")).cast("int")
-    spread = (
-        found.mapInArrow(reshingle, f"uid long, n_copies long, bands array<long>, at {place}, shingles binary")
-        .withColumn("g", F.explode("at"))
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g.n_blocks") - 1)))
-        .select("g.gid", "g.band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "uid", "n_copies", F.when(F.col("g.band") >= 0, F.col("bands")).alias("bands"), "shingles")
+    placed = found.mapInArrow(reshingle, f"uid long, n_copies long, bands array<long>, at {place}, shingles binary").withColumn("g", F.explode("at")).select("uid", "n_copies", "bands", "g.*", "shingles")
+    none = F.lit(0).cast("long")
+    small = placed.where("n_blocks = 1").select("gid", "band", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("own"), "uid", "n_copies", "bands", (F.octet_length("shingles") / 8).cast("long").alias("size"), (F.octet_length("shingles") / 8).cast("long").alias("extra"), none.alias("missing"), "shingles")
+
+    # The texts of a group of several blocks go to each of them, so they shrink to what tells them from its head.
+    many = written(placed.where("n_blocks > 1"), "large-groups")
+    heads = many.where("uid = head").dropDuplicates(["gid", "band"]).select(F.col("gid").alias("of"), F.col("band").alias("of_band"), F.col("shingles").alias("common"))
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, common = (batch.column(i).to_pylist() for i in (6, 7))
+            for at in range(0, batch.num_rows, 500):
+                found = [against(np.frombuffer(h, U64), np.frombuffer(s, U64)) for s, h in zip(own[at : at + 500], common[at : at + 500], strict=True)]
+                counts = [len(s) // 8 for s in own[at : at + 500]], [e for _, e, _ in found], [m for _, _, m in found]
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, 500).columns[:6], *(pa.array(c, pa.int64()) for c in counts), pa.array([d.tobytes() for d, _, _ in found], pa.binary())], ["gid", "band", "n_blocks", "uid", "n_copies", "bands", "size", "extra", "missing", "shingles"])
+
+    met = many.join(heads, (F.col("gid") == F.col("of")) & (F.col("band") == F.col("of_band"))).select("gid", "band", "n_blocks", "uid", "n_copies", "bands", "shingles", "common")
+    met = met.mapInArrow(differ, "gid long, band int, n_blocks int, uid long, n_copies long, bands array<long>, size long, extra long, missing long, shingles binary")
+    large = (
+        met.withColumn("own", F.pmod(F.xxhash64("uid", "gid"), F.col("n_blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        .select("gid", "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "uid", "n_copies", "bands", "size", "extra", "missing", "shingles")
     )
+    spread = small.union(large).withColumn("bands", F.when(F.col("band") >= 0, F.col("bands")))
 
     def verify(group: pa.Table) -> pa.Table:
         band, low, high = (group[c][0].as_py() for c in ("band", "low", "high"))
@@ -200,14 +232,14 @@ def _verified(docs: DataFrame, dealt: DataFrame, n_docs: int, threshold: float,
         for i, k in enumerate(group["uid"].to_pylist()):
             seen.setdefault(k, i)
         group = group.take(pa.array(seen.values()))
-        uids, copies, own_block = (group[c].to_numpy() for c in ("uid", "n_copies", "own"))
+        uids, copies, own_block, *sizes = (group[c].to_numpy() for c in ("uid", "n_copies", "own", "size", "extra", "missing"))
         sets = [np.frombuffer(s, U64) for s in group["shingles"].to_pylist()]
         left = np.flatnonzero(own_block == low)
         right = left if low == high else np.flatnonzero(own_block == high)
         links = np.zeros(len(uids), np.int64)
         label = np.arange(len(uids))
         if len(left) and len(right):
-            hit = linked(sets, left, right, threshold)
+            hit = linked(sets, left, right, threshold, *sizes)
             if low == high:
                 np.fill_diagonal(hit, False)
             if band > 0:  # a pair that meets in an earlier band is another group's
