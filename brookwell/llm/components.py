@@ -30,19 +30,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     ``edges`` has two columns of one orderable type. Self-loops and null ends are
     dropped, repeats and directions don't matter, an empty table gives an empty one.
-    Each round is written to the shared folder; it ends when a round changes nothing.
+    Each round is written to the shared folder; it ends when every node hangs on one
+    node that hangs on none.
     Raises if ``most_rounds`` (more than any 2**30-node graph needs) don't suffice.
     """
     a, b = edges.columns
     now = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
     for _ in range(most_rounds):
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == mark or not state[0]:
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).union(now.select("b", F.lit(0), F.lit(1)))
+        loose = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs + holds > 1 AND hangs > 0")
+        if loose.isEmpty():
             return now.toDF("node", "root").union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        mark = state
-        large = _toward_least(now, state[0], True)
-        new = _toward_least(large, state[0], False)
+        n = now.count()
+        large = _toward_least(now, n, True)
+        new = _toward_least(large, n, False)
         drop(now, large)
         now = new
     raise RuntimeError(f"components are not found after {most_rounds} rounds")

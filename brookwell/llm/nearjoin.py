@@ -201,12 +201,13 @@ def _verified(docs: DataFrame, dealt: DataFrame, n_docs: int, threshold: float,
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:5], sets], ["uid", "n_copies", "bands", "at", "shingles"]).filter(same)
 
     place = found.schema["at"].dataType.simpleString()
-    placed = found.mapInArrow(reshingle, f"uid long, n_copies long, bands array<long>, at {place}, shingles binary").withColumn("g", F.explode("at")).select("uid", "n_copies", "bands", "g.*", "shingles")
-    none = F.lit(0).cast("long")
-    small = placed.where("n_blocks = 1").select("gid", "band", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("own"), "uid", "n_copies", "bands", (F.octet_length("shingles") / 8).cast("long").alias("size"), (F.octet_length("shingles") / 8).cast("long").alias("extra"), none.alias("missing"), "shingles")
+    placed = found.mapInArrow(reshingle, f"uid long, n_copies long, bands array<long>, at {place}, shingles binary").withColumn("g", F.explode("at"))
+    placed = written(placed.select("uid", "n_copies", F.when(F.col("g.band") >= 0, F.col("bands")).alias("bands"), "g.*", (F.octet_length("shingles") / 8).cast("long").alias("size"), "shingles"), "placed")
+    zero, none = F.lit(0), F.lit(0).cast("long")
+    small = placed.where("n_blocks = 1").select("gid", "band", zero.alias("low"), zero.alias("high"), zero.alias("own"), "uid", "n_copies", "bands", "size", F.col("size").alias("extra"), none.alias("missing"), "shingles")
 
     # The texts of a group of several blocks go to each of them, so they shrink to what tells them from its head.
-    many = written(placed.where("n_blocks > 1"), "large-groups")
+    many = placed.where("n_blocks > 1")
     heads = many.where("uid = head").dropDuplicates(["gid", "band"]).select(F.col("gid").alias("of"), F.col("band").alias("of_band"), F.col("shingles").alias("common"))
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +225,7 @@ def _verified(docs: DataFrame, dealt: DataFrame, n_docs: int, threshold: float,
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
         .select("gid", "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "uid", "n_copies", "bands", "size", "extra", "missing", "shingles")
     )
-    spread = small.union(large).withColumn("bands", F.when(F.col("band") >= 0, F.col("bands")))
+    spread = small.union(large)
 
     def verify(group: pa.Table) -> pa.Table:
         band, low, high = (group[c][0].as_py() for c in ("band", "low", "high"))
