@@ -224,29 +224,6 @@ def l45(spark, d):
 
 # Mind maps
 
-TOPICS = f"""{VECTORS}, {MANY}, {scored()}, {top(25)}, k AS (SELECT query_id, file_path, min(rank) AS first FROM t GROUP BY ALL), one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS i FROM k) WHERE i <= 8),
-two AS (SELECT * FROM (SELECT t.query_id, t.file_path, vec_id, i, row_number() OVER (PARTITION BY t.query_id, t.file_path ORDER BY rank) AS j FROM t JOIN one USING (query_id, file_path)) WHERE j <= 7),
-tree AS (SELECT query_id, 1 AS depth, file_path AS topic, i, 0 AS j FROM one UNION ALL SELECT query_id, 2, 'text ' || vec_id, i, j FROM two)"""
-
-
-@query("l46_mindmap_tree", f"WITH {TOPICS}, big AS (SELECT query_id FROM one GROUP BY query_id HAVING count(*) >= 2) SELECT query_id, 'n_' || lpad(CAST(row_number() OVER (PARTITION BY query_id ORDER BY i, j) AS VARCHAR), 4, '0') AS node_id, topic, CAST(depth AS BIGINT) AS depth, depth = 1 AS has_children FROM tree WHERE query_id IN (SELECT query_id FROM big)")
-def l46(spark, d):
-    """A mind map for every question: sources of its 25 nearest chunks, at most 8, as topics, up to 7 chunks below each; maps of one topic are refused."""
-    topics = vectors.kept(map_nodes(spark, d), "topics")
-    enough = topics.where("parent IS NULL").groupBy("query_id").agg(F.count("*").alias("n")).where("n >= 2").select("query_id")
-    return tree.preorder(topics.join(enough, "query_id", "left_semi"), "query_id", "id", "parent", "pos").select("query_id", "node_id", "topic", "depth", "has_children")
-
-
-def map_nodes(spark, d):
-    """(query_id, id, parent, pos, topic) of the nodes below each question's root."""
-    found = vectors.top_k(vector_table(spark, d), asked(spark, d), 25, "vec_id", threshold=-1.0).select("query_id", "vec_id", "rank", "file_path")
-    hits = vectors.kept(found, "hits")
-    first = hits.groupBy("query_id", "file_path").agg(F.min("rank").alias("first"))
-    one = first.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("first"))).where("pos <= 8").select("query_id", F.col("file_path").alias("id"), F.lit(None).cast("string").alias("parent"), "pos", F.col("file_path").alias("topic"))
-    j = F.row_number().over(Window.partitionBy("query_id", "file_path").orderBy("rank"))
-    two = hits.join(one.select("query_id", F.col("id").alias("file_path")), ["query_id", "file_path"]).withColumn("pos", j).where("pos <= 7")
-    return one.union(two.select("query_id", F.concat("file_path", F.lit("/"), "vec_id"), "file_path", "pos", F.concat(F.lit("text "), "vec_id")))
-
 
 @query("k08_assemble_tree", "SELECT n_regionkey AS tree, 'n_' || lpad(CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey, c NULLS FIRST) AS VARCHAR), 4, '0') AS node_id, topic, CASE WHEN c IS NULL THEN 1 ELSE 2 END::BIGINT AS depth, c IS NULL AND kids > 0 AS has_children FROM (SELECT n_regionkey, n_nationkey, NULL AS c, trim(n_name) AS topic, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS kids FROM nation UNION ALL SELECT n_regionkey, n_nationkey, c_custkey, c_name, 0 FROM nation JOIN customer ON c_nationkey = n_nationkey)")
 def k08(spark, d):
@@ -256,27 +233,6 @@ def k08(spark, d):
     return tree.preorder(n.drop("n_nationkey").union(c), "tree", "id", "parent", "pos").select("tree", "node_id", "topic", "depth", "has_children")
 
 
-@query("l47_node_summary", f"WITH {TOPICS} SELECT query_id, topic, 'Summarise ' || topic || ' within question ' || query_id || '.' AS question, {TWELVE.format("'Summarise ' || topic || ' within question ' || query_id || '.' || chr(10) || content")} AS answer FROM (SELECT query_id, file_path AS topic, i FROM one) JOIN (SELECT query_id, file_path AS topic, arg_min(content, rank) AS content FROM t GROUP BY ALL) USING (query_id, topic)")
-def l47(spark, d):
-    """A summary of each topic of the maps, from its nearest chunk, by the injected model."""
-    found = vectors.top_k(vector_table(spark, d), asked(spark, d), 25, "vec_id", threshold=-1.0)
-    nearest = found.groupBy("query_id", F.col("file_path").alias("topic")).agg(F.min_by("content", "rank").alias("content"), F.min("rank").alias("first"))
-    i = F.row_number().over(Window.partitionBy("query_id").orderBy("first"))
-    question = F.concat(F.lit("Summarise "), "topic", F.lit(" within question "), "query_id", F.lit("."))
-    asked_ = nearest.withColumn("i", i).where("i <= 8").withColumn("question", question)
-    return asked_.select("query_id", "topic", "question", models.answered(F.concat("question", F.lit("\n"), "content")).alias("answer"))
-
-
-@query("l48_ask_thread", "SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN text ELSE '[Currently exploring: topic ' || conv_id % 3 || ']' || chr(10) || chr(10) || text END AS question, least(n, 10) AS history, CASE WHEN text = '' THEN 'I couldn''t find an answer in the document.' ELSE array_to_string(regexp_extract_all(text, '\\S+')[1:12], ' ') END AS answer FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations) WHERE role = 'user'")
-def l48(spark, d):
-    """Questions in a map's thread: prefixed with the node in view, with up to ten turns of history; a fixed sentence where the model says nothing."""
-    before = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
-    turns = table(spark, d, "conversations").withColumn("n", before).where("role = 'user'")
-    label = F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("[Currently exploring: topic "), F.col("conv_id") % 3, F.lit("]\n\n")))
-    answer = models.answered(F.col("text"))
-    return turns.select("conv_id", "turn", F.concat(F.coalesce(label, F.lit("")), "text").alias("question"), F.least("n", F.lit(10)).cast("long").alias("history"), F.when(answer == "", "I couldn't find an answer in the document.").otherwise(answer).alias("answer"))
-
-
 AGENT = f"WITH s AS (SELECT conv_id, turn, role, '@Helper ' || {STEERED} AS said FROM conversations), c AS (SELECT *, trim(replace(said, '@Helper', '')) AS q FROM s WHERE role = 'user')"
 
 

@@ -279,12 +279,6 @@ def l43(spark, d):
 LEVELS = {"easy": (1, 10, 15, 8), "medium": (2, 20, 25, 12), "hard": (3, 40, 40, 20)}
 
 
-@query("l42_quiz_context", "SELECT source, CASE level WHEN 'easy' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END::BIGINT AS hops, CASE level WHEN 'easy' THEN 10 WHEN 'medium' THEN 20 ELSE 40 END::BIGINT AS neighbours FROM (SELECT source, CASE WHEN avg(quality) >= 0.8 THEN 'hard' WHEN avg(quality) < 0.5 THEN 'easy' ELSE 'medium' END AS level FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source)")
-def l42(spark, d):
-    of = lambda i: F.create_map(*(F.lit(x) for k, v in LEVELS.items() for x in (k, v[i])))[F.col("level")].cast("long")
-    return l43(spark, d).select("source", of(0).alias("hops"), of(1).alias("neighbours"))
-
-
 VALID = "length(text) BETWEEN 1 AND 1000 AND trim(text) <> ''"
 
 

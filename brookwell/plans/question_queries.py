@@ -6,13 +6,15 @@ The graph is the one that extraction and merging make of all documents; a docume
 import hashlib
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from brookwell.functions import text as T
-from brookwell.operators import context, embedding, graph, keywords, mentions, questions
+from brookwell.operators import context, embedding, graph, keywords, mentions, questions, tree
 from brookwell.operators.kept import kept
 from brookwell.plans.answer_queries import FENCE, FIELD, JSON_ROW, LISTED, json_row
 from brookwell.plans.base import EDGES, NODES, edges, nodes, query, table
-from brookwell.plans.merge_queries import DESCRIBED, MODE, PAIRS, SAID, W, found_entities, found_relations, outputs, place
+from brookwell.plans.merge_queries import SAID as SAID_OF
+from brookwell.plans.merge_queries import DESCRIBED, MODE, PAIRS, W, found_entities, found_relations, outputs, place
 
 #: Chunks that an entity or a relation keeps, and what the questions ask for.
 MOST_SOURCES = 50
@@ -35,50 +37,69 @@ def near_sql(name: str, queries: str, index: str, k: int, threshold: float) -> s
     return f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM (SELECT b.id AS query_id, a.id, {sim} AS similarity FROM {index} a, {queries} b) WHERE similarity >= {threshold}) WHERE rank <= {k})"
 
 
-QUESTIONS = f"""q AS (SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 50 = 0),
-tm AS (SELECT doc_id, 'low' AS kind, unnest(regexp_extract_all(lower(text), '{keywords.LOW}')) AS term FROM documents UNION ALL SELECT doc_id, 'high', unnest(regexp_extract_all(text, '{keywords.HIGH}')) FROM documents),
-tf AS (SELECT doc_id, kind, term, count(*) AS tf FROM tm GROUP BY ALL), df AS (SELECT kind, term, count(*) AS df FROM tf GROUP BY ALL),
-wt AS (SELECT doc_id AS query_id, kind, term, round(tf * ln((SELECT count(*) FROM documents)::DOUBLE / df), 6) AS weight FROM tf JOIN df USING (kind, term) WHERE doc_id % 50 = 0),
+def questions_sql(rows: str, silent: str) -> str:
+    """Table v (query_id, text, low, high, failed) of the questions of ``rows``, a SELECT of query_id and text; the model's answer doesn't parse where ``silent``."""
+    found = lambda i, t: f"SELECT {i}, 'low' AS kind, unnest(regexp_extract_all(lower(text), '{keywords.LOW}')) AS term FROM {t} UNION ALL SELECT {i}, 'high', unnest(regexp_extract_all(text, '{keywords.HIGH}')) FROM {t}"
+    return f"""q AS ({rows}), df AS (SELECT kind, term, count(DISTINCT doc_id) AS df FROM ({found("doc_id", "documents")}) GROUP BY ALL),
+qt AS (SELECT query_id, kind, term, count(*) AS tf FROM ({found("query_id", "q")}) GROUP BY ALL),
+wt AS (SELECT query_id, kind, term, round(tf * ln((SELECT count(*) FROM documents)::DOUBLE / coalesce(df, 1)), 6) AS weight FROM qt LEFT JOIN df USING (kind, term)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY weight DESC, term) AS r FROM wt),
 kw AS (SELECT query_id, list(term ORDER BY r) FILTER (kind = 'low' AND r <= {keywords.MOST_LOW}) AS low, list(term ORDER BY r) FILTER (kind = 'high' AND r <= {keywords.MOST_HIGH}) AS high FROM rk GROUP BY query_id),
-k2 AS (SELECT query_id, text, CASE WHEN query_id // 50 % 5 = 4 OR low IS NULL THEN [] ELSE low END AS low, CASE WHEN query_id // 50 % 5 = 4 OR high IS NULL THEN [] ELSE high END AS high FROM q LEFT JOIN kw USING (query_id)),
+k2 AS (SELECT query_id, text, CASE WHEN {silent} OR low IS NULL THEN [] ELSE low END AS low, CASE WHEN {silent} OR high IS NULL THEN [] ELSE high END AS high FROM q LEFT JOIN kw USING (query_id)),
 k3 AS (SELECT *, len(low) = 0 AND len(high) = 0 AS nothing, coalesce(text, '') = '' AS empty FROM k2),
 v AS (SELECT query_id, text, CASE WHEN nothing AND NOT empty AND length(text) < {questions.SHORT} THEN [text] ELSE low END AS low, high, empty OR nothing AND length(text) >= {questions.SHORT} AS failed FROM k3)"""
+
+
+QUESTIONS = questions_sql("SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 50 = 0", "query_id // 50 % 5 = 4")
 LOW = "l0 AS (SELECT query_id AS id, array_to_string(low, ', ') AS said FROM v WHERE NOT failed AND array_to_string(low, ', ') <> '')"
 HIGH = "h0 AS (SELECT query_id AS id, array_to_string(high, ', ') AS said FROM v WHERE NOT failed AND array_to_string(high, ', ') <> '')"
 TEXTS = "x0 AS (SELECT query_id AS id, text AS said FROM v WHERE NOT failed AND text <> '')"
-GRAPH = f"""{MODE}, {DESCRIBED}, {PAIRS}, {SAID},
+GRAPH = f"""{MODE}, {DESCRIBED}, {PAIRS}, {SAID_OF},
 es AS (SELECT name, list(CAST(doc_id AS VARCHAR) ORDER BY doc_id) AS sources FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id DESC) AS r FROM (SELECT DISTINCT name, doc_id FROM ents)) WHERE r <= {MOST_SOURCES} GROUP BY name),
 rs AS (SELECT src, tgt, list(CAST(doc_id AS VARCHAR) ORDER BY doc_id) AS sources FROM (SELECT *, row_number() OVER (PARTITION BY src, tgt ORDER BY doc_id DESC) AS r FROM (SELECT DISTINCT least(src, tgt) AS src, greatest(src, tgt) AS tgt, doc_id FROM rels)) WHERE r <= {MOST_SOURCES} GROUP BY ALL),
 ent AS (SELECT name, type, descriptions AS description, sources FROM mode_type JOIN des USING (name) JOIN es USING (name)),
 rel AS (SELECT src || '<SEP>' || tgt AS id, src, tgt, weight, keywords, said AS description, sources FROM pairs JOIN kw_ USING (src, tgt) JOIN said USING (src, tgt) JOIN rs USING (src, tgt)),
 e0 AS (SELECT name AS id, name || chr(10) || description AS said FROM ent), r0 AS (SELECT id, keywords || chr(9) || src || chr(10) || tgt || chr(10) || description AS said FROM rel),
 c0 AS (SELECT CAST(doc_id AS VARCHAR) AS id, text AS said FROM documents)""".replace("kw AS (SELECT src", "kw_ AS (SELECT src")
-P = ASKED
-FOUND_LOCAL = f"""{LOW}, {embedded_sql("lq", "l0")}, {embedded_sql("ee", "e0")}, {near_sql("s", "lq", "ee", P.top_k, P.threshold)},
+
+
+def local_sql(p: questions.Parameters) -> str:
+    """Table fe (query_id, rank, id, kind, hops, score): seeds by the low keywords, and their neighbours by the best trails."""
+    steps = ["t1 AS (SELECT query_id, a, b, w AS p FROM s JOIN two_way ON a = id)"]
+    steps += [f"t{h} AS (SELECT t.query_id, y.a, y.b, t.p * y.w AS p FROM t{h - 1} t JOIN two_way y ON y.a = t.b AND y.b <> t.a)" for h in range(2, p.hops + 1)]
+    reached = " UNION ALL ".join(f"SELECT query_id, b, {h} AS hops, p / {h} AS score FROM t{h}" for h in range(1, p.hops + 1))
+    return f"""{LOW}, {embedded_sql("lq", "l0")}, {embedded_sql("ee", "e0")}, {near_sql("s", "lq", "ee", p.top_k, p.threshold)},
 two_way AS (SELECT src AS a, tgt AS b, weight AS w FROM pairs WHERE src <> tgt UNION ALL SELECT tgt, src, weight FROM pairs WHERE src <> tgt),
-t1 AS (SELECT query_id, a, b, w AS p FROM s JOIN two_way ON a = id), t2 AS (SELECT query_id, y.b, p * y.w / 2 AS score FROM t1 JOIN two_way y ON y.a = t1.b AND y.b <> t1.a),
-ar AS (SELECT query_id, b AS id, min(hops) AS hops, round(max(score), 4) AS score FROM (SELECT query_id, b, 1 AS hops, p AS score FROM t1 UNION ALL SELECT query_id, b, 2, score FROM t2) GROUP BY ALL),
-nb AS (SELECT * FROM (SELECT ar.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ar ANTI JOIN s USING (query_id, id)) WHERE rank <= {P.neighbours}),
-fe AS (SELECT query_id, rank, id, 'seed' AS kind, 0 AS hops, similarity AS score FROM s UNION ALL SELECT query_id, rank + {P.top_k}, id, 'neighbour', hops, score FROM nb)"""
-FOUND_GLOBAL = f"{HIGH}, {embedded_sql('hq', 'h0')}, {embedded_sql('re', 'r0')}, {near_sql('fr', 'hq', 're', P.top_k, P.threshold)}"
-FOUND_CHUNKS = f"{TEXTS}, {embedded_sql('xq', 'x0')}, {embedded_sql('ce', 'c0')}, {near_sql('fc', 'xq', 'ce', P.chunk_top_k, P.threshold)}"
+{", ".join(steps)},
+ar AS (SELECT query_id, b AS id, min(hops) AS hops, round(max(score), 4) AS score FROM ({reached}) GROUP BY ALL),
+nb AS (SELECT * FROM (SELECT ar.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ar ANTI JOIN s USING (query_id, id)) WHERE rank <= {p.neighbours}),
+fe AS (SELECT query_id, rank, id, 'seed' AS kind, 0 AS hops, similarity AS score FROM s UNION ALL SELECT query_id, rank + {p.top_k}, id, 'neighbour', hops, score FROM nb)"""
+
+
+def global_sql(p: questions.Parameters) -> str:
+    return f"{HIGH}, {embedded_sql('hq', 'h0')}, {embedded_sql('re', 'r0')}, {near_sql('fr', 'hq', 're', p.top_k, p.threshold)}"
+
+
+def chunks_sql(p: questions.Parameters) -> str:
+    return f"{TEXTS}, {embedded_sql('xq', 'x0')}, {embedded_sql('ce', 'c0')}, {near_sql('fc', 'xq', 'ce', p.chunk_top_k, p.threshold)}"
+
+
 NO_ENTITIES = "fe AS (SELECT 0::BIGINT AS query_id, 0::BIGINT AS rank, '' AS id, '' AS kind, 0 AS hops, 0::DOUBLE AS score WHERE false)"
 NO_RELATIONS = "fr AS (SELECT 0::BIGINT AS query_id, '' AS id, 0::DOUBLE AS similarity, 0::BIGINT AS rank WHERE false)"
 NO_CHUNKS = "fc AS (SELECT 0::BIGINT AS query_id, '' AS id, 0::DOUBLE AS similarity, 0::BIGINT AS rank WHERE false)"
 
 
-def found_sql(mode: str) -> str:
-    """Tables fe, fr and cl (query_id, rank, id, origin, content, file_path) of what the questions find."""
-    local = FOUND_LOCAL if mode != "global" else NO_ENTITIES
-    global_ = FOUND_GLOBAL if mode != "local" else NO_RELATIONS
-    chunks = FOUND_CHUNKS if mode == "mix" else NO_CHUNKS
+def found_sql(mode: str, p: questions.Parameters = ASKED, asked: str = QUESTIONS) -> str:
+    """Tables fe, fr and cl (query_id, rank, id, origin, content, file_path) of what the questions of ``asked`` find."""
+    local = local_sql(p) if mode != "global" else NO_ENTITIES
+    global_ = global_sql(p) if mode != "local" else NO_RELATIONS
+    chunks = chunks_sql(p) if mode == "mix" else NO_CHUNKS
     listed = f"""un AS (SELECT query_id, 0 AS part, rank, unnest(sources) AS id, unnest(range(len(sources))) AS pos FROM fe JOIN ent ON ent.name = fe.id UNION ALL SELECT query_id, 1, rank, unnest(sources), unnest(range(len(sources))) FROM fr JOIN rel USING (id)),
 u1 AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY min(row(part, rank, pos))) AS rank FROM un GROUP BY query_id, id),
-u2 AS (SELECT query_id, rank, id, text AS content, source AS file_path, sum(len(regexp_extract_all(text, '\\S+'))) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS total FROM u1 JOIN documents ON id = CAST(doc_id AS VARCHAR) WHERE rank <= {2 * P.related_chunks} AND text <> ''),
-u3 AS (SELECT query_id, rank, id, content, file_path, 'graph' AS origin FROM u2 WHERE total <= {P.chunk_budget} UNION ALL SELECT query_id, rank + {2 * P.related_chunks}, id, text, source, 'vector' FROM fc JOIN documents ON id = CAST(doc_id AS VARCHAR) WHERE text <> ''),
+u2 AS (SELECT query_id, rank, id, text AS content, source AS file_path, sum(len(regexp_extract_all(text, '\\S+'))) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS total FROM u1 JOIN documents ON id = CAST(doc_id AS VARCHAR) WHERE rank <= {2 * p.related_chunks} AND text <> ''),
+u3 AS (SELECT query_id, rank, id, content, file_path, 'graph' AS origin FROM u2 WHERE total <= {p.chunk_budget} UNION ALL SELECT query_id, rank + {2 * p.related_chunks}, id, text, source, 'vector' FROM fc JOIN documents ON id = CAST(doc_id AS VARCHAR) WHERE text <> ''),
 cl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, md5(content) ORDER BY rank) AS again FROM u3) WHERE again = 1)"""
-    return f"{W}, {QUESTIONS}, {GRAPH}, {local}, {global_}, {chunks}, {listed}"
+    return f"{W}, {asked}, {GRAPH}, {local}, {global_}, {chunks}, {listed}"
 
 
 def asking(spark, d):
@@ -183,6 +204,95 @@ def l29(spark, d):
     return said.select("query_id", F.lit("mix").alias("mode"), "answer", F.size("paths").cast("long").alias("n_refs"), "cached")
 
 
+# What is built on the mix mode
+
+LEVELS = ("easy", "medium", "hard")
+#: Hops, neighbours, entities and chunks by how hard a quiz is to be.
+QUIZ = {level: questions.Parameters(top_k=k, chunk_top_k=c, hops=h, neighbours=n) for level, (h, n, k, c) in zip(LEVELS, ((1, 10, 15, 8), (2, 20, 25, 12), (3, 40, 40, 20)), strict=True)}
+SAID = f"CASE WHEN entities IS NOT NULL OR relations IS NOT NULL OR chunks IS NOT NULL THEN {CONTEXT} END"
+ALL_LISTS = "LEFT JOIN ej USING (query_id) LEFT JOIN rj USING (query_id) LEFT JOIN cj USING (query_id) LEFT JOIN pj USING (query_id)"
+
+
+def quiz_sql(level: str) -> str:
+    rows = f"SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 50 = 0 AND doc_id // 50 % 3 = {LEVELS.index(level)}"
+    p = QUIZ[level]
+    return f"SELECT * FROM ({found_sql('mix', p, questions_sql(rows, 'false'))}, {LISTS} SELECT query_id, '{level}' AS difficulty, {p.hops}::BIGINT AS hops, length(said) AS context_chars, md5(said) AS context FROM (SELECT query_id, {SAID} AS said FROM v {ALL_LISTS} WHERE NOT failed) WHERE said IS NOT NULL)"
+
+
+@query("l42_quiz_context", " UNION ALL ".join(map(quiz_sql, LEVELS)))
+def l42(spark, d):
+    """The context of a quiz for every question, retrieved as its difficulty asks for; those without any context give none."""
+    docs, index = table(spark, d, "documents"), document_index(spark, d)
+    rows = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    asked = kept(keywords.extracted(rows, docs), "questions")
+    out = None
+    for i, (level, p) in enumerate(QUIZ.items()):
+        made = questions.contexts(questions.retrieved(asked.where(F.floor(F.col("query_id") / 50) % 3 == i), index, p), p).where("context IS NOT NULL")
+        made = made.select("query_id", F.lit(level).alias("difficulty"), F.lit(p.hops).cast("long").alias("hops"), F.length("context").cast("long").alias("context_chars"), F.md5("context").alias("context"))
+        out = made if out is None else out.union(made)
+    return out
+
+
+MAP = questions.Parameters(top_k=25, chunk_top_k=30, hops=2, neighbours=40)
+
+
+@query("l46_mindmap_tree", f"""{found_sql('mix', MAP)}, k AS (SELECT query_id, fe.rank, name, type FROM fe JOIN ent ON ent.name = fe.id), one AS (SELECT * FROM (SELECT query_id, type, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS i FROM k GROUP BY query_id, type HAVING count(*) >= 2) WHERE i <= 8),
+two AS (SELECT * FROM (SELECT query_id, type, name, i, row_number() OVER (PARTITION BY query_id, type ORDER BY rank) AS j FROM k JOIN one USING (query_id, type)) WHERE j <= 7),
+tree AS (SELECT query_id, 1 AS depth, type AS topic, i, 0 AS j FROM one UNION ALL SELECT query_id, 2, name, i, j FROM two)
+SELECT query_id, 'n_' || lpad(CAST(row_number() OVER (PARTITION BY query_id ORDER BY i, j) AS VARCHAR), 4, '0') AS node_id, topic, CAST(depth AS BIGINT) AS depth, depth = 1 AS has_children FROM tree""")
+def l46(spark, d):
+    """A mind map for every question from what the mix mode finds: kinds of entities as topics, up to seven entities below each; a topic of one is refused."""
+    found = questions.retrieved(asking(spark, d), document_index(spark, d), MAP).entities.where("type <> 'UNKNOWN'")
+    kinds = found.groupBy("query_id", "type").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n >= 2")
+    one = kinds.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("first"))).where("pos <= 8")
+    j = F.row_number().over(Window.partitionBy("query_id", "type").orderBy("rank"))
+    two = found.join(one.select("query_id", "type"), ["query_id", "type"]).withColumn("pos", j).where("pos <= 7")
+    none = F.lit(None).cast("string")
+    nodes_ = one.select("query_id", F.col("type").alias("id"), none.alias("parent"), "pos", F.col("type").alias("topic")).union(two.select("query_id", F.concat("type", F.lit("/"), "name"), "type", "pos", "name"))
+    return tree.preorder(kept(nodes_, "topics"), "query_id", "id", "parent", "pos").select("query_id", "node_id", "topic", "depth", "has_children")
+
+
+def answered_sql(p: questions.Parameters, asked: str, extra: str = "''") -> str:
+    """Table an (query_id, answer): what the offline model, a digest, says to the whole prompt with ``extra`` before it."""
+    return f"{found_sql('mix', p, asked)}, {LISTS}, an AS (SELECT query_id, CASE WHEN failed THEN '{context.NO_ANSWER.replace("'", "''")}' WHEN ctx IS NULL THEN '{context.NOTHING_FOUND.replace("'", "''")}' ELSE md5({PROMPT.format('ctx')}) END AS answer FROM (SELECT *, {SAID} AS ctx FROM v {ALL_LISTS}))"
+
+
+NODE = questions.Parameters(top_k=15, chunk_top_k=20, hops=2, neighbours=30)
+NODES_OF = f"SELECT doc_id * 10 + i AS query_id, 'Summarise ' || name || ' within question ' || doc_id || '.' AS text FROM (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS i FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{keywords.HIGH}')) AS name, unnest(range(len(regexp_extract_all(text, '{keywords.HIGH}')))) AS i FROM documents WHERE doc_id % 50 = 0) GROUP BY doc_id, name) WHERE i <= 3"
+
+
+@query("l47_node_summary", f"{answered_sql(NODE, questions_sql(NODES_OF, 'false'))} SELECT query_id // 10 AS query_id, text AS question, answer FROM an JOIN v USING (query_id)")
+def l47(spark, d):
+    """A summary of the first three names in every question's text, each answered from a retrieval of its own."""
+    docs = table(spark, d, "documents")
+    names = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(keywords.HIGH), F.lit(0))), 1, 3)
+    rows = docs.where("doc_id % 50 = 0").select("doc_id", F.posexplode(names).alias("i", "name"))
+    asked = rows.select((F.col("doc_id") * 10 + F.col("i") + 1).alias("query_id"), F.concat(F.lit("Summarise "), "name", F.lit(" within question "), "doc_id", F.lit(".")).alias("text"))
+    return said_to(spark, d, kept(keywords.extracted(asked, docs), "questions"), NODE).select(F.floor(F.col("query_id") / 10).alias("query_id"), F.col("text").alias("question"), "answer")
+
+
+def said_to(spark, d, asked, p):
+    """(query_id, text, answer) of questions by the mix mode."""
+    made = kept(questions.contexts(questions.retrieved(asked, document_index(spark, d), p), p), "contexts")
+    said, _ = questions.answers(made, spark.createDataFrame([], "key string, content string"), p, digests)
+    return made.select("query_id", "text").join(said.select("query_id", "answer"), "query_id")
+
+
+THREAD = questions.Parameters(top_k=10, chunk_top_k=15, hops=1, neighbours=20)
+TURNS = "SELECT conv_id * 1000 + turn AS query_id, CASE WHEN conv_id % 3 = 0 THEN text ELSE '[Currently exploring: topic ' || conv_id % 3 || ']' || chr(10) || chr(10) || text END AS text FROM conversations WHERE role = 'user' AND conv_id % 50 = 0"
+
+
+@query("l48_ask_thread", f"{answered_sql(THREAD, questions_sql(TURNS, 'false'))}, hs AS (SELECT conv_id * 1000 + turn AS query_id, least(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1, 10) AS history FROM conversations) SELECT query_id // 1000 AS conv_id, query_id % 1000 AS turn, text AS question, history, answer FROM an JOIN v USING (query_id) JOIN hs USING (query_id)")
+def l48(spark, d):
+    """Questions in the threads whose id is divisible by 50, prefixed with the node in view and answered by the mix mode, with up to ten turns of history."""
+    before = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    turns = table(spark, d, "conversations").where("conv_id % 50 = 0").withColumn("n", before).where("role = 'user'")
+    label = F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("[Currently exploring: topic "), F.col("conv_id") % 3, F.lit("]\n\n")))
+    rows = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat(F.coalesce(label, F.lit("")), "text").alias("text"), F.least("n", F.lit(10)).cast("long").alias("history"))
+    said = said_to(spark, d, kept(keywords.extracted(rows.drop("history"), table(spark, d, "documents")), "questions"), THREAD)
+    return said.join(rows.select("query_id", "history"), "query_id").select(F.floor(F.col("query_id") / 1000).alias("conv_id"), (F.col("query_id") % 1000).alias("turn"), F.col("text").alias("question"), "history", "answer")
+
+
 # Trails from many seed sets
 
 SETS = """two_way AS (SELECT src AS a, tgt AS b, weight AS w FROM edges UNION ALL SELECT tgt, src, weight FROM edges), seed AS (SELECT p_partkey AS query_id, 'p:' || p_partkey AS id FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT p_partkey, 's:' || (p_partkey // 50) FROM part WHERE p_partkey % 50 = 0),
