@@ -67,13 +67,16 @@ def _probed(queries: DataFrame, centroids: DataFrame, probes: int) -> DataFrame:
     return met.withColumn("r", rank).where(F.col("r") <= probes).drop("r")
 
 
-def search(index: Inverted, queries: DataFrame, k: int, probes: int = 8, rescored: int = 4, keep: Column | None = None) -> DataFrame:
+def search(index: Inverted, queries: DataFrame, k: int, probes: int | None = None, rescored: int = 4, keep: Column | None = None) -> DataFrame:
     """(query_id, similarity, rank and the columns of the rows): about the nearest ``k`` of each query (query_id, unit).
 
     ``probes`` cells are scored by their codes, and ``rescored`` times ``k`` of them by
-    their vectors. ``keep`` is a condition on the columns of the rows.
+    their vectors. Two thirds of the cells are probed if it isn't given: that is what
+    vectors without clusters need for a recall of 0.9; where they cluster, a few cells do.
+    ``keep`` is a condition on the columns of the rows.
     """
     spark, i = queries.sparkSession, index.id_col
+    probes = probes or -(-2 * index.centroids.count() // 3)
 
     def block(q: DataFrame) -> DataFrame:
         probed = kept(_probed(q, index.centroids, probes), "probed")

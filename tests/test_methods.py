@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from brookwell.operators import bpe, buckets, ivf, metrics, summaries, vectors
-from brookwell.plans.base import QUERIES, asked
+from brookwell.plans.base import asked
 from brookwell.plans.base import vectors as vector_table
+from brookwell.registry import QUERIES
 
 SF = "/root/testdata/sf0.1"
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"

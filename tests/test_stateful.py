@@ -96,9 +96,8 @@ def test_state_of_the_limiter_is_dropped_after_its_time(spark, tmp_path):
     def step(ids):
         add(spark, src, at(ids))
         stream = spark.readStream.schema(KIND).parquet(src)
-        query = stateful.limited(stream, 3, 2).writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{sink}/batch={n}")).option("checkpointLocation", f"{tmp_path}/c").start()
-        query.processAllAvailable()
-        query.stop()
+        query = stateful.limited(stream, 3, 2).writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{sink}/batch={n}")).option("checkpointLocation", f"{tmp_path}/c").trigger(once=True).start()
+        assert query.awaitTermination(100)
 
     step([1, 2, 3])
     time.sleep(5)
