@@ -2,79 +2,78 @@
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Callable
-from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _THOUGHTS = re.compile(r"<think(ing)?>.*?</think\1>", re.S | re.I)
-_FENCED = re.compile(r"```(?:json)?\s*(\{.*?\})\s*```", re.S)
-_QUOTES = str.maketrans("“”„‘’", "\"\"\"''")
+_PAIR = re.compile(r'"(\w+)"\s*:\s*"((?:[^"\\]|\\.)*)"', re.S)
+_DECODER = json.JSONDecoder()
+#: The fields of an analysis, and what stands for a field that is missing.
+FIELDS = ("detailed_description", "entity_name", "entity_type", "summary")
+MISSING = {"detailed_description": "", "entity_name": "unknown_entity", "entity_type": "unknown"}
 ANALYSIS = "struct<detailed_description:string,entity_name:string,entity_type:string,summary:string>"
 
 
-def _objects(text: str) -> list[str]:
-    """What may be a JSON object: fenced blocks, balanced braces, from the first brace to the last."""
-    found, depth, start = _FENCED.findall(text), 0, -1
-    for m in re.finditer(r"[{}]", text):
-        if m[0] == "{":
-            start = m.start() if depth == 0 else start
-            depth += 1
-        else:
-            depth -= 1
-            if depth == 0 and start >= 0:
-                found.append(text[start : m.end()])
-    first, last = text.find("{"), text.rfind("}")
-    return [*found, text[first : last + 1]] if 0 <= first < last else found
+def _mended(text: str) -> str:
+    """Typographic quotes as plain ones, no comma before a closing bracket."""
+    return re.sub(r",+(?=\s*[\]}])", "", text.translate({ord(c): '"' if c in "“”„" else "'" for c in "“”„‘’"}))
 
 
-def _loaded(raw: str) -> dict | None:
-    for text in (raw, re.sub(r",(\s*[}\]])", r"\1", raw.translate(_QUOTES))):
+def _first_analysis(text: str) -> dict | None:
+    """The first object, from any opening brace on, that decodes and has a field of an analysis at its top."""
+    at = text.find("{")
+    while at >= 0:
         try:
-            return json.loads(text)
+            found, _ = _DECODER.raw_decode(text, at)
+            if {"detailed_description", "entity_info"} & found.keys():
+                return found
         except json.JSONDecodeError:
-            continue
+            pass
+        at = text.find("{", at + 1)
     return None
 
 
 def robust_json(response: str | None) -> dict | None:
-    """A model's analysis: the first object that parses, as it is or with plain quotes and without trailing commas; else field by field."""
+    """A model's analysis: the first object of it that decodes, as it is written or mended; else what its strings by name say, as far as they go."""
     if response is None:
         return None
-    for raw in _objects(_THOUGHTS.sub("", response)):
-        got = _loaded(raw)
-        if isinstance(got, dict):
-            info = got.get("entity_info") if isinstance(got.get("entity_info"), dict) else {}
-            return {"detailed_description": got.get("detailed_description"), **{k: info.get(k) for k in ("entity_name", "entity_type", "summary")}}
-    field = lambda name: m[1] if (m := re.search(rf'"{name}"\s*:\s*"((?:[^"\\]|\\.)*)"', response, re.S)) else None
-    said = field("detailed_description") or ""
-    summary = field("summary")
-    return {"detailed_description": said, "entity_name": field("entity_name") or "unknown_entity", "entity_type": field("entity_type") or "unknown", "summary": said[:100] if summary is None else summary}
+    said = _THOUGHTS.sub("", response)
+    found = _first_analysis(said) or _first_analysis(_mended(said))
+    if found is not None:
+        inner = found.get("entity_info")
+        inner = inner if isinstance(inner, dict) else {}
+        return {f: (found if f == "detailed_description" else inner).get(f) for f in FIELDS}
+    named: dict[str, str] = {}
+    for name, value in _PAIR.findall(response):
+        named.setdefault(name, value)
+    out = {f: named.get(f) or MISSING.get(f) for f in FIELDS}
+    return out | {"summary": named.get("summary", out["detailed_description"][:100])}
 
 
 def analyses(c: Column) -> Column:
     """``robust_json`` of each response, as a struct."""
-    none = dict.fromkeys(("detailed_description", "entity_name", "entity_type", "summary"))
+    none = dict.fromkeys(FIELDS)
     return F.pandas_udf(lambda s: pd.DataFrame([robust_json(x) or none for x in s], columns=list(none)), ANALYSIS)(c)
 
 
 def pack_sentences(text: str, most: int, tokens: Callable[[str], int] = lambda s: len(s.split())) -> list[dict]:
-    """Sentences, parted by a full stop and a space, packed greedily; a new chunk begins with the last two sentences of the one before (with all of it, if it had no more)."""
-    out, now, n = [], [], 0
-    close = lambda: out.append({"content": ". ".join(now) + ".", "tokens": n})
-    for sentence in filter(None, (s.strip() for s in text.replace("\n", " ").split(". "))):
-        size = tokens(sentence)
-        if now and n + size > most:
-            close()
-            now = [*now[-2:], sentence]
-            n = sum(map(tokens, now))
-        else:
-            now.append(sentence)
-            n += size
-    if now:
-        close()
+    """Sentences, parted by a full stop and a space, in chunks of up to ``most`` tokens; a chunk begins with the last two sentences of the one before (with all of it, if it had no more).
+
+    A chunk from sentence ``start`` on, whose first new one is ``new``, ends behind the
+    last sentence whose running sum allows it, and behind ``new`` at least.
+    """
+    sentences = [s for s in map(str.strip, text.replace("\n", " ").split(". ")) if s]
+    sums = [0, *accumulate(map(tokens, sentences))]
+    out, start, new = [], 0, 0
+    while new < len(sentences):
+        end = max(new + 1, bisect_right(sums, sums[start] + most) - 1)
+        out.append({"content": ". ".join(sentences[start:end]) + ".", "tokens": sums[end] - sums[start]})
+        start, new = max(start, end - 2), end
     return out
 
 
@@ -143,23 +142,3 @@ def rouge_l(reference: str | None, said: str | None) -> float:
 
 def rouge_ls(reference: Column, said: Column) -> Column:
     return F.pandas_udf(lambda a, b: pd.Series([rouge_l(x, y) for x, y in zip(a, b, strict=True)], dtype="float64"), "double")(reference, said)
-
-
-@lru_cache(maxsize=4)
-def _encoding(path: str, pattern: str):
-    import base64
-
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
-#: How text is cut into words before byte pairs are merged.
-WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-
-
-def bpe_counts(path: str, pattern: str = WORDS):
-    """Token counts by a vocabulary file of ranks; ``path`` is the same on all executors."""
-    return F.pandas_udf(lambda s: s.map(lambda t: len(_encoding(path, pattern).encode_ordinary(t)) if t else 0).astype("int64"), "long")

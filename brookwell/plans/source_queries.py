@@ -146,7 +146,7 @@ def h22(spark, d):
 
 @query("p10_token_count", r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS tokens FROM documents")
 def p10(spark, d):
-    """With the offline tokenizer, white space; ``arrow_text.bpe_counts`` counts by a vocabulary file."""
+    """With the offline tokenizer, white space; ``p10_bpe_count`` counts by a vocabulary file."""
     return table(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).alias("tokens"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from brookwell.functions import arrays, arrow_text
 from brookwell.functions import text as T
-from brookwell.operators import chunking, context, graph, mentions, models, tree, vectors
+from brookwell.operators import bpe, chunking, context, graph, mentions, models, tree, vectors
 from brookwell.sources import office
 from brookwell.streaming import events
 
@@ -200,8 +200,8 @@ def test_tokens_by_a_vocabulary_file(spark):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}  # noqa: SIM115
     own = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = ["Hello  world's 123 é\n\n x", "", "   ", "don't"]
-    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", arrow_text.bpe_counts(path, tokenizers.PATTERN)("t").alias("n")).orderBy("i").collect()
-    assert [r.n for r in got] == [len(own.encode_ordinary(t)) for t in texts]
+    got = bpe.token_counts(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), path, "i", "t").orderBy("i").collect()
+    assert [r.tokens for r in got] == [len(own.encode_ordinary(t)) for t in texts]
 
 
 def test_files_without_a_reader_raise(spark):
