@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brookwell.llm.work import attach, written
+from brookwell.llm.work import attach, meet, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Term tables of up to this many rows are broadcast to filter tokens; larger ones are joined by shuffle.
@@ -57,13 +57,13 @@ def term_counts(tokens: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def postings(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """Written index (term, id, text_hash, pos) of all places of ``terms`` (term, n), whose counts are known; pos counts from 0."""
+    """Written index (term, n, id, text_hash, pos) of all places of ``terms`` (term, n), whose counts are known; pos counts from 0."""
     placed = tokens.where("n_words > 0").select("id", "text_hash", F.posexplode(F.split("words", " ")).alias("pos", "term"))
     if _are_few(terms):
-        found = placed.join(F.broadcast(terms.select("term")), "term", "left_semi")
+        found = placed.join(F.broadcast(terms.select("term", "n")), "term")
     else:
         found = attach(placed, written(terms, "anchor-terms"), ["term"], "n", tokens.agg(F.sum("n_words")).first()[0] or 0)
-    return written(found.select("term", "id", "text_hash", "pos"), "postings")
+    return written(found.select("term", "n", "id", "text_hash", "pos"), "postings")
 
 
 def windows(items: DataFrame, width: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -74,15 +74,21 @@ def windows(items: DataFrame, width: int = 10, id_col: str = "item_id", text_col
 
 
 def anchors(phrases: DataFrame, counts: DataFrame) -> DataFrame:
-    """(phrase, size, a, a_at, b, b_at): each window's two rarest terms and their offsets; windows with a term that no document has are left out. A window holds few terms, so its group is small."""
+    """(phrase, size, a, a_at, a_n, b, b_at, b_n): each window's two rarest terms, their offsets and occurrences; windows with a term that no document has are left out. A window holds few terms, so its group is small."""
     terms = phrases.select("phrase", "size", F.posexplode(F.split("phrase", " ")).alias("at", "term")).join(counts, "term")
     order = Window.partitionBy("phrase").orderBy("n", "at")
     ranked = terms.withColumn("rank", F.row_number().over(order)).where("rank <= 2")
     pick = lambda r, c: F.max(F.when(F.col("rank") == r, F.col(c)))
     return ranked.groupBy("phrase", "size").agg(
-        pick(1, "n").alias("least"), pick(1, "term").alias("a"), pick(1, "at").alias("a_at"),
-        F.coalesce(pick(2, "term"), pick(1, "term")).alias("b"), F.coalesce(pick(2, "at"), pick(1, "at")).alias("b_at"),
-    ).where("least > 0").drop("least")
+        pick(1, "term").alias("a"), pick(1, "at").alias("a_at"), pick(1, "n").alias("a_n"),
+        F.coalesce(pick(2, "term"), pick(1, "term")).alias("b"), F.coalesce(pick(2, "at"), pick(1, "at")).alias("b_at"), F.coalesce(pick(2, "n"), pick(1, "n")).alias("b_n"),
+    ).where("a_n > 0")
+
+
+def _places(posted: DataFrame, chosen: DataFrame, rank: str) -> DataFrame:
+    """The places of each window's rarest term (rank ``a``) or second rarest (``b``) with the columns of ``chosen``."""
+    total = posted.count()
+    return meet(posted, chosen.select(F.col(rank).alias("term"), F.col(f"{rank}_n").alias("n"), *chosen.columns), ["term"], "n", total, ["id", "text_hash", "pos"])
 
 
 def _search(docs: DataFrame, items: DataFrame, width: int, id_col: str, text_col: str, item_col: str, item_text: str):
@@ -99,7 +105,7 @@ def _search(docs: DataFrame, items: DataFrame, width: int, id_col: str, text_col
 def phrase_matches(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document: id, text_hash, n_words, n_hit (words inside a window's occurrence), items (ids of matching items, sorted as strings), spans (start and size of each occurrence)."""
     tokens, wanted, chosen, posted = _search(docs, items, width, id_col, text_col, item_col, item_text)
-    first = posted.join(chosen, posted.term == chosen.a).select("id", "text_hash", (F.col("pos") - F.col("a_at")).alias("start"), "phrase", "size", "b", (F.col("pos") - F.col("a_at") + F.col("b_at")).alias("b_pos")).where("start >= 0")
+    first = _places(posted, chosen, "a").select("id", "text_hash", (F.col("pos") - F.col("a_at")).alias("start"), "phrase", "size", "b", (F.col("pos") - F.col("a_at") + F.col("b_at")).alias("b_pos")).where("start >= 0")
     other = posted.select(F.col("term").alias("t"), F.col("id").alias("i"), F.col("text_hash").alias("h"), "pos")
     both = first.join(other, (F.col("b") == F.col("t")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")) & (F.col("b_pos") == F.col("pos")))
     places = both.groupBy(F.col("id").alias("i"), F.col("text_hash").alias("h")).agg(F.array_sort(F.collect_set(F.struct("start", "size", "phrase"))).alias("places"))
@@ -117,8 +123,11 @@ def phrase_matches(docs: DataFrame, items: DataFrame, width: int = 10, id_col: s
         lambda acc: acc["n"].cast("long"),
     )
     spans = F.transform("hits", lambda p: F.struct(p["start"].alias("start"), p["size"].alias("size")))
-    hits = hits.select("id", "text_hash", covered.alias("n_hit"), spans.alias("spans"), "hits").distinct()
-    named = hits.select("id", "text_hash", F.explode(F.array_distinct(F.transform("hits", lambda p: p["phrase"]))).alias("phrase")).join(wanted.select("phrase", "item"), "phrase")
+    hits = written(hits.select("id", "text_hash", covered.alias("n_hit"), spans.alias("spans"), "hits").distinct(), "hits")
+    named = written(hits.select("id", "text_hash", F.explode(F.array_distinct(F.transform("hits", lambda p: p["phrase"]))).alias("phrase")), "named")
+    # A passage may stand in a third of all documents, and in many items.
+    often, total = written(named.groupBy("phrase").agg(F.count("*").alias("n")), "often"), named.count()
+    named = meet(attach(named, often, ["phrase"], "n", total, merge=False), wanted.select("phrase", "item").join(often, "phrase"), ["phrase"], "n", total, ["id", "text_hash"])
     listed = named.groupBy(F.col("id").alias("i"), F.col("text_hash").alias("h")).agg(F.array_sort(F.collect_set("item")).alias("items"))
     same = lambda d: d.id.eqNullSafe(F.col("i")) & (d.text_hash == F.col("h"))
     found = listed.join(hits.select("id", "text_hash", "n_hit", "spans"), same(hits)).select("i", "h", "n_hit", "items", "spans")
@@ -136,8 +145,8 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 5, width: i
     Shifted places are matched by cells of ``slop + 1`` words and their neighbours, so that a document's places are not all paired.
     """
     _, wanted, chosen, posted = _search(docs, items, width, id_col, text_col, item_col, item_text)
-    a = posted.join(chosen, posted.term == chosen.a).select("id", "text_hash", "phrase", (F.col("pos") - F.col("a_at")).alias("start"))
-    b = posted.join(chosen, posted.term == chosen.b).select(F.col("id").alias("i"), F.col("text_hash").alias("h"), F.col("phrase").alias("p"), (F.col("pos") - F.col("b_at")).alias("b_start"))
+    a = _places(posted, chosen, "a").select("id", "text_hash", "phrase", (F.col("pos") - F.col("a_at")).alias("start"))
+    b = _places(posted, chosen, "b").select(F.col("id").alias("i"), F.col("text_hash").alias("h"), F.col("phrase").alias("p"), (F.col("pos") - F.col("b_at")).alias("b_start"))
     cell = lambda c: F.floor(F.col(c) / (slop + 1))
     b = b.withColumn("cell_b", F.explode(F.array(cell("b_start") - 1, cell("b_start"), cell("b_start") + 1)))
     near = a.withColumn("cell_a", cell("start")).join(b, F.col("id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")) & (F.col("phrase") == F.col("p")) & (F.col("cell_a") == F.col("cell_b")))

@@ -8,6 +8,9 @@ of their lines, weighted by words, are one group, and a line above the limit by
 texts must be above it by groups too. Copies are the deduplicator's business, and
 would otherwise make every line of a copied text look like boilerplate.
 
+Lines, bands, texts and rows that a large share of all rows have are met by a
+broadcast of their few keys (``attach``), so none of them fills one task.
+
 Defined cases: a null text has no words, lines or symbols; null hosts form one
 host; a null id is carried through; repeated rows get equal results; a very long
 text is one row of distinct line hashes, in memory proportional to its length; an
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brookwell.llm import wordhash as wh
-from brookwell.llm.work import fresh, written
+from brookwell.llm.work import attach, fresh, written
 
 U64 = np.uint64
 SYMBOL = np.zeros(256, bool)
@@ -116,43 +119,50 @@ def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     return written(docs.mapInArrow(run, f"id {kind}, host string, text_hash long, {STATS}, lines array<struct<hash:long,words:long>>, sketch array<long>"), "profile")
 
 
-def near_groups(profiled: DataFrame) -> DataFrame:
+def distinct_texts(profiled: DataFrame) -> DataFrame:
+    """Written table (host, text_hash, lines, sketch, copies): one row for each text of a host, with the number of its copies."""
+    each = profiled.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"), F.first("sketch").alias("sketch"), F.count("*").alias("copies"))
+    return written(each, "texts")
+
+
+def near_groups(texts: DataFrame) -> DataFrame:
     """Written table (doc, group) of the texts that share a band with another text of their host; the group is the least text of their bands."""
-    texts = profiled.select(F.xxhash64("host", "text_hash").alias("doc"), "host", "sketch").dropDuplicates(["doc"])
-    bands = texts.select("doc", "host", F.explode("sketch").alias("band")).select("doc", F.xxhash64("host", "band").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("doc").alias("group"), F.count("*").alias("n")).where("n > 1").select("band", "group")
-    return written(bands.join(written(shared, "bands"), "band").groupBy("doc").agg(F.min("group").alias("group")), "near-groups")
+    bands = written(texts.select(F.xxhash64("host", "text_hash").alias("doc"), F.explode("sketch").alias("drawn"), "host").select("doc", F.xxhash64("host", "drawn").alias("band")), "all-bands")
+    shared = written(bands.groupBy("band").agg(F.min("doc").alias("group"), F.count("*").alias("n")).where("n > 1"), "bands")
+    met = attach(bands, shared, ["band"], "n", bands.count(), merge=False)
+    return written(met.groupBy("doc").agg(F.min("group").alias("group")), "near-groups")
+
+
+def _texts_lines(texts: DataFrame) -> DataFrame:
+    """(host, doc, hash, words) of each distinct line of each text; doc stands for the text."""
+    return texts.select("host", F.xxhash64("host", "text_hash").alias("doc"), F.explode("lines").alias("x")).select("host", "doc", "x.hash", "x.words")
 
 
-def common_lines(profiled: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """(host, hash) of the lines above their host's limit, by texts and by groups of near copies."""
-    texts = profiled.select("host", "text_hash", F.transform("lines", lambda x: x["hash"]).alias("hashes")).dropDuplicates(["host", "text_hash"])
+def common_lines(texts: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """Written table (host, hash, n) of the lines above their host's limit by texts (n of them) and by groups of near copies."""
     totals = texts.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("n_docs"))
-    lines = texts.select("host", F.xxhash64("host", "text_hash").alias("doc"), F.explode("hashes").alias("hash"))
+    lines = _texts_lines(texts)
 
-    def above(counted: DataFrame) -> DataFrame:
-        counted = counted.where(F.col("n") > line_docs)
-        return counted.join(totals, F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > line_share * F.col("n_docs")).select("host", "hash")
+    def above(counted: DataFrame, by: str) -> DataFrame:
+        counted = counted.where(F.col(by) > line_docs)
+        return counted.join(totals, F.col("host").eqNullSafe(F.col("h"))).where(F.col(by) > line_share * F.col("n_docs")).drop("h", "n_docs")
 
-    often = written(above(lines.groupBy("host", "hash").agg(F.count("*").alias("n"))), "often")
-    held = lines.join(often.select(F.col("host").alias("oh"), F.col("hash").alias("line")), F.col("host").eqNullSafe(F.col("oh")) & (F.col("hash") == F.col("line")), "left_semi")
-    grouped = held.join(near_groups(profiled), "doc", "left").select("host", "hash", F.coalesce("group", "doc").alias("group")).distinct()
-    return above(grouped.groupBy("host", "hash").agg(F.count("*").alias("n")))
+    often = written(above(lines.groupBy("host", "hash").agg(F.count("*").alias("n")), "n"), "often")
+    held = attach(lines.drop("words"), often, ["host", "hash"], "n", often.agg(F.sum("n")).first()[0] or 0, merge=False)
+    grouped = held.join(near_groups(texts), "doc", "left").select("host", "hash", "n", F.coalesce("group", "doc").alias("group")).distinct()
+    return written(above(grouped.groupBy("host", "hash").agg(F.first("n").alias("n"), F.count("*").alias("groups")), "groups").drop("groups"), "common")
 
 
 def assess(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per document: id, host, text_hash, statistics, removed_words, removed_lines (hashes), base_failed, kept."""
     profiled = profile(docs, id_col, text_col, host_col)
-    common = common_lines(profiled, line_docs, line_share).select(F.col("host").alias("h"), F.col("hash").alias("line"))
-    distinct = profiled.select("host", "text_hash", "lines").dropDuplicates(["host", "text_hash"])
-    lost = (
-        distinct.select("host", "text_hash", F.explode("lines").alias("x")).select("host", "text_hash", "x.*")
-        .join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("hash") == F.col("line")))
-        .groupBy(F.col("host").alias("lost_host"), F.col("text_hash").alias("lost_text"))
-        .agg(F.sum("words").alias("removed_words"), F.collect_set("hash").alias("removed_lines"))
-    )
-    out = profiled.drop("lines", "sketch").join(lost, F.col("host").eqNullSafe(F.col("lost_host")) & (F.col("text_hash") == F.col("lost_text")), "left").drop("lost_host", "lost_text")
-    out = out.withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
+    texts = distinct_texts(profiled)
+    common = common_lines(texts, line_docs, line_share)
+    lost = attach(_texts_lines(texts), common, ["host", "hash"], "n", common.agg(F.sum("n")).first()[0] or 0, merge=False)
+    lost = lost.groupBy(F.col("doc").alias("d")).agg(F.sum("words").alias("removed_words"), F.collect_set("hash").alias("removed_lines"))
+    every = texts.select("host", "text_hash", "copies").join(lost, F.xxhash64("host", "text_hash") == F.col("d"), "left").drop("d")
+    every = written(every.withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long"))), "lost")
+    out = attach(profiled.drop("lines", "sketch"), every, ["host", "text_hash"], "copies", profiled.count(), merge=False).drop("copies")
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= least_left * F.col("n_words"))).withColumnRenamed("id", id_col)
 
@@ -160,9 +170,10 @@ def assess(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE
 def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
     """The kept documents in their own columns, without the lines above the limits; ``chars_col``, if there, is counted anew."""
     verdict = assess(docs, id_col=id_col, text_col=text_col, host_col=host_col).where("kept")
-    i, h, t, gone = (fresh(docs, c) for c in ("__id", "__host", "__text", "__gone"))
-    verdict = verdict.groupBy(F.col(id_col).alias(i), F.col("host").alias(h), F.col("text_hash").alias(t)).agg(F.max("removed_lines").alias(gone))
-    kept = docs.join(verdict, docs[id_col].eqNullSafe(F.col(i)) & docs[host_col].cast("string").eqNullSafe(F.col(h)) & (F.xxhash64(docs[text_col]) == F.col(t))).select(*(docs[f"`{c}`"] for c in docs.columns), gone)
+    i, h, t, gone, n = (fresh(docs, c) for c in ("__id", "__host", "__text", "__gone", "__n"))
+    verdict = written(verdict.groupBy(F.col(id_col).alias(i), F.col("host").alias(h), F.col("text_hash").alias(t)).agg(F.max("removed_lines").alias(gone), F.count("*").alias(n)), "verdict")
+    keyed = docs.withColumns({i: F.col(id_col), h: F.col(host_col).cast("string"), t: F.xxhash64(text_col)})
+    kept = attach(keyed, verdict, [i, h, t], n, verdict.agg(F.sum(n)).first()[0] or 0, merge=False).select(*(F.col(f"`{c}`") for c in docs.columns), gone)
     names = docs.columns
     at = names.index(text_col)
 

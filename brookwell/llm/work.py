@@ -102,3 +102,19 @@ def attach(rows: DataFrame, unique: DataFrame, on: list[str], n: str, total: int
     is_hot, key_is_hot = F.xxhash64(*(rows[c] for c in on)).isin(hot), key_hash.isin(hot)
     hot_rows = rows.where(is_hot).join(F.broadcast(right.where(key_is_hot)), same).drop(*keys.values())
     return plain(rows.where(~is_hot), right.where(~key_is_hot)).unionByName(reduce_hot(hot_rows) if reduce_hot else hot_rows)
+
+
+def meet(rows: DataFrame, others: DataFrame, on: list[str], n: str, total: int, spread: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with all ``others`` of their key (no nulls), however many rows a key has.
+
+    Both have column ``n``, at least the number of ``rows`` with the key, whose sum over
+    the keys is at most about ``total``. A hot key's rows are spread by their columns ``spread``
+    over one shard for each ``total / MOST_HOT`` of them, and its others are repeated for
+    each shard: at most ``MOST_HOT`` times in all for one other a key.
+    """
+    keys = {c: f"__on_{c}" for c in on}
+    shards = F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(max(LEAST_HOT, total // MOST_HOT)))).cast("long")
+    left = rows.withColumn("__shard", F.pmod(F.xxhash64(*spread), shards)).drop(n)
+    right = others.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1))).drop(n).withColumnsRenamed(keys)
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(k) for c, k in keys.items()])
+    return left.join(right, same & (F.col("__shard") == F.col("__part"))).drop("__shard", "__part", *keys.values())
