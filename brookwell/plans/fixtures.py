@@ -1,4 +1,4 @@
-"""Uploads and content items made from the standard tables: documents as office files, their lines as parsed items."""
+"""Uploads and content items made from the standard tables: documents as office files and as parsed items."""
 
 import io
 import zipfile
@@ -45,8 +45,8 @@ def files(spark, d):
 
 
 def raw_items(spark, d):
-    """(doc_id, pos, kind, label, text, html, markdown, img_path, caption, page_no): two items a document, as a parser gives them."""
-    docs = table(spark, d, "documents").select("doc_id", "source", F.substring_index("text", "\n", 1).alias("line"))
+    """(doc_id, pos, kind, label, text, html, markdown, img_path, caption, page_no): two items a document with its whole text, as a parser gives them."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.col("text").alias("line"))
     k, null = F.col("doc_id") % 6, F.lit(None).cast("string")
     one = docs.select("doc_id", F.lit(0).alias("pos"), F.lit("text").alias("kind"), F.lit("paragraph").alias("label"), F.col("line").alias("text"), null.alias("html"), null.alias("markdown"), null.alias("img_path"), null.alias("caption"), F.lit(1).alias("page_no"))
     kind = F.when(k < 2, "table").when(k < 4, "picture").otherwise("text")
@@ -59,9 +59,8 @@ def raw_items(spark, d):
     return one.union(two)
 
 
-LINE = "CASE WHEN contains(text, chr(10)) THEN string_split(text, chr(10))[1] ELSE text END"
 #: The converted items of ``raw_items``.
-ITEMS = f"""items AS (SELECT doc_id, 0 AS pos, 'text' AS type, {LINE} AS text, NULL AS table_body, NULL AS img_path, NULL AS caption, 0 AS page_idx FROM documents WHERE trim({LINE}) <> ''
+ITEMS = """items AS (SELECT doc_id, 0 AS pos, 'text' AS type, text, NULL AS table_body, NULL AS img_path, NULL AS caption, 0 AS page_idx FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''
 UNION ALL SELECT doc_id, 1, CASE doc_id % 6 WHEN 0 THEN 'table' WHEN 1 THEN 'table' WHEN 2 THEN 'image' WHEN 3 THEN 'text' ELSE 'equation' END, CASE doc_id % 6 WHEN 3 THEN '[Image: lost]' WHEN 4 THEN 'x = ' || doc_id END,
-  CASE doc_id % 6 WHEN 0 THEN '<table>' || {LINE} || '</table>' WHEN 1 THEN '| ' || {LINE} || ' |' END, CASE WHEN doc_id % 6 = 2 THEN 'img/' || doc_id || '.png' END,
+  CASE doc_id % 6 WHEN 0 THEN '<table>' || text || '</table>' WHEN 1 THEN '| ' || text || ' |' END, CASE WHEN doc_id % 6 = 2 THEN 'img/' || doc_id || '.png' END,
   CASE WHEN doc_id % 6 IN (0, 1, 2) THEN 'from ' || source WHEN doc_id % 6 = 4 THEN '' END, greatest(CAST(doc_id % 3 AS INT) - 1, 0) FROM documents WHERE doc_id % 6 IN (0, 1, 2, 4) OR doc_id % 12 = 3)"""

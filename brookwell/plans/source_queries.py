@@ -150,10 +150,10 @@ def p10(spark, d):
     return table(spark, d, "documents").select("doc_id", T.word_count(F.col("text")).alias("tokens"))
 
 
-@query("n04_tokenizer", r"SELECT doc_id, array_to_string(regexp_extract_all(text, '\S+')[1:20], ' ') AS head FROM documents")
+@query("n04_tokenizer", r"SELECT doc_id, array_to_string(regexp_extract_all(text, '\S+'), ' ') AS decoded, len(regexp_extract_all(text, '\S+')) AS tokens FROM documents")
 def n04(spark, d):
-    """The first 20 tokens, encoded and decoded."""
-    return table(spark, d, "documents").select("doc_id", T.first_words(F.col("text"), 20).alias("head"))
+    """Each whole text encoded and decoded by the offline tokenizer; ``n04_bpe_roundtrip`` does so by a vocabulary file."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), " ").alias("decoded"), T.word_count(F.col("text")).alias("tokens"))
 
 
 @query("i01_now", "SELECT event_id, TIMESTAMP '2024-06-01 12:00:00' AS created_at, 1717243200::BIGINT AS create_time FROM events")
