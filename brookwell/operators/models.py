@@ -54,13 +54,14 @@ def with_cache(prompts: DataFrame, cache: DataFrame, kind: str, prompt: str = "p
 
 
 def embedded(text: Column, embedder: Callable[[list[str]], list[list[float]]], dimensions: int, batch: int = BATCH) -> Column:
-    """``embedder`` over batches of texts; raises where a vector has not ``dimensions`` numbers."""
+    """``embedder`` over batches of texts; a null text has a null vector. Raises where a vector has not ``dimensions`` numbers."""
 
     def run(texts: pd.Series) -> pd.Series:
         asked = texts.dropna()
         found = [v for at in range(0, len(asked), batch) for v in embedder(asked.iloc[at : at + batch].tolist())]
         if len(found) != len(asked) or any(len(v) != dimensions for v in found):
             raise ValueError(f"the embedder gave vectors of other lengths than {dimensions}, or not one a text")
-        return pd.Series([list(map(float, v)) for v in found], index=asked.index, dtype="object").reindex(texts.index)
+        rest = iter(found)
+        return pd.Series([list(map(float, next(rest))) if there else None for there in texts.notna()], index=texts.index, dtype="object")
 
     return F.pandas_udf(run, "array<float>")(text)

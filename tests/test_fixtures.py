@@ -179,6 +179,13 @@ def test_models_are_called_once_a_text(spark, tmp_path):
         prompts.select(models.embedded(F.col("prompt"), lambda texts: [[1.0]] * len(texts), 2)).collect()
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_a_null_text_has_a_null_vector(spark, parts):
+    texts = spark.createDataFrame([(1, "ab"), (2, None), (3, ""), (4, "abc")], "id int, text string").repartition(parts)
+    vector = models.embedded(F.col("text"), lambda some: [[len(t), 0.5] for t in some], 2)
+    assert sorted((r.id, r.v) for r in texts.select("id", vector.alias("v")).collect()) == [(1, [2.0, 0.5]), (2, None), (3, [0.0, 0.5]), (4, [3.0, 0.5])]
+
+
 def test_searches_in_blocks_are_the_search_in_one(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)]
