@@ -50,7 +50,7 @@ def a36(spark, d):
 
 @query("j01_similarity", f"WITH {VECTORS}, {MANY}, {scored()} SELECT query_id, vec_id, similarity FROM s")
 def j01(spark, d):
-    return vectors.scored(vector_table(spark, d), asked(spark, d)).select("query_id", "vec_id", "similarity")
+    return vectors.scored(vector_table(spark, d), asked(spark, d), "vec_id")
 
 
 @query("j02_cosine", "SELECT a.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -62,12 +62,12 @@ def j02(spark, d):
 
 @query("b16_threshold", f"WITH {VECTORS}, {MANY}, {scored()} SELECT query_id, vec_id, similarity FROM s WHERE similarity >= 0.55")
 def b16(spark, d):
-    return vectors.scored(vector_table(spark, d), asked(spark, d), least=0.55).select("query_id", "vec_id", "similarity")
+    return vectors.scored(vector_table(spark, d), asked(spark, d), "vec_id", least=0.55)
 
 
 @query("b10_file_eq", f"WITH {VECTORS}, {MANY}, {scored('v.label = 3')}, {top(5)} SELECT query_id, vec_id, rank, similarity FROM t WHERE similarity >= 0.2")
 def b10(spark, d):
-    return vectors.top_k(vector_table(spark, d), asked(spark, d), 5, "vec_id", keep=F.col("label") == 3).select("query_id", "vec_id", "rank", "similarity")
+    return vectors.top_k(vector_table(spark, d).where("label = 3").select("vec_id", "unit"), asked(spark, d), 5, "vec_id").select("query_id", "vec_id", "rank", "similarity")
 
 
 @query("b11_file_member", f"WITH {VECTORS}, {MANY}, {scored()}, {top(40)}, m AS (SELECT * EXCLUDE (rank) FROM t WHERE similarity >= 0.2 AND list_contains(string_split(file_path || '<SEP>x', '<SEP>'), 'src3')), {top(10, 'm', 'u')} SELECT query_id, vec_id, rank, similarity FROM u")
@@ -78,17 +78,17 @@ def b11(spark, d):
 
 @query("f03_vector_topk", f"WITH {VECTORS}, {MANY}, {scored()}, {top(20)} SELECT query_id, vec_id, similarity FROM t")
 def f03(spark, d):
-    return vectors.top_k(vector_table(spark, d), asked(spark, d), 20, "vec_id", threshold=-1.0).select("query_id", "vec_id", "similarity")
+    return vectors.top_k(vector_table(spark, d).select("vec_id", "unit"), asked(spark, d), 20, "vec_id", threshold=-1.0).select("query_id", "vec_id", "similarity")
 
 
 @query("c24_knn_cross", f"WITH {VECTORS}, {MANY}, {scored()}, {top(10)} SELECT query_id, vec_id, rank FROM t")
 def c24(spark, d):
-    return vectors.top_k(vector_table(spark, d), asked(spark, d), 10, "vec_id", threshold=-1.0).select("query_id", "vec_id", "rank")
+    return vectors.top_k(vector_table(spark, d).select("vec_id", "unit"), asked(spark, d), 10, "vec_id", threshold=-1.0).select("query_id", "vec_id", "rank")
 
 
 @query("l03_vec_query", f"WITH {VECTORS}, {MANY}, {scored()}, {top(20)} SELECT query_id, vec_id, rank, similarity FROM t WHERE similarity >= 0.5")
 def l03(spark, d):
-    return vectors.top_k(vector_table(spark, d), asked(spark, d), 20, "vec_id", threshold=0.5).select("query_id", "vec_id", "rank", "similarity")
+    return vectors.top_k(vector_table(spark, d).select("vec_id", "unit"), asked(spark, d), 20, "vec_id", threshold=0.5).select("query_id", "vec_id", "rank", "similarity")
 
 
 L2 = "d AS (SELECT q.query_id, v.vec_id, round(list_sum(list_transform(list_zip(v.e, q.e), lambda x: (x[1] - x[2]) * (x[1] - x[2]))), 6) AS distance FROM vecs v, q)"
@@ -96,14 +96,14 @@ L2 = "d AS (SELECT q.query_id, v.vec_id, round(list_sum(list_transform(list_zip(
 
 @query("l04_legacy_search", f"WITH {VECTORS}, {MANY}, {L2} SELECT query_id, vec_id, rank, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 5")
 def l04(spark, d):
-    return vectors.by_distance(vector_table(spark, d), asked(spark, d), 5, "vec_id").select("query_id", "vec_id", "rank", "distance")
+    return vectors.by_distance(vector_table(spark, d).select("vec_id", "embedding"), asked(spark, d), 5, "vec_id").select("query_id", "vec_id", "rank", "distance")
 
 
 @query("d20_confidence", f"WITH {VECTORS}, {MANY}, {L2}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d) WHERE rank <= 5) SELECT query_id, CASE WHEN avg(distance) < 0.3 THEN 'high' WHEN avg(distance) < 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM t GROUP BY query_id")
 def d20(spark, d):
     from brookwell.functions.scores import confidence
 
-    found = vectors.by_distance(vector_table(spark, d), asked(spark, d), 5, "vec_id")
+    found = vectors.by_distance(vector_table(spark, d).select("vec_id", "embedding"), asked(spark, d), 5, "vec_id")
     return found.groupBy("query_id").agg(confidence(F.avg("distance")).alias("confidence"))
 
 
