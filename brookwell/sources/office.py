@@ -6,7 +6,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +19,12 @@ SHOW = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 RASTER = (".jpeg", ".jpg", ".png", ".gif", ".webp", ".bmp")
 SECTION = "array<struct<page_number:int,slide_number:int,paragraph_index:int,text:string>>"
 MEDIA = "array<struct<name:string,page_idx:int,size:long>>"
+ARROW = {
+    SECTION: pa.list_(pa.struct([("page_number", pa.int32()), ("slide_number", pa.int32()), ("paragraph_index", pa.int32()), ("text", pa.string())])),
+    MEDIA: pa.list_(pa.struct([("name", pa.string()), ("page_idx", pa.int32()), ("size", pa.int64())])),
+}
+#: Files whose sections are Python objects at one time; what is read of a batch is Arrow's.
+AT_ONCE = 64
 
 
 def _said(paragraph: ElementTree.Element, ns: str) -> str:
@@ -81,16 +87,17 @@ def pptx_whole(content: bytes) -> list[dict]:
 def parsed(content: Column, read: Callable[[bytes], list[dict]], kind: str = SECTION) -> Column:
     """``read`` of each file; null where a file is null or broken."""
 
-    def run(contents: pd.Series) -> pd.Series:
-        def one(x: bytes | None) -> list[dict] | None:
-            try:
-                return None if x is None else read(bytes(x))
-            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError):
-                return None
+    def one(x: bytes | None) -> list[dict] | None:
+        try:
+            return None if x is None else read(x)
+        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError):
+            return None
 
-        return contents.map(one)
+    def run(contents: pa.Array) -> pa.Array:
+        parts = [pa.array([one(x.as_py()) for x in contents[at : at + AT_ONCE]], ARROW[kind]) for at in range(0, len(contents), AT_ONCE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], ARROW[kind])
 
-    return F.pandas_udf(run, kind)(content)
+    return F.arrow_udf(run, kind)(content)
 
 
 def sections(files: DataFrame, readers: dict[str, Callable[[bytes], list[dict]]] | None = None, whole_text: bool = True) -> DataFrame:
