@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: How text is cut into words before byte pairs are merged; white space is Unicode's.
 WORDS = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
+#: Rows whose tokens are Python objects at one time.
+AT_ONCE = 128
+
 
 @lru_cache(maxsize=4)
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -56,12 +59,18 @@ def words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col), F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORDS), F.lit(0))).alias("pos", "word"))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(at, AT_ONCE)
+
+
 def vocabulary(distinct: DataFrame, path: str) -> DataFrame:
     """(word, ids) of distinct words."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = ranks_of(path)
-        for batch in batches:
+        for batch in _pieces(batches):
             found = [merged(w.encode(), ranks) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["word", "ids"])
 
@@ -93,7 +102,7 @@ def decoded(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = {rank: token for token, rank in ranks_of(path).items()}
-        for batch in batches:
+        for batch in _pieces(batches):
             texts = [b"".join(tokens[i] for i in ids).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
