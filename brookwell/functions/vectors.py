@@ -13,9 +13,12 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    """The vector divided by its length, so that hot loops need the dot product alone; zero vectors stay."""
-    n = norm(a)
-    return F.when(n > 1e-8, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    """The vector divided by its length, so that hot loops need the dot product alone; zero vectors stay. The length is a lambda's variable, as one named inside a lambda is worked out again for each element."""
+
+    def divided(n: Column) -> Column:
+        return F.when(n > 1e-8, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+
+    return F.get(F.transform(F.array(norm(a)), divided), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:
