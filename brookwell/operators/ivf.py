@@ -8,7 +8,10 @@ vectors. ``vectors.top_k`` is the exact way, and what recall is measured against
 
 import uuid
 from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,13 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brookwell.functions.vectors import dot, similarity, unit
-from brookwell.operators import vectors
+from brookwell.operators import pairs, vectors
 from brookwell.operators.kept import kept, shared_path
 
 #: Centroids are fitted on at most this many vectors, those of least hash, and there are at most so many of them.
 MOST_SAMPLE, MOST_CELLS = 100_000, 4096
-#: Queries are broadcast in blocks of about this many, each with its cells.
-BLOCK = 1000
+#: Queries are searched in blocks of about this many; vectors and queries that meet in one task, and queries of one matrix product.
+BLOCK, TOGETHER, COLUMNS = 10_000, 50_000, 100
 
 
 @dataclass(frozen=True)
@@ -61,12 +64,40 @@ def build(rows: DataFrame, id_col: str, vector: str = "embedding", cells: int |
 
 
 def _probed(queries: DataFrame, centroids: DataFrame, probes: int) -> DataFrame:
-    """(query_id, q, cell, scale, base): the cells nearest to each query; ``base`` is the query's product with the centroid."""
-    met = queries.select("query_id", F.col("unit").alias("q")).crossJoin(F.broadcast(centroids)).withColumn("base", dot(F.col("q"), F.col("centroid"))).drop("centroid")
+    """(query_id, cell, scale, base): the cells nearest to each query; ``base`` is the query's product with the centroid."""
+    met = queries.select("query_id", F.col("unit").alias("q")).crossJoin(F.broadcast(centroids)).select("query_id", "cell", "scale", dot(F.col("q"), F.col("centroid")).alias("base"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("base"), "cell"))
     return met.withColumn("r", rank).where(F.col("r") <= probes).drop("r")
 
 
+def _nearest_codes(id_col: str, most: int, left: pa.Table, right: pa.Table) -> pa.Table:
+    """The best ``most`` codes (cell, id, code) of some cells for each query (query_id, q, cells of cell, scale and base), of the cells it probes; ties by id."""
+    left = pairs.sorted_by(left, id_col)
+    codes, cell, queries = pairs.matrix(left.column("code")), left.column("cell").to_numpy(), pairs.matrix(right.column("q"))
+    known = np.unique(cell)
+    place = np.searchsorted(known, cell)
+    found_q, found_i, found_n = [], [], []
+    for q0 in range(0, len(queries) if len(codes) else 0, COLUMNS):
+        some = right.slice(q0, COLUMNS)
+        scale, base = np.zeros((len(some), len(known))), np.full((len(some), len(known)), -np.inf)
+        for j, probed in enumerate(some.column("cells").to_pylist()):
+            for x in probed:
+                at = np.searchsorted(known, x["cell"])
+                if at < len(known) and known[at] == x["cell"]:
+                    scale[j, at], base[j, at] = x["scale"], x["base"]
+        near = queries[q0 : q0 + COLUMNS] @ codes.T
+        near = np.nan_to_num(base[:, place] + scale[:, place] * near, nan=-np.inf, neginf=-np.inf)
+        bar = -np.partition(-near, most - 1, axis=1)[:, most - 1] if near.shape[1] > most else np.full(len(near), -np.inf)
+        q, i = np.nonzero((near >= bar[:, None]) & np.isfinite(near))
+        order = np.lexsort((i, -near[q, i], q))
+        q, i = q[order], i[order]
+        at = np.arange(len(q)) - np.searchsorted(q, np.arange(len(near)))[q] < most
+        found_q.append(q[at] + q0), found_i.append(i[at]), found_n.append(near[q[at], i[at]])
+    q, i, n = (np.concatenate(x) if x else np.empty(0, int) for x in (found_q, found_i, found_n))
+    i = pa.array(i)
+    return pa.table({"query_id": right.column("query_id").take(pa.array(q)), id_col: left.column(id_col).take(i), "cell": left.column("cell").take(i), "near": pa.array(n.astype(float))})
+
+
 def search(index: Inverted, queries: DataFrame, k: int, probes: int | None = None, rescored: int = 4, keep: Column | None = None) -> DataFrame:
     """(query_id, similarity, rank and the columns of the rows): about the nearest ``k`` of each query (query_id, unit).
 
@@ -82,11 +113,16 @@ def search(index: Inverted, queries: DataFrame, k: int, probes: int | None = Non
         probed = kept(_probed(q, index.centroids, probes), "probed")
         cells = [r[0] for r in probed.select("cell").distinct().collect()]  # at most MOST_CELLS
         some = lambda what: index.read(spark, what).where(F.col("cell").isin(cells))
-        coded = some("codes").join(F.broadcast(probed), "cell").withColumn("near", F.col("base") + F.col("scale") * dot(F.col("code"), F.col("q"))).select("query_id", i, "cell", "near", "q")
+        codes = some("codes").select("cell", i, "code")
         if keep is not None:
-            coded = coded.join(some("whole").where(keep).select(i), i, "left_semi")
+            codes = codes.join(some("whole").where(keep).select(i), i, "left_semi")
+        # Cells are dealt into as many groups as hold about TOGETHER vectors; each passes on the best of a query
+        groups = F.pmod(F.xxhash64("cell"), F.lit(max(1, -(-codes.count() // TOGETHER)))).alias("group")
+        asked = probed.groupBy("query_id", groups).agg(F.collect_list(F.struct("cell", "scale", "base")).alias("cells")).join(q.select("query_id", F.col("unit").alias("q")), "query_id")
+        schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, {i} {codes.schema[i].dataType.simpleString()}, cell int, near double"
+        coded = codes.withColumn("group", groups).groupBy("group").cogroup(asked.groupBy("group")).applyInArrow(partial(_nearest_codes, i, k * rescored), schema)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), i))
-        best = coded.withColumn("r", rank).where(F.col("r") <= k * rescored).select("query_id", i, "cell", "q")
+        best = coded.withColumn("r", rank).where(F.col("r") <= k * rescored).select("query_id", i, "cell").join(q.select("query_id", F.col("unit").alias("q")), "query_id")
         met = best.join(some("whole").drop("rest"), ["cell", i]).withColumn("similarity", F.round(similarity(dot(F.col("unit"), F.col("q"))), 6)).drop("q", "unit", "cell")
         return vectors.ranked(met, i, k)
 
